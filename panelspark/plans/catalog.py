@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from panelspark.plans import daily  # noqa: F401
+from panelspark.plans import daily, detect  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES  # noqa: F401
