@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.config import SCORING, EquivalentDay, Kimber
+from panelspark.functions.numeric import round_binary
 
 
 def fill_from_median(df: DataFrame, keys: Sequence[str], column: str, out: str, default: float) -> DataFrame:
@@ -115,6 +116,6 @@ def score_series(rows: DataFrame, keys: Sequence[str], params: EquivalentDay = S
     else:
         risk = F.lit(0.0)
     return ends.select(
-        *keys, risk.alias("risk_score"), F.bround(F.col("soiling_loss") * 100, 3).alias("soiling_loss_pct"),
-        F.bround("eqd", 1).alias("eqd"), "last_rain_date",
+        *keys, risk.alias("risk_score"), round_binary(F.col("soiling_loss") * 100, 3).alias("soiling_loss_pct"),
+        round_binary(F.col("eqd"), 1).alias("eqd"), "last_rain_date",
     )

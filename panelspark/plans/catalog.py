@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from panelspark.plans import daily, detect  # noqa: F401
+from panelspark.plans import daily, detect, recommend, stats  # noqa: F401
+from panelspark.plans.recommend import flagship  # noqa: F401
 from panelspark.plans.registry import ORACLES, QUERIES  # noqa: F401
