@@ -37,7 +37,7 @@ class Features:
     use_kimber: bool = True
     use_equivalent_day: bool = True
     kimber: Kimber = Kimber()
-    equivalent_day: EquivalentDay = EquivalentDay()
+    equivalent_day: EquivalentDay = SCORING
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,7 @@ class Recommend:
 @dataclass(frozen=True)
 class SpatialCv:
     n_folds: int = 5
-    cluster_km: float = 50.0
+    cluster_km: float = 10.0
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ class Boosting:
 
 @dataclass(frozen=True)
 class SampleWeights:
-    mode: str = "iwsr_ci_width"
+    mode: str = "uniform"  # or "iwsr_ci_width"
     feedback_multiplier: float = 3.0
     summary_factor: float = 0.5
     clip_percentiles: tuple[float, float] = (5.0, 95.0)
@@ -76,11 +76,11 @@ class SampleWeights:
 
 @dataclass(frozen=True)
 class SweepGrid:
-    conf: tuple[float, ...] = (0.10, 0.20, 0.30, 0.40, 0.50, 0.60)
-    iou: tuple[float, ...] = (0.3, 0.5, 0.7)
+    conf: tuple[float, ...] = (0.10, 0.15, 0.20, 0.25, 0.30, 0.40)
+    iou: tuple[float, ...] = (0.50, 0.60, 0.70)
 
 
 @dataclass(frozen=True)
 class AuditRules:
-    min_images: dict = field(default_factory=lambda: {"train": 100, "val": 20, "test": 20})
-    max_empty_label_ratio: float = 0.4
+    min_images: dict = field(default_factory=lambda: {"train": 40, "val": 5, "test": 5})
+    max_empty_label_ratio: float = 0.80

@@ -239,7 +239,7 @@ def w09_kimber(t):
 
 @query("w09_equivalent_day_features",
        eqd_sql(look("pm10", 364), "station_id, as_of") + """
-       , l AS (SELECT *, 25e-2 * (1e0 - EXP(-eqd / 30e0)) AS sl FROM r)
+       , l AS (SELECT *, 1e-1 * (1e0 - EXP(-eqd / 30e0)) AS sl FROM r)
        SELECT station_id, as_of, ARG_MAX(sl, dt) AS eqd_loss_proxy,
          AVG(CASE WHEN dt > as_of - 7 THEN sl END) AS eqd_loss_7d_mean,
          AVG(CASE WHEN dt > as_of - 30 THEN sl END) AS eqd_loss_30d_mean FROM l GROUP BY 1, 2""",
