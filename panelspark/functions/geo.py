@@ -60,7 +60,7 @@ def bounds(ring: Column) -> tuple[Column, Column, Column, Column]:
 
 
 def vertex_mean(ring: Column) -> tuple[Column, Column]:
-    return _sum(xs(ring)) / F.size(ring), _sum(ys(ring)) / F.size(ring)
+    return F.try_divide(_sum(xs(ring)), F.size(ring)), F.try_divide(_sum(ys(ring)), F.size(ring))
 
 
 def signed_area(ring: Column) -> Column:
@@ -92,7 +92,7 @@ def compactness(area_: Column, perimeter_: Column) -> Column:
 
 def centroid(ring: Column) -> tuple[Column, Column]:
     """area-weighted, relative to the first vertex to keep the products small."""
-    x0, y0 = F.element_at(ring, 1)["x"], F.element_at(ring, 1)["y"]
+    x0, y0 = F.get(ring, 0)["x"], F.get(ring, 0)["y"]
     local = F.transform(ring, lambda p: F.struct((p["x"] - x0).alias("x"), (p["y"] - y0).alias("y")))
     parts = F.zip_with(local, _next(local), lambda a, b: F.struct(
         (a["x"] * b["y"] - b["x"] * a["y"]).alias("c"), (a["x"] + b["x"]).alias("x"), (a["y"] + b["y"]).alias("y")))
@@ -100,7 +100,7 @@ def centroid(ring: Column) -> tuple[Column, Column]:
         parts, F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")),
         lambda s, p: F.struct((s["c"] + p["c"]).alias("c"), (s["x"] + p["c"] * p["x"]).alias("x"),
                               (s["y"] + p["c"] * p["y"]).alias("y")))
-    return x0 + total["x"] / (3 * total["c"]), y0 + total["y"] / (3 * total["c"])
+    return x0 + F.try_divide(total["x"], 3 * total["c"]), y0 + F.try_divide(total["y"], 3 * total["c"])
 
 
 def is_usable(ring: Column) -> Column:
@@ -117,7 +117,7 @@ def invert_affine(p: Column, t: Column) -> Column:
     """world to pixel."""
     det = t[0] * t[4] - t[1] * t[3]
     dx, dy = p["x"] - t[2], p["y"] - t[5]
-    return point((t[4] * dx - t[1] * dy) / det, (t[0] * dy - t[3] * dx) / det)
+    return point(F.try_divide(t[4] * dx - t[1] * dy, det), F.try_divide(t[0] * dy - t[3] * dx, det))
 
 
 def scale_ring(ring: Column, w: Column | float, h: Column | float) -> Column:

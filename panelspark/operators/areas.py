@@ -71,7 +71,7 @@ def parse_geojson_areas(raw: DataFrame, text: str = "value") -> DataFrame:
         F.col("_d.type") == "Feature", F.col("_d.geometry")).otherwise(bare)
     d = d.withColumn("_g", g)
     rings = F.from_json("_g.coordinates", "ARRAY<ARRAY<ARRAY<DOUBLE>>>")
-    ring = G.open_ring(F.transform(F.get(rings, 0), lambda c: G.point(c[0], c[1])))
+    ring = G.open_ring(F.transform(F.get(rings, 0), lambda c: G.point(F.get(c, 0), F.get(c, 1))))
     d = d.withColumn("_r", F.when(F.col("_g.type") == "Polygon", ring))
     error = (
         F.when(~is_wgs84(F.coalesce("_d.crs.properties.name", "_d.crs.name")), "not_wgs84").when(empty, "no_features")

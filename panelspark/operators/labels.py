@@ -149,7 +149,7 @@ def assign_folds(df: DataFrame, cluster: str = "cluster", n_folds: int = 5) -> D
         return pd.DataFrame({cluster: pdf[cluster], "fold": folds})
 
     kind = dict(df.dtypes)[cluster]
-    folds = sizes.groupBy(F.lit(0)).applyInPandas(greedy, f"{cluster} {kind}, fold int")
+    folds = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(greedy, f"{cluster} {kind}, fold int")
     return df.join(folds, cluster)
 
 

@@ -223,17 +223,29 @@ def mask_runs(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> D
     A run per image row replaces a row per pixel, and overlaps become interval arithmetic.
     """
     r = F.col(ring)
-    _, miny, _, maxy = G.bounds(r)
-    first, last = F.ceil(miny - 0.5), F.ceil(maxy - 0.5) - 1
-    lines = polygons.withColumn("_r", r).withColumn("y", F.explode(F.when(last >= first, F.sequence(first, last))))
-    nxt = F.concat(F.slice("_r", 2, F.size("_r")), F.slice("_r", 1, 1))
+    nxt = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
+    sides = F.filter(F.zip_with(r, nxt, lambda p, q: F.struct(
+        F.least(p["y"], q["y"]).alias("lo"), F.greatest(p["y"], q["y"]).alias("hi"),
+        F.when(p["y"] < q["y"], p["x"]).otherwise(q["x"]).alias("x"), F.try_divide(q["x"] - p["x"], q["y"] - p["y"]).alias("slope"))),
+        lambda e: e["hi"] > e["lo"])
+    # The slanted sides are prepared once per polygon; an image row only picks the ones it cuts.
+    first = F.ceil(F.array_min(F.transform("_sides", lambda e: e["lo"])) - 0.5)
+    last = F.ceil(F.array_max(F.transform("_sides", lambda e: e["hi"])) - 0.5) - 1
+    lines = polygons.select(*keys, sides.alias("_sides")).select(
+        *keys, "_sides", F.explode(F.when(last >= first, F.sequence(first, last))).alias("y"))
     level = F.col("y") + 0.5
-    cuts = F.array_sort(F.array_compact(F.zip_with("_r", nxt, lambda p, q: F.when(
-        (p["y"] <= level) != (q["y"] <= level), p["x"] + (level - p["y"]) * (q["x"] - p["x"]) / (q["y"] - p["y"])))))
-    runs = lines.select(*keys, "y", cuts.alias("_c")).where(F.size("_c") >= 2).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), (F.size("_c") / 2).cast("int") - 1)))
-    return runs.select(*keys, "y", F.ceil(F.get("_c", 2 * F.col("_i")) - 0.5).alias("x0"),
-                       F.ceil(F.get("_c", 2 * F.col("_i") + 1) - 0.5).alias("x1")).where("x1 > x0")
+    cuts = F.sort_array(F.transform(
+        F.filter("_sides", lambda e: (e["lo"] <= level) & (level < e["hi"])), lambda e: e["x"] + (level - e["lo"]) * e["slope"]))
+
+    def to_runs(c: Column) -> Column:
+        # An even number of cuts, sorted: inside between the 1st and 2nd, 3rd and 4th, …
+        return F.transform(F.sequence(F.lit(0), F.size(c) - 2, F.lit(2)), lambda i: F.struct(
+            F.ceil(F.get(c, i) - 0.5).alias("x0"), F.ceil(F.get(c, i + 1) - 0.5).alias("x1")))
+
+    # Wrapping in a one-element array binds the cuts once per image row instead of once per use.
+    runs = F.when(F.size(F.filter("_sides", lambda e: (e["lo"] <= level) & (level < e["hi"]))) >= 2,
+                  F.get(F.transform(F.array(cuts), to_runs), 0))
+    return lines.select(*keys, "y", F.inline(runs)).where("x1 > x0")
 
 
 def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -257,11 +269,15 @@ def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0
                        agree_iou: float = 0.5, tile: str = "tile_id") -> DataFrame:
     """J21 + A27: per tile, labels no prediction covers, confident predictions that touch no label, the overall mask
     IoU, and the bucket they imply. ``labels`` is (tile, gt_idx, ring), ``preds`` is (tile, pred_idx, conf, ring)."""
-    lr, pr = mask_runs(labels, [tile, "gt_idx"]), mask_runs(preds, [tile, "pred_idx"])
+    # Rasterising multiplies the rows; a fixed partition count keeps it from running on partitions sized before that.
+    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labels, preds = labels.repartition(n, tile, "gt_idx"), preds.repartition(n, tile, "pred_idx")
+    # The runs feed four branches below (areas, pairs, unions); they are rasterised once and kept, spilling to disk.
+    lr, pr = mask_runs(labels, [tile, "gt_idx"]).persist(), mask_runs(preds, [tile, "pred_idx"]).persist()
     width = F.sum(F.col("x1") - F.col("x0"))
     l_area = lr.groupBy(tile, "gt_idx").agg(width.alias("la"))
     p_area = pr.groupBy(tile, "pred_idx").agg(width.alias("pa"))
-    shared = _overlap(lr, pr, [tile], [tile, "gt_idx", "pred_idx"]).join(l_area, [tile, "gt_idx"]).join(p_area, [tile, "pred_idx"])
+    shared = _overlap(lr, pr, [tile], [tile, "gt_idx", "pred_idx"]).join(l_area, [tile, "gt_idx"]).join(p_area, [tile, "pred_idx"]).persist()
     best = shared.groupBy(tile, "gt_idx").agg(F.max(F.col("shared") / (F.col("la") + F.col("pa") - F.col("shared"))).alias("best"))
     uncovered = labels.join(best, [tile, "gt_idx"], "left").groupBy(tile).agg(
         F.count(F.lit(1)).alias("n_label_polys"),

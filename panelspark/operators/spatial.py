@@ -142,7 +142,7 @@ def best_scene(boxes: DataFrame, scenes: DataFrame, key: str = "array_id", cell:
         "_cy", F.explode(_cells(F.col("s_miny"), F.col("s_maxy"), cell)))
     w = F.least("maxx", "s_maxx") - F.greatest("minx", "s_minx")
     h = F.least("maxy", "s_maxy") - F.greatest("miny", "s_miny")
-    overlap = w * h / ((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
+    overlap = F.try_divide(w * h, (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
     cand = b.join(s, ["_cx", "_cy"]).where((w > 0) & (h > 0)).withColumn("overlap", overlap)
     best = cand.groupBy(key).agg(F.max_by(
         F.struct("scene_id", "overlap"), F.struct(F.least(F.col("overlap"), F.lit(0.999)), -F.col("rank"))).alias("_b"))

@@ -40,9 +40,9 @@ def ks_test(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     run = cumulative(counts, value, {"ca": "na", "cb": "nb"})
     sizes = counts.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"))
     d = run.crossJoin(F.broadcast(sizes)).agg(
-        F.max(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))).alias("d"),
+        F.max(F.abs(F.try_divide("ca", "n_a") - F.try_divide("cb", "n_b"))).alias("d"),
         F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"))
-    n = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
+    n = F.nullif(F.col("n_a") * F.col("n_b"), F.lit(0)) / (F.col("n_a") + F.col("n_b"))
     lam = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * F.col("d")
     series = F.aggregate(
         F.sequence(F.lit(1), F.lit(100)), F.lit(0.0),
