@@ -24,39 +24,58 @@ def _cells(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def ring_distance(a: Column, b: Column) -> Column:
-    """Distance between two simple polygons: 0 when they touch or one holds the other."""
-    def segments(r: Column) -> Column:
-        return F.zip_with(r, F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1)),
-                          lambda p, q: F.struct(p.alias("p"), q.alias("q")))
-
-    def to_segment(p: Column, s: Column) -> Column:
-        dx, dy = s["q"]["x"] - s["p"]["x"], s["q"]["y"] - s["p"]["y"]
-        length = dx * dx + dy * dy
-        along = ((p["x"] - s["p"]["x"]) * dx + (p["y"] - s["p"]["y"]) * dy) / length
-        t = F.when(length == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)))
-        return F.hypot(p["x"] - s["p"]["x"] - t * dx, p["y"] - s["p"]["y"] - t * dy)
-
-    def points_to(r: Column, other: Column) -> Column:
-        return F.array_min(F.transform(r, lambda p: F.array_min(F.transform(segments(other), lambda s: to_segment(p, s)))))
-
-    def side(p: Column, q: Column, r: Column) -> Column:
-        return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
-
-    def crosses(s: Column, t: Column) -> Column:
-        return (side(s["p"], s["q"], t["p"]) * side(s["p"], s["q"], t["q"]) < 0) & (
-            side(t["p"], t["q"], s["p"]) * side(t["p"], t["q"], s["q"]) < 0)
-
-    def holds(r: Column, p: Column) -> Column:
-        def hit(s: Column) -> Column:
-            (px, py), (qx, qy) = (s["p"]["x"], s["p"]["y"]), (s["q"]["x"], s["q"]["y"])
-            return ((py > p["y"]) != (qy > p["y"])) & (p["x"] < (qx - px) * (p["y"] - py) / (qy - py) + px)
-
-        return F.size(F.filter(segments(r), hit)) % 2 == 1
-
-    touching = F.exists(segments(a), lambda s: F.exists(segments(b), lambda t: crosses(s, t)))
-    inside = holds(a, F.element_at(b, 1)) | holds(b, F.element_at(a, 1))
-    return F.when(touching | inside, F.lit(0.0)).otherwise(F.least(points_to(a, b), points_to(b, a)))
+def box_gap(a: str, b: str) -> Column:
+    """Distance between the boxes ``{a}minx..maxy`` and ``{b}minx..maxy``: a lower bound for what lies in them."""
+    c = lambda side, n: F.col(f"{side}{n}")
+    dx = F.greatest(F.lit(0.0), c(b, "minx") - c(a, "maxx"), c(a, "minx") - c(b, "maxx"))
+    dy = F.greatest(F.lit(0.0), c(b, "miny") - c(a, "maxy"), c(a, "miny") - c(b, "maxy"))
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def ring_edges(ring: Column) -> Column:
+    """Edges of a ring with their number."""
+    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    pairs = F.zip_with(ring, nxt, lambda p, q: F.struct(
+        p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+    return F.transform(pairs, lambda e, i: F.struct(
+        i.alias("i"), e["px"].alias("px"), e["py"].alias("py"), e["qx"].alias("qx"), e["qy"].alias("qy")))
+
+
+def _point_segment2(x: Column, y: Column, px: Column, py: Column, qx: Column, qy: Column) -> Column:
+    """Squared distance from a point to a segment."""
+    dx, dy = qx - px, qy - py
+    along = F.try_divide((x - px) * dx + (y - py) * dy, dx * dx + dy * dy)
+    t = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), along)), F.lit(0.0))
+    ex, ey = x - px - t * dx, y - py - t * dy
+    return ex * ex + ey * ey
+
+
+def ring_distances(pairs: DataFrame, keys: Sequence[str], a: str = "a_edges", b: str = "b_edges",
+                   boxed: str = "boxed", gap: str = "gap") -> DataFrame:
+    """Exact polygon distance per pair (keys, d): 0 when outlines cross or one holds the other.
+
+    A pair becomes one row per edge combination, so all the arithmetic is plain generated code and the minimum is
+    combined inside the task. Pairs flagged ``boxed`` (both are axis-aligned boxes) carry their distance in ``gap``
+    and need no edges.
+    """
+    one = lambda e: F.when(F.col(boxed), F.slice(F.col(e), 1, 1)).otherwise(F.col(e))
+    rows = pairs.select(*keys, boxed, gap, F.inline(one(a)).alias("ai", "apx", "apy", "aqx", "aqy"), b)
+    rows = rows.select(*keys, boxed, gap, "ai", "apx", "apy", "aqx", "aqy", F.inline(one(b)).alias("bi", "bpx", "bpy", "bqx", "bqy"))
+    ap, aq = (F.col("apx"), F.col("apy")), (F.col("aqx"), F.col("aqy"))
+    bp, bq = (F.col("bpx"), F.col("bpy")), (F.col("bqx"), F.col("bqy"))
+    near = F.least(_point_segment2(*ap, *bp, *bq), _point_segment2(*aq, *bp, *bq),
+                   _point_segment2(*bp, *ap, *aq), _point_segment2(*bq, *ap, *aq))
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    crossing = (side(ap, aq, bp) * side(ap, aq, bq) < 0) & (side(bp, bq, ap) * side(bp, bq, aq) < 0)
+    # Ray casting: how often a ray from the first vertex of one ring meets the edges of the other.
+    ray = lambda v, p, q: ((p[1] > v[1]) != (q[1] > v[1])) & (
+        v[0] < p[0] + F.try_divide((q[0] - p[0]) * (v[1] - p[1]), q[1] - p[1]))
+    d2 = F.when(F.col(boxed), F.col(gap) * F.col(gap)).when(crossing, F.lit(0.0)).otherwise(near)
+    found = rows.groupBy(*keys).agg(
+        F.min(d2).alias("_d2"), F.first(boxed).alias("_boxed"), F.first(gap).alias("_gap"),
+        F.count_if((F.col("ai") == 0) & ray(ap, bp, bq)).alias("_in_b"), F.count_if((F.col("bi") == 0) & ray(bp, ap, aq)).alias("_in_a"))
+    inside = (F.col("_in_b") % 2 == 1) | (F.col("_in_a") % 2 == 1)
+    return found.select(*keys, F.when(F.col("_boxed"), F.col("_gap")).when(inside, F.lit(0.0)).otherwise(F.sqrt("_d2")).alias("d"))
 
 
 def neighbor_features(arrays: DataFrame, key: str = "array_id", radii: Sequence[float] = (50.0, 100.0),
@@ -72,24 +91,25 @@ def neighbor_features(arrays: DataFrame, key: str = "array_id", radii: Sequence[
     shapes = arrays.groupBy("ring").agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("head"))
     minx, miny, maxx, maxy = G.bounds(F.col("ring"))
     shapes = shapes.select("ring", "copies", "head", minx.alias("minx"), miny.alias("miny"), maxx.alias("maxx"),
-                           maxy.alias("maxy"), G.area(F.col("ring")).alias("area"))
-    own = shapes.select(
-        F.col("head").alias("o_head"), F.col("ring").alias("o_ring"), (F.col("minx") - reach).alias("o_minx"),
-        (F.col("miny") - reach).alias("o_miny"), (F.col("maxx") + reach).alias("o_maxx"),
-        (F.col("maxy") + reach).alias("o_maxy"))
-    own = own.withColumn("_cx", F.explode(_cells(F.col("o_minx"), F.col("o_maxx"), size))).withColumn(
-        "_cy", F.explode(_cells(F.col("o_miny"), F.col("o_maxy"), size)))
-    other = shapes.withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), size))).withColumn(
+                           maxy.alias("maxy"), G.area(F.col("ring")).alias("area"), ring_edges(F.col("ring")).alias("edges"))
+    is_box = (F.size("ring") == 4) & (F.col("area") == (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
+    shapes = shapes.withColumn("is_box", is_box)
+    own = shapes.select(*[F.col(c).alias(f"o_{c}") for c in ("head", "minx", "miny", "maxx", "maxy", "edges", "is_box")])
+    own = own.withColumn("_cx", F.explode(_cells(F.col("o_minx") - reach, F.col("o_maxx") + reach, size))).withColumn(
+        "_cy", F.explode(_cells(F.col("o_miny") - reach, F.col("o_maxy") + reach, size)))
+    other = shapes.drop("ring").withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), size))).withColumn(
         "_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), size)))
-    home = (F.floor(F.greatest("o_minx", "minx") / size) == F.col("_cx")) & (
-        F.floor(F.greatest("o_miny", "miny") / size) == F.col("_cy"))
-    meet = (F.col("minx") <= F.col("o_maxx")) & (F.col("maxx") >= F.col("o_minx")) & (
-        F.col("miny") <= F.col("o_maxy")) & (F.col("maxy") >= F.col("o_miny"))
-    pairs = own.join(other, ["_cx", "_cy"]).where(home & meet)
+    home = (F.floor(F.greatest(F.col("o_minx") - reach, F.col("minx")) / size) == F.col("_cx")) & (
+        F.floor(F.greatest(F.col("o_miny") - reach, F.col("miny")) / size) == F.col("_cy"))
+    meet = (F.col("minx") <= F.col("o_maxx") + reach) & (F.col("maxx") >= F.col("o_minx") - reach) & (
+        F.col("miny") <= F.col("o_maxy") + reach) & (F.col("maxy") >= F.col("o_miny") - reach)
     # A shape meets itself once; that row stands for its other copies, at distance zero.
-    times = F.when(F.col("o_head") == F.col("head"), F.col("copies") - 1).otherwise(F.col("copies"))
-    dist = F.when(F.col("o_head") == F.col("head"), F.lit(0.0)).otherwise(ring_distance(F.col("o_ring"), F.col("ring")))
-    pairs = pairs.select("o_head", "area", times.alias("times"), dist.alias("d")).where(F.col("times") > 0)
+    itself = F.col("o_head") == F.col("head")
+    pairs = own.join(other, ["_cx", "_cy"]).where(home & meet).select(
+        "o_head", F.when(itself, F.col("copies") - 1).otherwise(F.col("copies")).alias("times"), "head", "area",
+        (itself | (F.col("is_box") & F.col("o_is_box"))).alias("boxed"), box_gap("o_", "").alias("gap"),
+        F.col("o_edges").alias("a_edges"), F.col("edges").alias("b_edges")).where(F.col("times") > 0)
+    pairs = ring_distances(pairs, ["o_head", "head", "times", "area"])
     near = F.col("d") <= 100.0
     found = pairs.groupBy(F.col("o_head").alias("head")).agg(
         *[F.coalesce(F.sum(F.when(F.col("d") <= r, F.col("times"))), F.lit(0)).alias(f"neighbor_count_{int(r)}m") for r in radii],
