@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.operators.scale import cumulative
+from panelspark.operators.scale import RANGES, cumulative, with_ranges
 from panelspark.session import cut_lineage
 
 CELL_PX = 128.0
@@ -282,8 +282,9 @@ def average_precision(preds: DataFrame, gts: DataFrame, ious: Sequence[float],
     every = preds.groupBy("conf").agg(F.count(F.lit(1)).alias("n")).crossJoin(
         F.broadcast(preds.sparkSession.createDataFrame([(float(x),) for x in ious], "iou_threshold double")))
     hits = matched.groupBy("iou_threshold", "conf").agg(F.count(F.lit(1)).alias("tp"))
-    points = every.join(hits, ["iou_threshold", "conf"], "left").select(
-        "iou_threshold", (-F.col("conf")).alias("weak"), "n", F.coalesce("tp", F.lit(0)).alias("tp"))
+    # One row per threshold and distinct confidence; written once because the two scans below each read it twice.
+    points = cut_lineage(every.join(hits, ["iou_threshold", "conf"], "left").select(
+        "iou_threshold", (-F.col("conf")).alias("weak"), "n", F.coalesce("tp", F.lit(0)).alias("tp")))
     run = cumulative(points, "weak", {"c_n": "n", "c_tp": "tp"}, ["iou_threshold"])
     total = gts.agg(F.count(F.lit(1)).alias("_gt"))
     curve = run.crossJoin(F.broadcast(total)).withColumn("precision", F.col("c_tp") / F.col("c_n"))
@@ -296,13 +297,10 @@ def average_precision(preds: DataFrame, gts: DataFrame, ious: Sequence[float],
         (F.sum(F.col("tp") * F.col("envelope")) / F.max("_gt")).alias("average_precision"))
 
 
-def cumulative_max(df: DataFrame, part: Sequence[str], key: str, value: str, out: str, ranges: int = 64) -> DataFrame:
+def cumulative_max(df: DataFrame, part: Sequence[str], key: str, value: str, out: str, ranges: int = RANGES) -> DataFrame:
     """Running maximum from the highest ``key`` down, in two levels (inside key ranges, then over range maxima)."""
     part = list(part)
-    limits = cut_lineage(df.groupBy(*part).agg(
-        F.percentile_approx(key, [i / ranges for i in range(1, ranges)], ranges * 20).alias("_limits")))
-    ranged = df.join(limits, part).withColumn(
-        "_range", F.size(F.filter("_limits", lambda b: b < F.col(key)))).drop("_limits")
+    ranged = with_ranges(df, key, part, ranges)
     tops = ranged.groupBy(*part, "_range").agg(F.max(value).alias("_m"))
     above = W.partitionBy(*part).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = tops.select(*part, "_range", F.max("_m").over(above).alias("_above"))

@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.config import AuditRules
 from panelspark.functions import geo as G
 from panelspark.functions import names as N
-from panelspark.operators.scale import exact_quantiles
-from panelspark.operators.stats import index_pick
+from panelspark.operators.scale import pick_at, value_positions
 
 
 def _numbers(line: Column) -> Column:
@@ -153,10 +152,15 @@ def size_stats(lines: DataFrame) -> DataFrame:
     base = per_line.groupBy("split").agg(
         F.count(F.lit(1)).alias("total_objects"), F.sum("n_violations").alias("violations"),
         F.count_if("oversize").alias("large_objects"))
-    for c in ("w", "h"):
-        mid = exact_quantiles(per_line, c, {f"median_{c}": 0.5}, ["split"]).drop("n")
-        base = base.join(mid, "split", "left").join(index_pick(per_line, c, 0.95, f"p95_{c}", ["split"]), "split", "left")
-    return base
+    # Both axes and both picks come from one placement of the distinct sizes.
+    placed = value_positions(per_line.select("split", "w", "h").unpivot("split", ["w", "h"], "axis", "size"), "size", ["split", "axis"])
+    middle = F.lit(0.5) * (F.col("total") - 1)
+    tail = F.least(F.floor(F.lit(0.95) * F.col("total")), F.col("total") - 1)
+    picks = placed.groupBy("split", "axis").agg(
+        ((pick_at("size", F.floor(middle)) + pick_at("size", F.ceil(middle))) / 2).alias("median"), pick_at("size", tail).alias("p95"))
+    of = lambda c, axis: F.max(F.when(F.col("axis") == axis, F.col(c))).alias(f"{c}_{axis}")
+    wide = picks.groupBy("split").agg(*[of(c, axis) for axis in ("w", "h") for c in ("median", "p95")])
+    return base.join(wide, "split", "left")
 
 
 def canonical_join(names: DataFrame, index: DataFrame, name: str = "name", how: str = "left") -> DataFrame:

@@ -7,6 +7,7 @@ totals table (ranges per group, bounded) is scanned in order.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +16,36 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-RANGES = 64
-HASH_BITS = 10
+# Value ranges per group: a square number, searched in two steps of its root.
+RANGES = 256
+HASH_BITS = 14
 
 
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "inner") if keys else left.crossJoin(F.broadcast(right))
 
 
+def range_limits(df: DataFrame, key: str, part: Sequence[str], ranges: int) -> DataFrame:
+    """(part, _coarse, _limits): ascending cut points of ``key``, and every root-th of them for the first search step.
+
+    Checkpointed, so every use sees the same ones.
+    """
+    root = math.isqrt(ranges)
+    steps = [i / ranges for i in range(1, ranges)]
+    limits = df.groupBy(*part).agg(F.percentile_approx(key, steps, ranges * 20).alias("_limits"))
+    return cut_lineage(limits.withColumn("_coarse", F.filter("_limits", lambda _, i: i % root == root - 1)))
+
+
+def with_ranges(df: DataFrame, key: str, part: Sequence[str], ranges: int) -> DataFrame:
+    """Add ``_range``, the number of limits below the key: first among the coarse ones, then inside that block."""
+    root = math.isqrt(ranges)
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.col(key)))
+    joined = _same_keys(df, range_limits(df, key, part, ranges), part)
+    first = joined.select(*df.columns, below(F.col("_coarse")).alias("_c"), "_limits")
+    block = F.slice("_limits", F.col("_c") * root + 1, F.lit(root - 1))
+    return first.select(*df.columns, (F.col("_c") * root + below(block)).alias("_range"))
+
+
 def cumulative(distinct: DataFrame, key: str, sums: dict[str, str], part: Sequence[str] = (),
                ranges: int = RANGES) -> DataFrame:
     """Add inclusive running sums ``{out: column}`` in ascending ``key`` order inside each ``part``.
@@ -31,13 +54,7 @@ def cumulative(distinct: DataFrame, key: str, sums: dict[str, str], part: Sequen
     checkpointed, so both uses below see the same limits even after a lost executor.
     """
     part = list(part)
-    steps = [i / ranges for i in range(1, ranges)]
-    limits = cut_lineage(
-        distinct.groupBy(*part).agg(F.percentile_approx(key, steps, ranges * 20).alias("_limits"))
-    )
-    ranged = _same_keys(distinct, limits, part).withColumn(
-        "_range", F.size(F.filter("_limits", lambda b: b < F.col(key)))
-    ).drop("_limits")
+    ranged = with_ranges(distinct, key, part, ranges)
     totals = ranged.groupBy(*part, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = W.partitionBy(*(part or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

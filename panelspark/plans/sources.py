@@ -70,8 +70,9 @@ def s05(t):
 @query("s06_air_quality_payload", """SELECT station_id, CAST(ts AS DATE) AS dt, AVG(pm2_5) AS pm2_5, AVG(pm10) AS pm10
     FROM f_hourly WHERE ts >= TIMESTAMP '2013-01-01 00:00:00' GROUP BY 1, 2""", "pm2_5, pm10")
 def s06(t):
-    h = t.f_hourly.withColumn("yr", F.year("ts"))
-    docs = payloads(h, "hourly", ["pm2_5", "pm10"], ["station_id", "yr"], "ts")
+    # A document holds at most a thousand readings, however busy the station.
+    h = t.f_hourly.withColumn("chunk", F.floor(F.col("event_id") / 1000))
+    docs = payloads(h, "hourly", ["pm2_5", "pm10"], ["station_id", "chunk"], "ts")
     rows, _ = S.air_quality_payload(docs)
     return rows.groupBy("station_id", F.to_date("ts").alias("dt")).agg(F.avg("pm2_5").alias("pm2_5"), F.avg("pm10").alias("pm10"))
 
@@ -172,7 +173,7 @@ def s14(t):
         F.to_json(F.array(F.array("x1", "y1", "x2", "y1", "x2", "y2"))))
     ann = F.concat(F.lit('{"id": '), F.col("gt_idx").cast("string"), F.lit(', "image_id": '), F.col("tile_id").cast("string"), F.lit(', "segmentation": '), seg, F.lit("}"))
     # One document per image here; a document may hold any number of images.
-    per = t.f_gt.groupBy("tile_id").agg(F.array_join(F.collect_list(ann), ", ").alias("_a"))
+    per = t.f_gt.groupBy("tile_id", F.floor(F.col("gt_idx") / 1000)).agg(F.array_join(F.collect_list(ann), ", ").alias("_a"))
     doc = F.concat(F.lit('{"images": [{"id": '), F.col("tile_id").cast("string"), F.lit(', "file_name": "sub/img_'), F.col("tile_id").cast("string"),
                    F.lit('.jpg", "width": 1000, "height": 800}], "annotations": ['), F.col("_a"), F.lit("]}"))
     return S.coco_lines(per.select(doc.alias("value"))).select("tile", "ann_id", "line")

@@ -62,3 +62,43 @@ def t4(t):
     events = t.sql(FEEDBACK).withColumn("partner_id", F.when(F.col("partner_id") == "p3", "-p3").otherwise(F.col("partner_id")))
     T.feedback_stream(staged(t, events, "events", folder), f"{folder}/out", f"{folder}/state").awaitTermination()
     return t.spark.read.parquet(f"{folder}/out").select("partner_id", "array_id", "cleaned_at", "actual_recovery_pct")
+
+
+@query("s18_csv_round_trip", "SELECT tile_id, pred_idx, conf, CASE WHEN conf > 5e-1 THEN conf END AS strong FROM f_pred", "conf, strong")
+def s18_csv(t):
+    from panelspark.sources import sinks as K
+    path = f"{scratch(t.spark)}/detections"
+    K.write_csv(t.f_pred.select("tile_id", "pred_idx", "conf", F.when(F.col("conf") > 0.5, F.col("conf")).alias("strong")), path)
+    raw = t.spark.read.csv(path, header=True, nullValue="")
+    return raw.select(F.col("tile_id").cast("bigint"), F.col("pred_idx").cast("int"), F.col("conf").cast("double"), F.col("strong").cast("double"))
+
+
+@query("s20_matrix_round_trip", "SELECT array_id, (maxx - minx) * (maxy - miny) AS area_m2, maxx FROM f_rect", "area_m2, maxx")
+def s20(t):
+    from panelspark.functions import geo as G
+    from panelspark.sources import sinks as K
+    folder = scratch(t.spark)
+    ring = G.box_ring(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))
+    K.write_matrix(t.f_rect.select("array_id", G.area(ring).alias("area_m2"), ring.alias("ring")), f"{folder}/flat", f"{folder}/geo")
+    flat, geo = t.spark.read.parquet(f"{folder}/flat"), t.spark.read.parquet(f"{folder}/geo")
+    return flat.join(geo.select("array_id", G.bounds(F.col("ring"))[2].alias("maxx")), "array_id")
+
+
+@query("s28_append_results", "SELECT o_orderstatus AS status, COUNT(*) AS n FROM orders GROUP BY 1")
+def s28(t):
+    from panelspark.sources import sinks as K
+    path = f"{scratch(t.spark)}/curve"
+    for part in (0, 1):
+        K.write_csv(t.orders.where(F.col("o_orderkey") % 2 == part).select("o_orderkey", "o_orderstatus"), path, "append")
+    rows = t.spark.read.csv(path, header=True, schema="o_orderkey BIGINT, o_orderstatus STRING")
+    return rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s13_label_files", "SELECT tile_id % 50 AS tile, COUNT(*) AS n_lines FROM f_gt GROUP BY 1")
+def s13_files(t):
+    from panelspark.functions import geo as G
+    from panelspark.sources import sinks as K
+    path = f"{scratch(t.spark)}/labels"
+    line = K.label_line(G.box_ring(F.col("x1") / 1000, F.col("y1") / 1000, F.col("x2") / 1000, F.col("y2") / 1000))
+    K.write_label_text(t.f_gt.select((F.col("tile_id") % 50).alias("tile"), "gt_idx", line.alias("line")), path, order="gt_idx")
+    return t.spark.read.schema("value STRING, tile BIGINT").text(path).groupBy("tile").agg(F.count(F.lit(1)).alias("n_lines"))
