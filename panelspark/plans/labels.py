@@ -60,7 +60,7 @@ def a16(t):
 @query("a33_ingest_profile", """SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE iwsr_censored) AS n_censored, COUNT(DISTINCT station_id) AS n_stations, MIN(year) AS min_year, MAX(year) AS max_year,
     (SELECT STRING_AGG(n, ',' ORDER BY n) FROM (SELECT DISTINCT n_name AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN f_panel ON station_id = s_suppkey) z) AS states FROM f_panel""")
 def a33(t):
-    home = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("station_id"), F.col("n_name").alias("state"))
+    home = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("station_id"), F.col("n_name").alias("state"))
     return L.ingest_profile(t.f_panel.join(home, "station_id")).withColumn("states", F.array_join("states", ","))
 
 
