@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Words and the runs between them, as Java and RE2 patterns.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+BLANKS = " \t\n\x0b\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE, WORD, shared_table, text_of
+from panelspark.llm.common import BLANKS, SPACE, WORD, shared_table, text_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -30,7 +30,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     kept = [c for c in docs.columns if c not in MEASURES]
     whole = text_of(text)
-    words = F.split(F.expr(f"trim(BOTH ' \\t\\n\\u000b\\f\\r' FROM coalesce(`{text}`, ''))"), SPACE)
+    words = F.split(F.trim(whole, F.lit(BLANKS)), SPACE)
     cut = docs.select(*kept, words.alias("_words"), whole.alias("_text"), F.filter(F.split(whole, "\n"), lambda x: x.rlike(WORD)).alias("_lines"))
     glued = cut.select(*kept, "_words", "_lines", "_text", F.array_join("_words", "").alias("_glued"), F.transform("_words", lambda x: F.xxhash64(x)).alias("_prints"))
     sized = glued.select(

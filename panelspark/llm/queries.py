@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact_dedup, quality_rules, sharding
-from panelspark.llm.common import text_of
+from panelspark.llm import exact_dedup, mixing, quality_rules, sharding
+from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,10 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM plain WINDOW g AS (PARTITION BY t)""")
 def _(spark, sf_dir):
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+
+
+@query("op2_temperature_mixing")
+def _(spark, sf_dir):
+    rows = mixing.counted(_documents(spark, sf_dir))
+    narrow = shared_table(rows.select(F.struct("doc.doc_id").alias("doc"), "row", "source", "tokens"))
+    return mixing.mixture(narrow).select("doc.doc_id", "source", "tokens", "turn", "block", "place", F.round("weight", 9).alias("weight"))
