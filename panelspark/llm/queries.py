@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact_dedup, mixing, quality_rules, sharding
+from panelspark.llm import exact_dedup, mixing, quality_rules, sharding, simhash_dedup
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def _(spark, sf_dir):
     rows = mixing.counted(_documents(spark, sf_dir))
     narrow = shared_table(rows.select(F.struct("doc.doc_id").alias("doc"), "row", "source", "tokens"))
     return mixing.mixture(narrow).select("doc.doc_id", "source", "tokens", "turn", "block", "place", F.round("weight", 9).alias("weight"))
+
+
+@query("op9_covering_simhash")
+def _(spark, sf_dir):
+    return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
