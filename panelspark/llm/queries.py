@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import exact_dedup, mixing, quality_rules, sharding, simhash_dedup
+from panelspark.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash_dedup
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,19 @@ def _(spark, sf_dir):
 @query("op9_covering_simhash")
 def _(spark, sf_dir):
     return simhash_dedup.near_duplicates(_documents(spark, sf_dir))
+
+
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_bpe_rounds")
+def _(spark, sf_dir):
+    path = tokenizer()
+    tokens = bpe.encode(_documents(spark, sf_dir).select("doc_id", text_of("text").alias("text")), path)
+    back = bpe.decode(tokens.select("doc_id", "ids"), path)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
