@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash_dedup
+from panelspark.llm import bpe, exact_dedup, mixing, ppm, quality_rules, sharding, simhash_dedup
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def _(spark, sf_dir):
     back = bpe.decode(tokens.select("doc_id", "ids"), path)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op7_ppm_scores")
+def _(spark, sf_dir):
+    return ppm.score(_documents(spark, sf_dir))
