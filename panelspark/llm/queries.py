@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, mixing, ppm, quality_rules, sharding, simhash_dedup
+from panelspark.llm import bpe, exact_dedup, language_id, mixing, ppm, quality_rules, sharding, simhash_dedup, url_filter
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,16 @@ def _(spark, sf_dir):
 @query("op7_ppm_scores")
 def _(spark, sf_dir):
     return ppm.score(_documents(spark, sf_dir))
+
+
+@query("op8_viterbi_language")
+def _(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    return language_id.identify(docs.select("doc_id", "text"), model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
+@query("op1_url_model_ratio")
+def _(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
