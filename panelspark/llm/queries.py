@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, language_id, mixing, ppm, quality_rules, sharding, simhash_dedup, url_filter
+from panelspark.llm import bpe, exact_dedup, language_id, mixing, ppm, quality_rules, secrets, sharding, simhash_dedup, url_filter
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,12 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return url_filter.judge(pages).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+@query("op5_credential_links")
+def _(spark, sf_dir):
+    found = secrets.scan(_documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == secrets.KINDS.index(kind))).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.STRONG))
+    return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+                        F.sha2(secrets.named(base), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
