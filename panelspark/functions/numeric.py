@@ -64,6 +64,6 @@ def censored_ratio(text: Column) -> tuple[Column, Column]:
     """``>x`` means "above x": the middle of (x, 1), flagged; else the number, else null."""
     trimmed = F.trim(text)
     above = F.coalesce(trimmed.startswith(">"), F.lit(False))
-    value = F.when(above, (F.substring(trimmed, 2, 64).try_cast("double") + 1.0) / 2.0).otherwise(
+    value = F.when(above, (F.substring(trimmed, F.lit(2), F.length(trimmed)).try_cast("double") + 1.0) / 2.0).otherwise(
         trimmed.try_cast("double"))
     return value, above

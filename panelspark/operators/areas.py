@@ -19,8 +19,10 @@ def scene_key(name: Column) -> Column:
 
 
 def is_wgs84(crs: Column) -> Column:
-    """Absent means WGS84."""
-    return crs.isNull() | F.lower(F.trim(crs)).isin(*WGS84_NAMES)
+    """``crs`` is the member's JSON text. Absent means WGS84; else it must be an object that names WGS84."""
+    named = F.from_json(crs, "STRUCT<name: STRING, properties: STRUCT<name: STRING>>")
+    name = F.coalesce(named["properties"]["name"], named["name"])
+    return crs.isNull() | F.coalesce(F.lower(F.trim(name)).isin(*WGS84_NAMES), F.lit(False))
 
 
 def range_error(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
@@ -28,11 +30,22 @@ def range_error(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Colum
         ~(miny.between(-90, 90) & maxy.between(-90, 90)), "latitude_range")
 
 
-def stable_id(ring: Column) -> Column:
-    """Ten hex digits over the canonical polygon text; whole numbers keep one decimal."""
-    closed = F.concat(ring, F.slice(ring, 1, 1))
-    pair = lambda p: F.concat(F.lit("["), p["x"].cast("string"), F.lit(","), p["y"].cast("string"), F.lit("]"))
-    text = F.concat(F.lit('{"coordinates":[['), F.array_join(F.transform(closed, pair), ","), F.lit(']],"type":"Polygon"}'))
+def number_text(x: Column) -> Column:
+    """A coordinate in canonical JSON: shortest digits, whole numbers keep one decimal, an exponent of two digits only
+    below a ten-thousandth."""
+    text = x.cast("string")
+    parts = r"^(-?)(\d)\.(\d+)E-(\d+)$"
+    sign, whole, rest, power = (F.regexp_extract(text, parts, i) for i in (1, 2, 3, 4))
+    digits = F.when(rest == "0", "").otherwise(rest)
+    small = F.concat(sign, whole, F.when(digits == "", "").otherwise(F.concat(F.lit("."), digits)), F.lit("e-"), F.lpad(power, 2, "0"))
+    return F.when(~text.contains("E-"), text).when(power == "4", F.concat(sign, F.lit("0.000"), whole, digits)).otherwise(small)
+
+
+def stable_id(rings: Column) -> Column:
+    """Ten hex digits over the canonical polygon text of all rings, the outer one first."""
+    pair = lambda p: F.concat(F.lit("["), number_text(p["x"]), F.lit(","), number_text(p["y"]), F.lit("]"))
+    closed = lambda r: F.concat(F.lit("["), F.array_join(F.transform(F.concat(r, F.slice(r, 1, 1)), pair), ","), F.lit("]"))
+    text = F.concat(F.lit('{"coordinates":['), F.array_join(F.transform(rings, closed), ","), F.lit('],"type":"Polygon"}'))
     return F.substring(F.sha1(text), 1, 10)
 
 
@@ -53,17 +66,17 @@ def parse_specs(specs: DataFrame, scenes: DataFrame, spec: str = "spec", partner
         .when(~((minx < maxx) & (miny < maxy)), "degenerate").otherwise(range_error(*box)))
     df = df.withColumn("error", error).withColumn("ring", F.when(F.col("error").isNull(), G.box_ring(*box)))
     own = F.col(partner) if partner else F.lit(None).cast("string")
-    ident = F.coalesce(own, F.when(F.col("_scene"), F.col("_key")).otherwise(stable_id(F.col("ring"))))
+    ident = F.coalesce(own, F.when(F.col("_scene"), F.col("_key")).otherwise(stable_id(F.array("ring"))))
     ok = F.col("error").isNull()
     return df.withColumn("source", F.when(ok, F.when(F.col("_scene"), "scene").otherwise("bbox"))).withColumn(
         "aoi_id", F.when(ok, ident)).select(*specs.columns, "source", "aoi_id", "ring", "error")
 
 
 def parse_geojson_areas(raw: DataFrame, text: str = "value") -> DataFrame:
-    """GeoJSON documents (collection, feature or bare polygon) to (aoi_id, ring, error)."""
+    """GeoJSON documents (collection, feature or bare polygon) to (aoi_id, ring, holes, error)."""
     geom = "STRUCT<type: STRING, coordinates: STRING>"
     kind = (f"STRUCT<type: STRING, coordinates: STRING, geometry: {geom}, features: ARRAY<STRUCT<geometry: {geom}>>, "
-            "crs: STRUCT<name: STRING, properties: STRUCT<name: STRING>>>")
+            "crs: STRING>")
     d = raw.withColumn("_d", F.from_json(F.col(text), kind))
     bare = F.struct(F.col("_d.type").alias("type"), F.col("_d.coordinates").alias("coordinates"))
     empty = (F.col("_d.type") == "FeatureCollection") & (F.coalesce(F.size("_d.features"), F.lit(0)) <= 0)
@@ -71,14 +84,15 @@ def parse_geojson_areas(raw: DataFrame, text: str = "value") -> DataFrame:
         F.col("_d.type") == "Feature", F.col("_d.geometry")).otherwise(bare)
     d = d.withColumn("_g", g)
     rings = F.from_json("_g.coordinates", "ARRAY<ARRAY<ARRAY<DOUBLE>>>")
-    ring = G.open_ring(F.transform(F.get(rings, 0), lambda c: G.point(F.get(c, 0), F.get(c, 1))))
-    d = d.withColumn("_r", F.when(F.col("_g.type") == "Polygon", ring))
+    opened = F.transform(rings, lambda r: G.open_ring(F.transform(r, lambda c: G.point(F.get(c, 0), F.get(c, 1)))))
+    d = d.withColumn("_all", F.when(F.col("_g.type") == "Polygon", opened)).withColumn("_r", F.get("_all", 0))
     error = (
-        F.when(~is_wgs84(F.coalesce("_d.crs.properties.name", "_d.crs.name")), "not_wgs84").when(empty, "no_features")
+        F.when(~is_wgs84(F.col("_d.crs")), "not_wgs84").when(empty, "no_features")
         .when(F.coalesce(F.col("_g.type"), F.lit("")) != "Polygon", "not_a_polygon")
         .when(~G.is_usable(F.col("_r")) | self_crossing(F.col("_r")), "invalid_polygon").otherwise(range_error(*G.bounds(F.col("_r")))))
-    d = d.withColumn("error", error).withColumn("ring", F.when(F.col("error").isNull(), F.col("_r")))
-    return d.withColumn("aoi_id", F.when(F.col("error").isNull(), stable_id(F.col("ring")))).drop("_d", "_g", "_r")
+    ok = F.col("error").isNull()
+    d = d.withColumn("error", error).withColumn("ring", F.when(ok, F.col("_r"))).withColumn("holes", F.when(ok, F.slice("_all", 2, F.size("_all"))))
+    return d.withColumn("aoi_id", F.when(ok, stable_id(F.col("_all")))).drop("_d", "_g", "_r", "_all")
 
 
 def self_crossing(ring: Column) -> Column:

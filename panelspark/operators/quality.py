@@ -324,14 +324,22 @@ def review_queue(scored: DataFrame, log: DataFrame, min_score: int = 1, top: int
 
 
 def replay_decisions(labels: DataFrame, log: DataFrame) -> DataFrame:
-    """Labels after the last decision of each tile: keep, remove listed polygons (one-based), remove all, flag."""
+    """Labels after all decisions on their tile, in order of time.
+
+    Removals add up, and an index (one-based) counts the polygons that are left at that point; keeping or flagging a
+    tile brings nothing back. A tile is flagged if its last decision says so. One tile's decisions and polygon numbers
+    are folded in one row, as the label file of a tile is.
+    """
     decided = log.where(F.col("action").isin("keep", "remove", "remove_all", "flag_for_reannotation"))
-    last = decided.groupBy("tile_id").agg(F.max_by(F.struct("action", "removed_indices"), F.struct("ts", "action")).alias("_d"))
-    gone = last.where(F.col("_d.action") == "remove").select(
-        "tile_id", F.explode(F.transform(F.split("_d.removed_indices", ";"), lambda v: v.try_cast("int"))).alias("poly_no"))
-    emptied = last.where(F.col("_d.action") == "remove_all").select("tile_id")
-    flagged = last.where(F.col("_d.action") == "flag_for_reannotation").select("tile_id", F.lit(True).alias("_f"))
-    kept = labels.join(gone, ["tile_id", "poly_no"], "left_anti").join(emptied, "tile_id", "left_anti")
+    flagged = decided.groupBy("tile_id").agg(F.max_by("action", F.struct("ts", "action")).alias("_last")).where(
+        "_last = 'flag_for_reannotation'").select("tile_id", F.lit(True).alias("_f"))
+    steps = decided.where(F.col("action").isin("remove", "remove_all")).groupBy("tile_id").agg(
+        F.array_sort(F.collect_list(F.struct("ts", "action", "removed_indices"))).alias("_steps"))
+    numbers = labels.join(steps.select("tile_id"), "tile_id", "left_semi").groupBy("tile_id").agg(F.array_sort(F.collect_set("poly_no")).alias("_all"))
+    left = F.expr("""aggregate(_steps, _all, (kept, s) -> CASE WHEN s.action = 'remove_all' THEN slice(kept, 1, 0)
+        ELSE filter(kept, (p, i) -> NOT array_contains(transform(split(coalesce(s.removed_indices, ''), ';'), v -> coalesce(try_cast(v AS INT), 0)), i + 1)) END)""")
+    gone = numbers.join(steps, "tile_id").select("tile_id", F.explode(F.array_except("_all", left)).alias("poly_no"))
+    kept = labels.join(gone, ["tile_id", "poly_no"], "left_anti")
     return kept.join(flagged, "tile_id", "left").withColumn("flagged", F.coalesce("_f", F.lit(False))).drop("_f")
 
 

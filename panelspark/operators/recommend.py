@@ -36,15 +36,16 @@ def area_risk(scores: DataFrame, area: str = "aoi_id", score: str = "risk_score"
 
 def recommend_areas(scores: DataFrame, forecast: DataFrame, areas: DataFrame, today: Column,
                     cfg: Recommend = Recommend()) -> DataFrame:
-    """One decision per area. ``areas`` has (aoi_id, last_cleaned); ``forecast`` one row per (aoi_id, day_no)."""
+    """One decision per area, with risk 0 where it has no arrays. ``areas`` has (aoi_id, last_cleaned); ``forecast`` one row per (aoi_id, day_no)."""
     rain = forecast.where(F.col("day_no") < cfg.forecast_days)
     dry = longest_dry_run(rain, ["aoi_id"], "day_no", "rain_mm", F.lit(cfg.rain_mm_threshold / max(cfg.forecast_days, 1)))
     total = rain.groupBy("aoi_id").agg(F.sum("rain_mm").alias("total_rain_mm"))
     base = (
-        areas.join(area_risk(scores), "aoi_id").join(total, "aoi_id", "left").join(dry, "aoi_id", "left")
+        areas.join(area_risk(scores), "aoi_id", "left").join(total, "aoi_id", "left").join(dry, "aoi_id", "left")
         .withColumn("today", today)
         .withColumn("days_since_clean", F.datediff("today", "last_cleaned"))
         .withColumn("total_rain_mm", F.coalesce("total_rain_mm", F.lit(0.0)))
+        .withColumn("aoi_risk", F.coalesce("aoi_risk", F.lit(0.0))).withColumn("n_arrays", F.coalesce("n_arrays", F.lit(0)))
     )
     rule = (
         F.when(F.col("aoi_risk") < cfg.risk_threshold, "below_risk_threshold")

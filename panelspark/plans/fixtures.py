@@ -48,7 +48,7 @@ FROM lineitem WHERE l_discount > 0.01""",
   CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(c_custkey * (c_nationkey + 3) % 1000 AS DOUBLE) / CASE WHEN c_nationkey % 4 = 0 THEN 2000 ELSE 1000 END END AS risk_score FROM customer""",
     "f_forecast": """SELECT n.n_nationkey AS aoi_id, d.day_no,
   CASE WHEN (n.n_nationkey * 7 + d.day_no * 3) % (4 + n.n_nationkey % 9) = 0 THEN CAST(n.n_nationkey % 6 AS DOUBLE) * 2 ELSE CAST(0 AS DOUBLE) END AS rain_mm
-FROM nation n CROSS JOIN (SELECT DISTINCT l_linenumber - 1 AS day_no FROM lineitem) d""",
+FROM nation n CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6)) AS d(day_no)""",
     "f_score": """SELECT d.doc_id, d.lang AS grp, CAST(d.n_chars AS DOUBLE) / (1000 + d.n_chars) AS score, l.quality AS y
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "f_line": """SELECT tile_id, gt_idx AS line_no,

@@ -215,12 +215,18 @@ def o04(t):
 
 LOG = """SELECT o_orderkey AS tile_id, CAST(o_orderdate AS DATE) AS ts, CASE o_orderkey % 6 WHEN 0 THEN 'keep' WHEN 1 THEN 'remove' WHEN 2 THEN 'remove_all' WHEN 3 THEN 'flag_for_reannotation' WHEN 4 THEN 'skip' ELSE 'remove' END AS action,
       CASE o_orderkey % 6 WHEN 1 THEN '1;3' WHEN 5 THEN '2' END AS removed_indices FROM orders WHERE o_orderkey % 5 <> 0
-    UNION ALL SELECT o_orderkey AS tile_id, CAST('1980-01-01' AS DATE) AS ts, 'remove_all' AS action, CAST(NULL AS STRING) AS removed_indices FROM orders WHERE o_orderkey % 6 IN (0, 4)"""
-
-
-@query("d05_replay_decisions", f"""WITH lg AS ({LOG}), e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tile_id ORDER BY ts DESC) AS rn FROM lg WHERE action <> 'skip'), la AS (SELECT * FROM e WHERE rn = 1)
-    SELECT g.tile_id, g.gt_idx AS poly_no, COALESCE(la.action = 'flag_for_reannotation', FALSE) AS flagged FROM f_gt g LEFT JOIN la ON la.tile_id = g.tile_id
-    WHERE COALESCE(la.action, 'keep') <> 'remove_all' AND NOT (COALESCE(la.action, 'keep') = 'remove' AND LIST_CONTAINS(STRING_SPLIT(COALESCE(la.removed_indices, ''), ';'), CAST(g.gt_idx AS VARCHAR)))""")
+    UNION ALL SELECT o_orderkey AS tile_id, CAST('1980-01-01' AS DATE) AS ts, 'remove_all' AS action, CAST(NULL AS STRING) AS removed_indices FROM orders WHERE o_orderkey % 6 IN (0, 4)
+    UNION ALL SELECT o_orderkey AS tile_id, CAST('1985-01-01' AS DATE) AS ts, 'remove' AS action, '2' AS removed_indices FROM orders WHERE o_orderkey % 6 IN (1, 3, 5)"""
+
+
+@query("d05_replay_decisions", f"""WITH RECURSIVE lg AS ({LOG}), e AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY tile_id ORDER BY ts, action, removed_indices) AS rn FROM lg WHERE action <> 'skip'),
+    st AS (SELECT tile_id, CAST(0 AS BIGINT) AS n, LIST(gt_idx ORDER BY gt_idx) AS l FROM f_gt GROUP BY tile_id UNION ALL
+      SELECT st.tile_id, e.rn, CASE e.action WHEN 'remove_all' THEN l[1:0]
+        WHEN 'remove' THEN LIST_FILTER(l, LAMBDA x, i: NOT LIST_CONTAINS(STRING_SPLIT(COALESCE(e.removed_indices, ''), ';'), CAST(i AS VARCHAR))) ELSE l END
+      FROM st JOIN e ON e.tile_id = st.tile_id AND e.rn = st.n + 1),
+    done AS (SELECT tile_id, ARG_MAX(l, n) AS l FROM st GROUP BY tile_id), la AS (SELECT tile_id, ARG_MAX(action, rn) AS action FROM e GROUP BY tile_id)
+    SELECT d.tile_id, d.poly_no, COALESCE(la.action = 'flag_for_reannotation', FALSE) AS flagged
+    FROM (SELECT tile_id, UNNEST(l) AS poly_no FROM done) d LEFT JOIN la ON la.tile_id = d.tile_id""")
 def d05(t):
     return Q.replay_decisions(t.f_gt.select("tile_id", F.col("gt_idx").cast("int").alias("poly_no")), t.sql(LOG)).select(
         "tile_id", F.col("poly_no").cast("bigint").alias("poly_no"), "flagged")

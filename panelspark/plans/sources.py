@@ -59,9 +59,13 @@ def payloads(df, block, variables, keys, time):
     return g.select(*keys, F.to_json(F.struct(F.struct(*cols).alias(block)), {"ignoreNullFields": "false"}).alias("value"))
 
 
-@query("s05_weather_payload", "SELECT station_id, dt, precipitation_sum, wind_speed_10m_max FROM f_daily", "precipitation_sum, wind_speed_10m_max")
+@query("s05_weather_payload", """SELECT station_id, dt, precipitation_sum, CASE WHEN station_id % 5 <> 0 THEN wind_speed_10m_max END AS wind_speed_10m_max
+    FROM f_daily""", "precipitation_sum, wind_speed_10m_max")
 def s05(t):
-    docs = payloads(t.f_daily.withColumn("yr", F.year("dt")), "daily", ["precipitation_sum", "wind_speed_10m_max"], ["station_id", "yr"], "dt")
+    days, keys = t.f_daily.withColumn("yr", F.year("dt")), ["station_id", "yr"]
+    # Every fifth station's payload lacks the wind.
+    docs = payloads(days.where("station_id % 5 <> 0"), "daily", ["precipitation_sum", "wind_speed_10m_max"], keys, "dt").unionByName(
+        payloads(days.where("station_id % 5 = 0"), "daily", ["precipitation_sum"], keys, "dt"))
     broken = docs.select("station_id", "yr", F.lit('{"error": true, "reason": "limit"}').alias("value"))
     rows, _ = S.weather_payload(docs.unionByName(broken), ["precipitation_sum", "wind_speed_10m_max"])
     return rows
@@ -239,7 +243,8 @@ FEEDBACK = """SELECT CONCAT('p', CAST(o_orderkey % 7 AS STRING)) AS partner_id,
     CAST(100 + o_orderkey % 50 AS DOUBLE) AS pre_clean_kwh_7d, CAST(100 + o_orderkey % 50 + o_orderkey % 23 AS DOUBLE) AS post_clean_kwh_7d FROM orders"""
 PCT = X.round_binary_sql("((post_clean_kwh_7d - pre_clean_kwh_7d) / pre_clean_kwh_7d * 100)", 2)
 CENTROIDS = """SELECT CONCAT('p', CAST(p.n AS STRING)) AS partner_id, c.c_custkey AS array_id, CAST(c.c_custkey % 90 AS DOUBLE) AS latitude, CAST(c.c_custkey % 170 AS DOUBLE) AS longitude
-    FROM customer c JOIN (SELECT n_nationkey AS n FROM nation) p ON c.c_custkey % 7 = p.n OR c.c_custkey % 5 = p.n"""
+    FROM (SELECT c_custkey, c_custkey % 7 AS n FROM customer UNION SELECT c_custkey, c_custkey % 5 AS n FROM customer) c
+    JOIN (SELECT n_nationkey AS n FROM nation) p ON c.n = p.n"""
 
 
 @query("s23_feedback_labels", f"""WITH f AS (SELECT *, {PCT} AS pct FROM ({FEEDBACK}) x), c AS ({CENTROIDS})
@@ -276,7 +281,7 @@ VERTICES = """SELECT l_orderkey * 10 + l_linenumber AS polygon_id, CAST(3 + (l_l
 @query("s25_wide_vertices", f"""WITH v AS (SELECT polygon_id, CASE WHEN lat3 IS NULL THEN number_vertices - 1 ELSE number_vertices END AS n_points, lat1, lon1 FROM ({VERTICES}) x)
     SELECT polygon_id, n_points, lat1 AS first_y, lon1 AS first_x FROM v WHERE n_points >= 3""", "first_y, first_x")
 def s25(t):
-    return S.wide_vertices(t.sql(VERTICES), ["polygon_id"], most=5).select(
+    return S.wide_vertices(t.sql(VERTICES), ["polygon_id"]).select(
         "polygon_id", F.size("ring").alias("n_points"), F.col("ring")[0]["y"].alias("first_y"), F.col("ring")[0]["x"].alias("first_x"))
 
 

@@ -32,10 +32,9 @@ def label_line(ring: Column, class_id: Column | None = None) -> Column:
 
 
 def write_label_text(lines: DataFrame, path: str, tile: str = "tile", order: str = "line_no") -> None:
-    """Label files in folders per split and tile, sorted by line and never assembled in memory. A tile with more
-    than a million lines becomes several files, so no writer takes an unbounded tile."""
+    """One label file per split and tile, sorted by line on disk and never assembled in memory."""
     keys = [c for c in ("split", tile) if c in lines.columns]
-    lines.repartition(*keys, F.floor(F.col(order) / 1_000_000)).sortWithinPartitions(*keys, order).select(*keys, F.col("line").alias("value")).write.mode(
+    lines.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, F.col("line").alias("value")).write.mode(
         "overwrite").partitionBy(*keys).text(path)
 
 
@@ -102,7 +101,7 @@ def recommendation_payload(decisions: DataFrame) -> DataFrame:
     return decisions.select(
         "aoi_id", "window_start", "window_end", "expected_recovery_pct", "confidence", "rule_fired",
         F.lit("recommend-v1-rule").alias("model_version"), F.lit(True).alias("beta"),
-        F.array(F.lit("Rule-based; expected_recovery_pct is a static placeholder per risk bucket"),
-                F.lit("Single forecast per area")).alias("known_limitations"),
+        F.array(F.lit("recovery ranges come from a fixed table, not from measurements"),
+                F.lit("all arrays of an area share one rain forecast")).alias("known_limitations"),
         F.struct(F.col("aoi_risk").alias("aoi_risk_p90"), "n_arrays", "days_since_clean",
                  F.col("total_rain_mm").alias("total_rain_7d_mm"), "last_cleaned", "today").alias("inputs"))

@@ -134,15 +134,18 @@ def soiling_state_stream(daily: DataFrame, delay: str = "1 day", eqd: Equivalent
 
 def feedback_stream(events: DataFrame, path: str, checkpoint: str, dedupe: bool = False,
                     delay: str = "1 day") -> StreamingQuery:
-    """T4: validate, add the recovery, append. Repeats are kept unless asked otherwise."""
+    """T4: validate, add the recovery, append. Repeats are kept unless asked otherwise.
+
+    Each batch has a folder of its own, so a batch that is run again after a restart replaces what it wrote.
+    """
     rows = events
     if dedupe:
         rows = rows.withColumn("_ts", F.col("cleaned_at").cast("timestamp")).withWatermark("_ts", delay).dropDuplicatesWithinWatermark(
             ["partner_id", "array_id", "cleaned_at"]).drop("_ts")
     rows = rows.where(valid_partner(F.col("partner_id")))
 
-    def append(batch: DataFrame, _epoch: int) -> None:
-        feedback_record(batch).write.mode("append").parquet(path)
+    def append(batch: DataFrame, epoch: int) -> None:
+        feedback_record(batch).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={epoch}")
 
     return rows.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
