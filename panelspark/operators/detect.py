@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.operators.scale import RANGES, cumulative, with_ranges
+from panelspark.operators.scale import cumulative, default_ranges, with_ranges
 from panelspark.session import cut_lineage
 
 CELL_PX = 128.0
@@ -297,10 +297,10 @@ def average_precision(preds: DataFrame, gts: DataFrame, ious: Sequence[float],
         (F.sum(F.col("tp") * F.col("envelope")) / F.max("_gt")).alias("average_precision"))
 
 
-def cumulative_max(df: DataFrame, part: Sequence[str], key: str, value: str, out: str, ranges: int = RANGES) -> DataFrame:
+def cumulative_max(df: DataFrame, part: Sequence[str], key: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """Running maximum from the highest ``key`` down, in two levels (inside key ranges, then over range maxima)."""
     part = list(part)
-    ranged = with_ranges(df, key, part, ranges)
+    ranged = with_ranges(df, key, part, ranges or default_ranges(df))
     tops = ranged.groupBy(*part, "_range").agg(F.max(value).alias("_m"))
     above = W.partitionBy(*part).orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1)
     offsets = tops.select(*part, "_range", F.max("_m").over(above).alias("_above"))

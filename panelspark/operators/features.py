@@ -88,9 +88,14 @@ def inference_matrix(arrays: DataFrame, daily: DataFrame, static: DataFrame | No
     return out if static is None else out.join(static, "station_id", "left")
 
 
+def categories(df: DataFrame, column: str) -> list[str]:
+    """The categories of a training table in order, and ``unknown``. A category list is short; keep it with the model."""
+    return sorted({r[0] for r in df.select(F.coalesce(F.col(column), F.lit("unknown"))).distinct().collect()} | {"unknown"})
+
+
 def one_hot(df: DataFrame, column: str, values: Sequence[str]) -> DataFrame:
-    """0/1 columns named ``column_value``; null counts as ``unknown``."""
-    filled = F.coalesce(F.col(column), F.lit("unknown"))
+    """0/1 columns named ``column_value``; nulls and categories not in ``values`` count as ``unknown``."""
+    filled = F.when(F.col(column).isin(*values), F.col(column)).otherwise(F.lit("unknown"))
     return df.select(
         *[c for c in df.columns if c != column],
         *[F.when(filled == v, F.lit(1.0)).otherwise(F.lit(0.0)).alias(f"{column}_{v}") for v in values],

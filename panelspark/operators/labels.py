@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,7 +12,7 @@ from panelspark.config import EquivalentDay, SampleWeights
 from panelspark.functions.numeric import pseudo_iwsr
 from panelspark.operators.daily import year_end
 from panelspark.operators.physics import terminal_equivalent_days
-from panelspark.operators.scale import exact_quantiles, hash_positions
+from panelspark.operators.scale import cumulative, exact_quantiles, hash_positions
 
 
 def drop_censored(df: DataFrame, enabled: bool = True, flag: str = "iwsr_censored") -> DataFrame:
@@ -130,27 +128,54 @@ def best_parameters(grid: DataFrame) -> DataFrame:
     return best.select("zone", "n", "_b.*")
 
 
+def fold_pattern(classes: list[tuple[int, int]], n_folds: int) -> list[tuple[int, int, list[int]]]:
+    """(size, first rank, folds in turn) for clusters given by (size, how many), sizes falling.
+
+    Largest first onto the lightest fold. Of clusters of one size, the lightest folds take one each in turn until they
+    reach the load of the next one; so a class is a few runs, each a list of folds over and over.
+    """
+    loads, runs = [0] * n_folds, []
+    for size, many in classes:
+        rank = 0
+        while rank < many:
+            low = sorted(range(n_folds), key=lambda f: (loads[f], f))
+            # Those that take one each before the first of them is the lightest again.
+            turn = [low[0]]
+            for f in low[1:]:
+                if (loads[low[0]] + size, low[0]) < (loads[f], f):
+                    break
+                turn.append(f)
+            above = low[len(turn)] if len(turn) < n_folds else None
+            # Whole turns until the last of them would come behind the next fold.
+            turns = (many - rank) // len(turn) if above is None else (loads[above] - loads[turn[-1]]) // size
+            turns = max(1, min(turns, (many - rank) // len(turn)))
+            take = min(turns * len(turn), many - rank)
+            runs.append((size, rank, turn))
+            for i, f in enumerate(turn):
+                loads[f] += size * (take // len(turn) + (i < take % len(turn)))
+            rank += take
+    return runs
+
+
 def assign_folds(df: DataFrame, cluster: str = "cluster", n_folds: int = 5) -> DataFrame:
-    """Whole clusters to folds, the largest first onto the lightest fold.
+    """Whole clusters to folds, the largest first onto the lightest fold; ties by cluster, the last first.
 
-    The assignment is sequential over cluster sizes. Clusters are grid bins on the globe, so the size table is
-    bounded by geography (about five million 10 km bins); the rows themselves never leave their partitions.
+    The driver sees how many clusters have each size: distinct sizes number at most the root of twice the rows. A
+    cluster's fold follows from its rank in its size class.
     """
     sizes = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", cluster], ascending=[False, False])
-        loads = [(0, f) for f in range(min(n_folds, len(pdf)))]
-        folds = []
-        for n in pdf["n"]:
-            load, fold = heapq.heappop(loads)
-            folds.append(fold)
-            heapq.heappush(loads, (load + int(n), fold))
-        return pd.DataFrame({cluster: pdf[cluster], "fold": folds})
-
-    kind = dict(df.dtypes)[cluster]
-    folds = sizes.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(greedy, f"{cluster} {kind}, fold int")
-    return df.join(folds, cluster)
+    classes = [(r["n"], r["many"]) for r in sizes.groupBy("n").agg(F.count(F.lit(1)).alias("many")).orderBy(F.desc("n")).collect()]
+    folds = min(n_folds, max(1, sum(many for _, many in classes)))
+    runs = fold_pattern(classes, folds)
+    ranked = cumulative(sizes.withColumn("_one", F.lit(1)), cluster, {"_upto": "_one"}, ["n"])
+    many = df.sparkSession.createDataFrame(classes, "n long, _many long")
+    starts = df.sparkSession.createDataFrame(runs, "n long, _first long, _turn array<int>")
+    # Clusters of a class count from the last one.
+    ranked = ranked.join(many, "n").withColumn("_rank", F.col("_many") - F.col("_upto"))
+    ends = starts.withColumn("_next", F.lead("_first").over(W.partitionBy("n").orderBy("_first")))
+    here = ranked.join(ends, (ranked["n"] == ends["n"]) & (F.col("_rank") >= F.col("_first")) & (F.col("_next").isNull() | (F.col("_rank") < F.col("_next"))))
+    fold = F.get("_turn", F.pmod(F.col("_rank") - F.col("_first"), F.size("_turn")).cast("int"))
+    return df.join(here.select(cluster, fold.alias("fold")), cluster)
 
 
 def fold_composition(df: DataFrame, top: int = 8) -> DataFrame:

@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 
 from panelspark.session import cut_lineage
 
-# Value ranges per group: a square number, searched in two steps of its root.
+# The fewest value ranges per group: a square number, searched in two steps of its root.
 RANGES = 256
 HASH_BITS = 14
 
 
+def default_ranges(df: DataFrame) -> int:
+    """Four ranges for each shuffle partition, rounded up to a square, so that ranges grow with the cluster."""
+    wanted = max(RANGES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return math.ceil(math.sqrt(wanted)) ** 2
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "inner") if keys else left.crossJoin(F.broadcast(right))
 
@@ -47,14 +53,14 @@ def with_ranges(df: DataFrame, key: str, part: Sequence[str], ranges: int) -> Da
 
 
 def cumulative(distinct: DataFrame, key: str, sums: dict[str, str], part: Sequence[str] = (),
-               ranges: int = RANGES) -> DataFrame:
+               ranges: int | None = None) -> DataFrame:
     """Add inclusive running sums ``{out: column}`` in ascending ``key`` order inside each ``part``.
 
     ``distinct`` holds one row per (part, key). The range limits come from an approximate percentile and are
     checkpointed, so both uses below see the same limits even after a lost executor.
     """
     part = list(part)
-    ranged = with_ranges(distinct, key, part, ranges)
+    ranged = with_ranges(distinct, key, part, ranges or default_ranges(distinct))
     totals = ranged.groupBy(*part, "_range").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
     before = W.partitionBy(*(part or [F.lit(0)])).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(

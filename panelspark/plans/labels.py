@@ -99,22 +99,28 @@ def m11(t):
     return out.select("station_id", "year", "as_of", "iwsr", "month_of_year", "elevation_m", *W02_NAMES.split(", "), "mounting_fixed", "mounting_unknown")
 
 
+#: Every array with one of all stations.
+NEAREST = "SELECT array_id, array_id % (SELECT COUNT(*) FROM f_station) + 1 AS station_id FROM f_rect"
 M12_COLS = [(c, w, a, o) for c, w, a, o in W02_SPECS if w == 30]
 
 
 @query("m12_inference_matrix", f"""WITH f AS (SELECT l.station_id, {_window_cols(M12_COLS)} FROM (SELECT station_id, DATE '2000-06-30' AS as_of FROM f_station) l
       JOIN f_daily d ON d.station_id = l.station_id AND d.dt BETWEEN l.as_of - 179 AND l.as_of GROUP BY 1)
-    SELECT r.array_id, r.array_id % 100 + 1 AS station_id, {', '.join(o for _, _, _, o in M12_COLS)} FROM f_rect r LEFT JOIN f ON f.station_id = r.array_id % 100 + 1""", ", ".join(o for _, _, _, o in M12_COLS))
+    SELECT r.array_id, r.station_id, {', '.join(o for _, _, _, o in M12_COLS)} FROM ({NEAREST}) r LEFT JOIN f ON f.station_id = r.station_id""", ", ".join(o for _, _, _, o in M12_COLS))
 def m12(t):
-    arrays = t.f_rect.select("array_id", (F.col("array_id") % 100 + 1).alias("station_id"))
+    arrays = t.sql(NEAREST)
     return X.inference_matrix(arrays, t.f_daily, None, "2000-06-30").select("array_id", "station_id", *[o for _, _, _, o in M12_COLS])
 
 
-@query("p13_one_hot", """SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 1e0 ELSE 0e0 END AS c_mktsegment_unknown,
-    CASE WHEN c_custkey % 6 <> 0 AND c_mktsegment = 'BUILDING' THEN 1e0 ELSE 0e0 END AS "c_mktsegment_BUILDING" FROM customer""", "c_mktsegment_unknown, c_mktsegment_BUILDING")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("p13_one_hot", f"""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 1e0 ELSE 0e0 END AS c_mktsegment_unknown,
+    {', '.join(f"CASE WHEN c_custkey % 6 <> 0 AND c_mktsegment = '{s}' THEN 1e0 ELSE 0e0 END AS c_mktsegment_{s}" for s in SEGMENTS)} FROM customer""",
+       ", ".join(f"c_mktsegment_{s}" for s in ("unknown", *SEGMENTS)))
 def p13(t):
     df = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 6 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
-    return X.one_hot(df, "c_mktsegment", ["BUILDING", "unknown"])
+    return X.one_hot(df, "c_mktsegment", X.categories(df, "c_mktsegment"))
 
 
 CALIB = eqd_sql(look("pm10", 364), "station_id, as_of") + """, e AS (SELECT station_id, as_of, ARG_MAX(eqd, dt) AS eqd FROM r GROUP BY 1, 2),
@@ -291,7 +297,7 @@ def s01(t):
 @query("w10_score_arrays_m12_chain")
 def score_chain(t):
     """Arrays to sites to physics score, one score per distinct site."""
-    sites = t.f_rect.select("array_id", (F.col("array_id") % 100 + 1).alias("station_id"))
+    sites = t.sql(NEAREST)
     at = sites.select("station_id").distinct().withColumn("as_of", F.to_date(F.lit("2000-06-30")))
     scored = P.score_series(D.days_in_lookback(at, t.f_daily, 365, inclusive=False), ["station_id", "as_of"], SCORING)
     return sites.join(scored.drop("as_of"), "station_id", "left")

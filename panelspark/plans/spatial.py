@@ -229,14 +229,14 @@ def j13(t):
     return S.min_distance(t.f_station, t.sql(POINTS), "distance_m")
 
 
-RASTER = "SELECT p_partkey % 40 AS col, CAST(FLOOR(p_partkey / 40) AS BIGINT) AS row, p_size AS value FROM part WHERE p_partkey < 1600"
+RASTER = "SELECT p_partkey % 40 AS col, CAST(FLOOR(p_partkey / 40) AS BIGINT) AS row, p_size AS value FROM part"
 
 
 @query("j14_raster_at_point", f"""
     WITH r AS ({RASTER}), s AS (SELECT station_id, CAST(FLOOR((longitude + 124) / 25e-2) AS BIGINT) AS col, CAST(FLOOR((latitude - 42) / -25e-2) AS BIGINT) AS row FROM f_station)
-    SELECT s.station_id, r.value FROM s LEFT JOIN r ON r.row = s.row AND r.col = s.col AND s.row BETWEEN 0 AND 39 AND s.col BETWEEN 0 AND 39""")
+    SELECT s.station_id, r.value FROM s LEFT JOIN r ON r.row = s.row AND r.col = s.col AND s.row >= 0 AND s.col BETWEEN 0 AND 39""")
 def j14(t):
-    return S.raster_value(t.f_station, t.sql(RASTER), (0.25, 0, -124, 0, -0.25, 42), 40, 40).select("station_id", "value")
+    return S.raster_value(t.f_station, t.sql(RASTER), (0.25, 0, -124, 0, -0.25, 42), 1 << 30, 40).select("station_id", "value")
 
 
 @query("j15_grid_cell", """SELECT station_id, CAST(ROUND_EVEN((latitude + 90) / 5e-1, 0) AS INT) AS grid_row, CAST(ROUND_EVEN((longitude + 180) / 625e-3, 0) AS INT) % 576 AS grid_col FROM f_station""")

@@ -88,3 +88,28 @@ def test_conditions(spark):
     for wrong in ("name", "= 3", "size > many", "na me = 1", "name ="):
         with pytest.raises(ValueError):
             buckets.clause_filter(wrong)
+
+
+def test_fold_runs_equal_the_greedy_order():
+    import heapq
+    import random
+
+    from panelspark.operators.labels import fold_pattern
+
+    rng = random.Random(0)
+    for _ in range(300):
+        k = rng.randint(1, 7)
+        classes = sorted({rng.choice([1, 2, 3, 5, 8, 13, 40, 100, 1000]): rng.randint(1, 60) for _ in range(rng.randint(1, 6))}.items(), reverse=True)
+        loads, want = [(0, f) for f in range(k)], []
+        for size, many in classes:
+            for _ in range(many):
+                load, fold = heapq.heappop(loads)
+                want.append(fold)
+                heapq.heappush(loads, (load + size, fold))
+        runs, got = fold_pattern(classes, k), []
+        for size, many in classes:
+            own = [r for r in runs if r[0] == size]
+            for (_, first, turn), last in zip(own, [*[r[1] for r in own[1:]], many]):
+                got += [turn[i % len(turn)] for i in range(last - first)]
+        assert got == want
+    assert len(fold_pattern([(10**6, 3), (1, 10**9)], 5)) < 20
