@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,8 +15,6 @@ from panelspark.operators.scale import cumulative, default_ranges, with_ranges
 from panelspark.session import cut_lineage
 
 CELL_PX = 128.0
-# A tile whose predictions x truths stay under this is matched by one fold; busier tiles go through rounds.
-FOLD_LIMIT = 250_000
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -50,76 +51,56 @@ def overlap_pairs(preds: DataFrame, gts: DataFrame, iou_min: float = 0.5, keys:
         *keys, "pred_idx", "gt_idx", "conf", "iou")
 
 
-def _fold(pairs: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
-    """One ordered pass per tile and threshold over the tile's pair list (collected once for all thresholds)."""
-    grouped = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("pred_idx").alias("p"), (-F.col("iou")).alias("o"), F.col("gt_idx").alias("g"),
-        F.col("conf").alias("c")))).alias("_pairs"))
-    grouped = grouped.withColumn("iou_threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    return grouped.select(*keys, "iou_threshold", F.expr("""
-        inline(aggregate(_pairs,
-            named_struct('p', CAST(array() AS ARRAY<BIGINT>), 'g', CAST(array() AS ARRAY<BIGINT>),
-                'm', CAST(array() AS ARRAY<STRUCT<pred_idx: BIGINT, gt_idx: BIGINT, conf: DOUBLE, iou: DOUBLE>>)),
-            (s, x) -> CASE WHEN -x.o < iou_threshold OR array_contains(s.p, x.p) OR array_contains(s.g, x.g) THEN s
-                ELSE named_struct('p', concat(s.p, array(CAST(x.p AS BIGINT))), 'g', concat(s.g, array(CAST(x.g AS BIGINT))),
-                    'm', concat(s.m, array(named_struct('pred_idx', CAST(x.p AS BIGINT), 'gt_idx', CAST(x.g AS BIGINT),
-                        'conf', x.c, 'iou', -x.o)))) END,
-            s -> s.m))"""))
-
-
-def match_by_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The greedy matching of tiles too busy for one task, by repeated joins; same result as the ordered pass.
-
-    Greedy takes pairs in the order (prediction, higher IoU, lower truth). A pair that is first in that order both
-    among its prediction's pairs and among its truth's pairs is surely taken, so each round takes all of these at
-    once and removes everything touching them. ``keys`` include the threshold.
-    """
-    keys = list(keys)
-    left = cut_lineage(pairs)
-    taken = None
-    while not left.isEmpty():
-        of_pred = left.groupBy(*keys, "pred_idx").agg(
-            F.min_by("gt_idx", F.struct(-F.col("iou"), F.col("gt_idx"))).alias("gt_idx"))
-        of_gt = left.groupBy(*keys, "gt_idx").agg(F.min("pred_idx").alias("pred_idx"))
-        sure = cut_lineage(left.join(of_pred, [*keys, "pred_idx", "gt_idx"], "left_semi").join(
-            of_gt, [*keys, "pred_idx", "gt_idx"], "left_semi"))
-        taken = sure if taken is None else taken.unionByName(sure)
-        left = cut_lineage(left.join(sure.select(*keys, "pred_idx"), [*keys, "pred_idx"], "left_anti").join(
-            sure.select(*keys, "gt_idx"), [*keys, "gt_idx"], "left_anti"))
-    return pairs.limit(0) if taken is None else taken
-
-
-def busy_tiles(preds: DataFrame, gts: DataFrame, keys: Sequence[str], limit: int = FOLD_LIMIT) -> DataFrame:
-    """Tiles whose pair list could exceed the fold limit (two counts on the key columns, no pair is built)."""
-    n_p = preds.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np"))
-    n_g = gts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_ng"))
-    return n_p.join(n_g, list(keys)).where(F.col("_np") * F.col("_ng") > limit).select(*keys)
-
-
-def match_many(preds: DataFrame, gts: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("tile_id",),
-               limit: int = FOLD_LIMIT) -> DataFrame:
+def _greedy(thresholds: Sequence[float]) -> Callable[[Column], Column]:
+    """A tile's sorted pair list to the pairs taken at each threshold: one pass, linear in pairs, for every tile alike."""
+    cuts = [float(t) for t in thresholds]
+
+    @F.arrow_udf("array<struct<t: int, i: int>>")
+    def run(pairs: pa.Array) -> pa.Array:
+        flat = pairs.flatten()
+        columns = [pc.struct_field(flat, c).to_pylist() for c in ("p", "o", "g")]
+        ends = np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+        taken_t, taken_i, upto = [], [], [0]
+        for start, end in zip([0, *ends[:-1]], ends):
+            for t, cut in enumerate(cuts):
+                preds, truths = set(), set()
+                for i, (p, o, g) in enumerate(zip(*[c[start:end] for c in columns])):
+                    if -o >= cut and p not in preds and g not in truths:
+                        preds.add(p)
+                        truths.add(g)
+                        taken_t.append(t)
+                        taken_i.append(i)
+            upto.append(len(taken_i))
+        rows = pa.StructArray.from_arrays([pa.array(taken_t, pa.int32()), pa.array(taken_i, pa.int32())], ["t", "i"])
+        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)
+
+    return run
+
+
+def match_many(preds: DataFrame, gts: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """J11 for several IoU thresholds at once: (keys, iou_threshold, pred_idx, gt_idx, conf, iou).
 
-    Pairs are built once at the lowest threshold. Ordinary tiles are matched by an in-task fold; tiles above the
-    limit, if any, by join rounds.
+    Pairs are built once, at the lowest threshold, and collected per tile: a tile is one image of fixed size. Greedy
+    takes them in the order (prediction, higher IoU, lower truth).
     """
     keys = list(keys)
-    pairs = overlap_pairs(preds, gts, min(thresholds), keys)
-    busy = busy_tiles(preds, gts, keys, limit)
-    if busy.isEmpty():
-        return _fold(pairs, keys, thresholds)
-    busy = cut_lineage(busy)
-    calm = _fold(pairs.join(busy, keys, "left_anti"), keys, thresholds)
-    crowded = pairs.join(busy, keys, "left_semi").withColumn(
-        "iou_threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds]))
-    ).where(F.col("iou") >= F.col("iou_threshold"))
-    return calm.unionByName(match_by_rounds(crowded, [*keys, "iou_threshold"]).select(calm.columns))
-
-
-def match(preds: DataFrame, gts: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = ("tile_id",),
-          limit: int = FOLD_LIMIT) -> DataFrame:
+    pair = F.struct(F.col("pred_idx").alias("p"), (-F.col("iou")).alias("o"), F.col("gt_idx").alias("g"), F.col("conf").alias("c"))
+    tiles = overlap_pairs(preds, gts, min(thresholds), keys).groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
+    cuts = F.array(*[F.lit(float(x)) for x in thresholds])
+    taken = tiles.select(*keys, "_pairs", F.inline(_greedy(thresholds)(F.col("_pairs"))))
+    one = F.get("_pairs", F.col("i"))
+    return taken.select(*keys, F.get(cuts, F.col("t")).alias("iou_threshold"), one["p"].cast("bigint").alias("pred_idx"),
+                        one["g"].cast("bigint").alias("gt_idx"), one["c"].alias("conf"), (-one["o"]).alias("iou"))
+
+
+def match(preds: DataFrame, gts: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """Greedy one-to-one matches (keys, pred_idx, gt_idx, conf, iou); predictions are numbered best first."""
-    return match_many(preds, gts, [iou_threshold], keys, limit).drop("iou_threshold")
+    return match_many(preds, gts, [iou_threshold], keys).drop("iou_threshold")
+
+
+def numbered(preds: DataFrame, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """``pred_idx`` from 1, the most confident prediction of a tile first; ties by box."""
+    return preds.withColumn("pred_idx", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("conf"), *BOX)))
 
 
 def match_outcomes(preds: DataFrame, gts: DataFrame, matches: DataFrame,

@@ -19,12 +19,21 @@ from panelspark.operators import stats as ST
 RING = "ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>"
 
 
-def test_rounds_equal_fold(spark, tables):
-    preds, gts = tables.f_pred, tables.f_gt
-    cols = ["tile_id", "pred_idx", "gt_idx", "iou_threshold"]
-    fold = {tuple(r) for r in M.match_many(preds, gts, [0.3, 0.5]).select(cols).collect()}
-    rounds = {tuple(r) for r in M.match_many(preds, gts, [0.3, 0.5], limit=3).select(cols).collect()}
-    assert fold == rounds and len(fold) > 100
+def test_long_chain_of_conflicts(spark):
+    """Boxes in a row, each prediction over two truths: every match decides the next one."""
+    n, box = 10_000, "x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE"
+    g = spark.createDataFrame([(1, i, 10.0 * i, 0.0, 10.0 * i + 10, 10.0) for i in range(n)], f"tile_id INT, gt_idx LONG, {box}")
+    p = spark.createDataFrame([(1, i, 1 - i / n, 10.0 * i - 5.5, 0.0, 10.0 * i + 4.5, 10.0) for i in range(n)], f"tile_id INT, pred_idx LONG, conf DOUBLE, {box}")
+    # The left truth overlaps a bit more, but the one before took it, all the way from the first.
+    want = {(i, i) for i in range(n)}
+    got = {(r.pred_idx, r.gt_idx) for r in M.match(p, g, 0.2).collect()}
+    assert got == want
+
+
+def test_numbering(spark):
+    rows = [(1, 0.5, 0.0, 0.0, 1.0, 1.0), (1, 0.9, 0.0, 0.0, 1.0, 1.0), (2, 0.1, 3.0, 0.0, 4.0, 1.0), (2, 0.1, 0.0, 0.0, 1.0, 1.0)]
+    got = M.numbered(spark.createDataFrame(rows, "tile_id INT, conf DOUBLE, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")).collect()
+    assert {(r.tile_id, r.conf, r.x1): r.pred_idx for r in got} == {(1, 0.9, 0.0): 1, (1, 0.5, 0.0): 2, (2, 0.1, 0.0): 1, (2, 0.1, 3.0): 2}
 
 
 def test_one_crowded_tile(spark):
@@ -45,7 +54,7 @@ def test_one_crowded_tile(spark):
         if iou(a, gts[best]) >= 0.2:
             want.add((i, best))
             free.discard(best)
-    got = {(r["pred_idx"], r["gt_idx"]) for r in M.match(p, g, 0.2, limit=10).collect()}
+    got = {(r["pred_idx"], r["gt_idx"]) for r in M.match(p, g, 0.2).collect()}
     assert got == want
 
 
