@@ -125,8 +125,8 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """Word x language: each word's log likelihood less that of its best candidate; languages that its script rules
         out stay a switch and a half behind; all are even where the script is unknown."""
-        if not words:
-            return np.zeros((0, len(self.languages)), dtype=np.float32)
+        if not words or not self.languages:
+            return np.zeros((len(words), len(self.languages)), dtype=np.float32)
         at, n = grams(words)
         sums = np.add.reduceat(self.logs[at], np.cumsum(n) - n, axis=0)
         # N-grams overlap; their mean per letter times the letters counts each letter once.
@@ -181,6 +181,9 @@ class Labeller:
 
     def label(self, texts: list[str]) -> list[tuple[str, float, list[dict]]]:
         """(language, score, spans) of each text."""
+        names = self.model.languages
+        if not names:
+            return [("und", 0.0, []) for _ in texts]
         if len(self.known) > REMEMBERED:
             self.known, self.table = {}, self.table[:0]
         lists = [_words(t) for t in texts]
@@ -191,9 +194,6 @@ class Labeller:
         flat = [w for ws in lists for w in ws]
         number = np.array([self.known[w] for w in flat], dtype=np.int64)
         sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
-        names = self.model.languages
-        if not names:
-            return [("und", 0.0, []) for _ in texts]
         scores = self.table[number]
         path = viterbi(scores, sizes)
         # Words that no language explains are even, and count for none.
