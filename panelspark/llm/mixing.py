@@ -34,7 +34,7 @@ class Mix:
 
 
 #: Exponents tried in one round over the sources, and rounds: each round cuts the interval by SECTIONS.
-SECTIONS, SEARCHES = 64, 5
+SECTIONS, SEARCHES = 32, 6
 #: Stands for a null source.
 NO_SOURCE = "\x00null"
 
@@ -59,18 +59,19 @@ def exponent(shares: DataFrame, mix: Mix) -> float:
             lo, hi = tried[first - 1], tried[first]
         return hi
 
-    def sums(tried: list[float], *of):
-        return shares.agg(*[f(F.pow("share", F.lit(e))) for e in tried for f in of]).first()
+    def sums(tried: list[float], **of):
+        """A row of sums for each exponent, in order."""
+        w = F.pow("share", F.col("e"))
+        return shares.select("share", F.explode(F.array(*map(F.lit, tried))).alias("e")).groupBy("e").agg(*[f(w).alias(k) for k, f in of.items()]).orderBy("e").collect()
 
     def low_entropy(tried: list[float]) -> list[bool]:
-        got = sums(tried, F.sum, lambda w: F.sum(w * F.log(w)))
-        return [math.log(z) - s / z <= target + 1e-12 for z, s in zip(got[::2], got[1::2])]
+        return [math.log(r.z) - r.s / r.z <= target + 1e-12 for r in sums(tried, z=F.sum, s=lambda w: F.sum(w * F.log(w)))]
 
     def few_repeats(tried: list[float]) -> list[bool]:
         # Passes of a source go with w / share; the budget is given, or makes the smallest of them 1.
-        got = sums(tried, F.sum, lambda w: F.max(w / F.col("share")), lambda w: F.min(w / F.col("share")))
+        got = sums(tried, z=F.sum, top=lambda w: F.max(w / F.col("share")), low=lambda w: F.min(w / F.col("share")))
         total = shares.agg(F.sum("tokens")).first()[0] if mix.budget else 0
-        return [(top / z * mix.budget / total if mix.budget else top / low) <= mix.repeats + 1e-9 for z, top, low in zip(got[::3], got[1::3], got[2::3])]
+        return [(r.top / r.z * mix.budget / total if mix.budget else r.top / r.low) <= mix.repeats + 1e-9 for r in got]
 
     return max(search(low_entropy), search(few_repeats))
 
