@@ -11,21 +11,23 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The tokenizer's pre-tokenisation pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words or chunks, and characters in chunks, that a task remembers before it starts over.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 24_000_000
-#: Characters of text that are encoded together.
-BATCH = 4_000_000
+#: Words or chunks, and characters in chunks, that a worker process remembers, over tasks, before it starts over.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
+#: Characters of text that are encoded together, and ids that are decoded together; a longer text goes alone.
+BATCH, DECODED = 1_000_000, 500_000
 
 
 def byte_symbols() -> list[str]:
@@ -65,8 +67,8 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(self.pieces), dtype=np.uint8)
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
-    def merge(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of every word (not empty), by merge rounds over all of them at once."""
+    def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (none empty) in a row and how many each has, by merge rounds over all of them at once."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         symbols = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
@@ -103,7 +105,7 @@ class Vocabulary:
             symbols, word = np.concatenate(done_symbols), np.concatenate(done_word)
             order = np.argsort(word, kind="stable")
             symbols, word = symbols[order], word[order]
-        return np.split(symbols, np.searchsorted(word, np.arange(1, len(words))))
+        return symbols, np.bincount(word, minlength=len(words))
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of all ids in a row, and where each text of ``sizes`` ids ends in them."""
@@ -113,78 +115,144 @@ class Vocabulary:
         upto = np.cumsum(sizes)
         return self.bytes[at], np.append(0, ends)[upto]
 
+    def texts(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
+        """The text of every list of ids, DECODED ids at a time."""
+        upto, out, row = np.append(0, np.cumsum(sizes)), [], 0
+        while row < len(sizes):
+            last = max(row + 1, int(np.searchsorted(upto, upto[row] + DECODED, side="right")) - 1)
+            data, ends = self.decode(ids[upto[row] : upto[last]], sizes[row:last])
+            whole = data.tobytes()
+            out += [whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)]
+            row = last
+        return out
+
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The process's encoder: what it remembers serves the next task too and changes no result."""
+    return Encoder(vocabulary(path))
+
+
+class Lists:
+    """Lists of ids by name, end to end in one array."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.ends) - 1, len(self.ends) - 1 + len(names))))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def find(self, names: list[str]) -> np.ndarray:
+        """The numbers of names; -1 for those not known."""
+        return np.fromiter(map(self.number.get, names, repeat(-1)), dtype=np.int64, count=len(names))
+
+    def take(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all numbers in a row, and where each one's end."""
+        n = self.ends[index + 1] - self.ends[index]
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.ends[index] - (upto - n), n)
+        return self.ids[at], upto
+
+
 class Encoder:
-    """What a task remembers: the number of every chunk, and all chunks' ids in one pool."""
+    """What a task remembers of words and chunks."""
 
     def __init__(self, vocab: Vocabulary):
         self.vocab, self.pattern = vocab, regex.compile(PATTERN)
         self.forget()
 
     def forget(self) -> None:
-        self.words: dict[str, np.ndarray] = {}
-        self.chunks: dict[str, int] = {}
-        self.pool, self.ends, self.size = np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64), 0
+        self.words, self.chunks, self.size = Lists(), Lists(), 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Adds chunks (with their leading space) to the pool."""
+    def _learn(self, keys: list[str]) -> None:
+        """Adds chunks and their words. A key with a leading space is the rest of it, any other stands behind a space."""
+        chunks = [k[1:] if k[0] == " " else " " + k for k in keys]
         self.size += sum(map(len, chunks))
-        cut = [self.pattern.findall(c) for c in chunks]
-        new = list({w for ws in cut for w in ws if w not in self.words})
-        if new:
-            self.words.update(zip(new, self.vocab.merge([w.encode("utf-8", "surrogatepass") for w in new])))
-        parts = [self.words[w] for ws in cut for w in ws]
-        sizes = np.array([sum(len(self.words[w]) for w in ws) for ws in cut], dtype=np.int64)
-        self.chunks.update(zip(chunks, range(len(self.ends) - 1, len(self.ends) - 1 + len(chunks))))
-        self.pool = np.concatenate([self.pool, *parts]).astype(np.int32)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-
-    def pieces(self, text: str) -> list[str]:
-        """Chunks that the pattern never crosses. A space in front of a word, or behind one, always starts a match; where
-        white space meets a space on both sides the text stays whole."""
-        if not text:
-            return []
-        cut = text.split(" ")
-        if "" in cut[1:] or any(c[0].isspace() for c in cut[1:]):
-            return [text]
-        return [cut[0], *map(" ".__add__, cut[1:])] if cut[0] else [" " + c for c in cut[1:]]
+        cut = [[c] if c in self.vocab.added else self.pattern.findall(c) for c in chunks]
+        new = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.words.number))
+        plain = [w for w in new if w not in self.vocab.added]
+        if plain:
+            merged = self.vocab.merge([w.encode("utf-8", "surrogatepass") for w in plain])
+            self.words.add(plain, *merged)
+        for token in [w for w in new if w in self.vocab.added]:
+            self.words.add([token], np.array([self.vocab.added[token]]), np.array([1]))
+        ids, upto = self.words.take(self.words.find([w for ws in cut for w in ws]))
+        sizes = np.diff(np.append(0, upto)[np.cumsum([len(ws) for ws in cut])], prepend=0)
+        self.chunks.add(keys, ids, sizes)
+
+    def _cut(self, text: str) -> list[str]:
+        """Keys of chunks that the pattern never crosses: a single space between others always starts a match."""
+        added = self.vocab.cut_added
+        if added is not None and any(map(text.__contains__, self.vocab.added)):
+            return [" " + part for part in added.split(text) if part]
+        keys = text.split(" ")
+        if keys[0]:
+            keys[0] = " " + keys[0]
+        else:
+            del keys[0]
+        return keys
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each text has."""
-        if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED or self.size > REMEMBERED_CHARS:
+        if len(self.chunks.number) > REMEMBERED or len(self.words.number) > REMEMBERED or self.size > REMEMBERED_CHARS:
+            self.forget()
+        lists = list(map(self._cut, texts))
+        flat = list(chain.from_iterable(lists))
+        index = self.chunks.find(flat)
+        missing = list(dict.fromkeys(map(flat.__getitem__, np.flatnonzero(index < 0).tolist())))
+        # Where more white space follows a space, the text stays whole; such chunks are never remembered.
+        odd = {c for c in missing if not c or c[0] != " " and c[0].isspace()}
+        if odd:
+            lists = [cut if odd.isdisjoint(cut) else [" " + t] if t else [] for cut, t in zip(lists, texts)]
+            flat = list(chain.from_iterable(lists))
+            index = self.chunks.find(flat)
+            missing = list(dict.fromkeys(map(flat.__getitem__, np.flatnonzero(index < 0).tolist())))
+        if missing:
+            self._learn(missing)
+            new = np.flatnonzero(index < 0)
+            index[new] = self.chunks.find(list(map(flat.__getitem__, new.tolist())))
+        ids, upto = self.chunks.take(index)
+        sizes = np.cumsum([len(cut) for cut in lists])
+        return ids, np.diff(np.append(0, upto)[sizes] if len(sizes) else np.zeros(0, dtype=np.int64), prepend=0)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of about BATCH bytes at a time; null is empty."""
+    upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(upto, upto[row] + BATCH, side="right")) - 1)
+        yield row, [t or "" for t in texts.slice(row, last - row).to_pylist()]
+        row = last
+
+
+def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        if len(self.chunks.number) > REMEMBERED or len(self.words.number) > REMEMBERED or self.size > REMEMBERED_CHARS:
             self.forget()
         added = self.vocab.cut_added
-        lists = []
+        flat, sizes = [], []
         for text in texts:
+            before = len(flat)
             if added is not None and any(map(text.__contains__, self.vocab.added)):
-                parts = added.split(text)
-                lists.append([x for i, p in enumerate(parts) for x in ([p] if i % 2 else self.pieces(p))])
+                for i, part in enumerate(added.split(text)):
+                    flat += [part] if i % 2 else self.pieces(part)
             else:
-                lists.append(self.pieces(text))
-        flat = [c for cs in lists for c in cs]
-        number = list(map(self.chunks.get, flat, repeat(-1)))
-        if -1 in number:
-            missing = list(dict.fromkeys(c for c, i in zip(flat, number) if i < 0))
-            for token in [m for m in missing if m in self.vocab.added]:
-                self.words[token] = np.array([self.vocab.added[token]], dtype=np.int64)
-            self._learn([m for m in missing if m not in self.vocab.added])
-            for token in [m for m in missing if m in self.vocab.added]:
-                self.chunks[token] = len(self.ends) - 1
-                self.pool = np.append(self.pool, np.int32(self.vocab.added[token]))
-                self.ends = np.append(self.ends, self.ends[-1] + 1)
-            number = list(map(self.chunks.__getitem__, flat))
-        index = np.array(number, dtype=np.int64)
-        n = self.ends[index + 1] - self.ends[index] if len(index) else np.zeros(0, dtype=np.int64)
-        upto = np.cumsum(n)
-        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(self.ends[index] - (upto - n), n)
-        sizes = np.array([len(cs) for cs in lists], dtype=np.int64)
-        ends = np.append(0, upto)[np.cumsum(sizes)]
-        return self.pool[at], np.diff(ends, prepend=0)
+                flat += self.pieces(text)
+            sizes.append(len(flat) - before)
+        missing = list(dict.fromkeys(c for c in flat if c not in self.chunks.number))
+        if missing:
+            self._learn(missing)
+        ids, upto = self.chunks.take(flat)
+        return ids, np.diff(np.append(0, upto)[np.cumsum(sizes)] if sizes else np.zeros(0, dtype=np.int64), prepend=0)
 
 
 def _parts(texts: list[str | None]) -> Iterator[list[str]]:
@@ -209,9 +277,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
     @F.arrow_udf("array<int>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(vocabulary(path))
+        own = encoder(path)
         for batch in batches:
-            done = [encoder.encode(p) for p in _parts(batch.to_pylist())]
+            done = [own.encode(p) for _, p in _slices(batch)]
             values = np.concatenate([np.zeros(0, dtype=np.int32), *[v for v, _ in done]])
             ends = np.concatenate([[0], *[n for _, n in done]]).cumsum()
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
@@ -228,8 +296,24 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
         for batch in batches:
             batch = batch.cast(pa.list_(pa.int32()))
             sizes = np.nan_to_num(batch.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            data, ends = vocab.decode(batch.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes)
-            whole = data.tobytes()
-            yield pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)], pa.string())
+            texts = vocab.texts(batch.flatten().to_numpy(zero_copy_only=False), sizes)
+            yield pa.array(texts, pa.string())
 
     return tokens.withColumn(decoded, run(F.col(ids)))
+
+
+def round_trip(docs: DataFrame, path: str, *keep: str, text: str = "text") -> DataFrame:
+    """(keep, ids, decoded): every text encoded, and its ids decoded again, in one pass of small batches."""
+    kept = docs.select(*keep).schema
+    out = T.StructType([*kept.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, own = vocabulary(path), encoder(path)
+        for batch in batches:
+            for row, texts in _slices(batch.column(len(keep))):
+                ids, sizes = own.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
+                columns = [batch.column(i).slice(row, len(texts)) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(vocab.texts(ids, sizes), pa.string())], [*keep, "ids", "decoded"])
+
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)

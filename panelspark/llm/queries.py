@@ -106,9 +106,7 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op6_bpe_rounds")
 def _(spark, sf_dir):
-    path = tokenizer()
-    tokens = bpe.encode(_documents(spark, sf_dir).select("doc_id", text_of("text").alias("text")), path)
-    back = bpe.decode(tokens.select("doc_id", "ids"), path)
+    back = bpe.round_trip(_documents(spark, sf_dir), tokenizer(), "doc_id")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
