@@ -1,0 +1,285 @@
+"""Text operators against plain versions: BPE, PPM, language spans, SimHash, secrets, URL models."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from panelspark.llm import bpe, language_id, ppm, secrets, simhash_dedup, url_filter
+from panelspark.llm.queries import tokenizer
+from tests.conftest import SF
+from tests.llm.conftest import odd_rows
+
+ODD = ["", " ", "  ", "a  b", "a   b", "a\n b", "a\n  b", "a \n b", "a\n \nb", " \nb", "a ", "\n\n", "x<|endoftext|>y", "<|endoftext|> <|endoftext|>a",
+       "aaaaaaaaaa bbbbbbb", "don't we'll I'M", "日本語 テキスト", "a\u3000\u3000b", "👍🏽 ok", "\x00\x01 \x1f", "1234 5678 ½", "a\t b"]
+
+
+def test_bpe_equals_the_library(spark, odd, none, clashing):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer()
+    theirs = tokenizers.Tokenizer.from_file(path)
+    rng = random.Random(0)
+    texts = ODD + ["".join(rng.choice(" \n\tab'1.é\u3000<|") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    ids, n = bpe.Encoder(bpe.vocabulary(path)).encode(texts)
+    for text, own in zip(texts, np.split(ids, np.cumsum(n)[:-1])):
+        assert own.tolist() == theirs.encode(text, add_special_tokens=False).ids
+    for r in bpe.decode(bpe.encode(odd, path), path).collect():
+        want = theirs.encode(r.text or "", add_special_tokens=False).ids
+        assert r.ids == want and r.decoded == theirs.decode(want, skip_special_tokens=False)
+    assert bpe.decode(bpe.encode(none, path), path).count() == 0
+    assert bpe.encode(clashing, path).columns.count("ids") == 1
+
+
+def test_bpe_forgets_without_change(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    vocab = bpe.vocabulary(tokenizer())
+    small = bpe.Encoder(vocab)
+    for text in ("one two three four", "five six", "one two seven"):
+        assert small.encode([text])[0].tolist() == bpe.Encoder(vocab).encode([text])[0].tolist()
+
+
+def plain_ppm(train, texts):
+    end, order = bytes([ppm.EDGE]), ppm.ORDER
+    tries = [{} for _ in range(order + 1)]
+    for t in train:
+        b = end * order + t + end
+        for i in range(order, len(b)):
+            for k in range(order + 1):
+                tries[k].setdefault(b[i - k : i], Counter())[b[i]] += 1
+    for t in texts:
+        b, total = end * order + t + end, 0.0
+        for i in range(order, len(b)):
+            gone = set()
+            for k in range(order, -1, -1):
+                node = tries[k].get(b[i - k : i])
+                if node is None:
+                    continue
+                live = {s: n for s, n in node.items() if s not in gone}
+                weight = sum(live.values()) + len(live)
+                if b[i] in live:
+                    total += math.log10(live[b[i]] / weight)
+                    break
+                if live:
+                    total += math.log10(len(live) / weight)
+                gone |= set(node)
+            else:
+                total -= math.log10(256 - len(gone))
+        yield total
+
+
+def test_ppm(odd, none, clashing):
+    rows = [(i, (t or "").encode()) for i, t, *_ in odd_rows()]
+    train = [t for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
+    words = Counter(w for t in train for w in t.lower().split())
+    words[None] = len(train)
+    n, v = sum(words.values()), len(words)
+    want = Counter()
+    for (i, t), lp in zip(rows, plain_ppm(train, [t for _, t in rows])):
+        tokens = [*t.lower().split(), None]
+        base = sum(math.log10((words[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
+        want[i, i is not None and zlib.crc32(str(i).encode()) % 5 == 1, len(tokens), sum(words[w] > 0 for w in tokens), n, round(base, 4), round(lp, 4)] += 1
+    got = ppm.score(odd).collect()
+    assert Counter((*r[:5], round(r.base_score, 4), round(r.score, 4)) for r in got) == want
+    assert ppm.score(none).count() == 0
+    assert ppm.score(clashing).count() == len(rows)
+
+
+def test_ppm_finds_keys_that_collide():
+    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 40, 50_000))
+    places = ppm.Places(keys)
+    assert (places(keys[::-1].copy()) == np.arange(len(keys))[::-1]).all()
+    with pytest.raises(ValueError):
+        places(np.array([1 << 41]))
+
+
+def test_viterbi():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        sizes = rng.integers(0, 6, 4)
+        scores = -rng.random((sizes.sum(), 3)).astype(np.float32) * 20
+        path, start = language_id.viterbi(scores, sizes, 5.0), 0
+        for n in sizes:
+            value = lambda q: sum(scores[start + i, q[i]] for i in range(n)) - 5 * sum(a != b for a, b in zip(q, q[1:]))  # noqa: B023, E731
+            if n:
+                assert abs(value(path[start : start + n]) - max(map(value, itertools.product(range(3), repeat=int(n))))) < 1e-3
+            start += n
+
+
+def test_language_accuracy_and_spans(spark, odd, none, clashing):
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    found = language_id.identify(docs, model).where(language_id.held_out()).select("lang", "lang_pred", "score").collect()
+    assert sum(r.lang == r.lang_pred for r in found) / len(found) > 0.98 and all(0 <= r.score <= 1 for r in found)
+    rows = docs.limit(200).collect()
+    en, de = (next(r.text[:300] for r in rows if r.lang == x and len(r.text) > 300) for x in ("en", "de"))
+    (lang, score, spans), nothing, digits, other = language_id.Labeller(model).label([en + " " + de, "", "12 ½", "Привет"])
+    assert [s["lang"] for s in spans] == ["en", "de"] and abs(spans[1]["start"] - 301) < 40 and spans[-1]["end"] == 601
+    assert nothing[0] == digits[0] == "und" and other[0] in model.languages and other[1] <= 0.5
+    assert all(r.lang_pred == "und" for r in language_id.identify(odd, model).where("text is null or trim(text) = ''").collect())
+    assert language_id.identify(none, model).count() == 0
+    assert language_id.identify(clashing, model).columns.count("score") == 1
+    assert {r.lang_pred for r in language_id.identify(odd, language_id.fit(none)).collect()} == {"und"}
+
+
+def plain_simhash(text, words):
+    import xxhash
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    shingles = [b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes)) if w else 0
+
+
+def components(prints, radius):
+    """{fingerprint: smallest member of its component}"""
+    nodes = sorted(set(prints))
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(nodes, 2):
+        if (a ^ b).bit_count() <= radius:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("radius", [2, 6])
+def test_masks_cover(radius):
+    masks, rng = simhash_dedup.covering_masks(radius), random.Random(0)
+    assert len(masks) == 2 ** (radius + 1) - 1
+    for _ in range(5000):
+        bits = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not m & bits for m in masks)
+
+
+def test_near_duplicates(odd, none, clashing):
+    rows = [(i, plain_simhash(t, 3)) for i, t, *_ in odd_rows()]
+    of = components([p for _, p in rows], 2)
+    least = {}
+    for i, p in rows:
+        if i is not None:
+            least[of[p]] = min(i, least.get(of[p], i))
+    want = Counter((i, f"{p:016x}", least.get(of[p])) for i, p in rows)
+    assert Counter(map(tuple, simhash_dedup.near_duplicates(odd).collect())) == want
+    assert simhash_dedup.near_duplicates(none).count() == 0
+    assert simhash_dedup.drop_near_copies(clashing).columns == clashing.columns
+
+
+def test_links_of_a_crowd(spark):
+    """Many fingerprints around one, and a chain: no link is lost, and links stay in proportion."""
+    rng = random.Random(1)
+    centre = rng.getrandbits(64)
+    crowd = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(400)}
+    chain = [rng.getrandbits(64)]
+    for i in range(20):
+        chain.append(chain[-1] ^ 3 << 2 * i)
+    prints = sorted({*crowd, *chain, *(rng.getrandbits(64) for _ in range(300))})
+    rows = spark.createDataFrame([(i, simhash_dedup._signed(p)) for i, p in enumerate(prints)], "id long, fp long")
+    of = components(prints, 2)
+    want = {i: prints.index(of[p]) for i, p in enumerate(prints)}
+    assert {r.id: r.component_id for r in simhash_dedup.near_groups(rows).collect()} == want
+
+
+def test_wide_links_recall(spark):
+    """Links of six bits: at least nine tenths of the pairs that a full comparison joins end in one component."""
+    rng = random.Random(2)
+    prints = set()
+    for _ in range(150):
+        p = rng.getrandbits(64)
+        prints |= {p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for _ in range(rng.randint(1, 5))}
+    prints = sorted(prints)
+    rows = spark.createDataFrame([(i, simhash_dedup._signed(p)) for i, p in enumerate(prints)], "id long, fp long")
+    got = {r.id: r.component_id for r in simhash_dedup.near_groups(rows, 6).collect()}
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= 6]
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    of = components(prints, 6)
+    assert all(of[prints[i]] == of[prints[c]] for i, c in got.items())
+
+
+def plain_secrets(text):
+    text, kinds, strong, weak = text or "", secrets.KINDS, [], []
+    keys = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    strong += [(m.start(), 0, m.end()) for m in keys.finditer(text) if len(m[1]) >= 12]
+    strong += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    strong += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    for kind in kinds[3:]:
+        for m in re.finditer(secrets.PATTERNS[kind][0].replace("(?i:", "(?ai:"), text):
+            token = kind != "secret" or re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+            if token and (kind != "id" or len(m[1]) >= 3) and not any(m.start() < e and s < m.end() for s, _, e in strong):
+                weak.append((m.start(), kinds.index(kind), m.end()))
+    near = lambda a, b: b[0] - a[2] <= secrets.REACH and a[0] - b[2] <= secrets.REACH
+    linked = [w for w in weak if all(any(secrets.ROLES[kinds[q[1]]] == need and near(w, q) for q in strong + weak) for need in secrets.NEEDS[kinds[w[1]]])]
+    return [(s, k, e) for s, k, e in sorted(strong + linked)]
+
+
+def test_secrets(spark, odd, none, clashing):
+    rng = random.Random(1)
+    tokens = ["user: bob", "login=alice99", " ", "password = ", "AKIA" + "A1" * 8, "deadbeef" * 3, "abc", "https://x.y/z", "10.0.0.1:80", "Zk9" * 8, "é", "\n",
+              "token:", "secret: secret: abcdefghijklmnop", "AKIAAKIA", "x" * 300]
+    rows = [(i, "".join(rng.choice(tokens) for _ in range(rng.randint(0, 14)))) for i in range(300)] + [(300, None), (301, ""), (300, None)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, str([tuple(s) for s in r.spans])) for r in got) == Counter((i, str(plain_secrets(t))) for i, t in rows)
+    assert secrets.scan(none).count() == 0
+    assert secrets.scan(clashing).count() == len(odd_rows())
+
+
+def plain_rule(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [(len(r.text), r) for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    rule = max(fits, key=lambda x: x[0])[1] if fits else None
+    return host, path, rule.text if rule else None, rule.verdict if rule else None
+
+
+def test_urls(spark):
+    odd = [None, "", "abc", "HTTP://EXample.NET", "HTTP://EXample.NET/", "a://B.net/x?y://z", "x://é.org/fr/ä#", "://x.org", "a://b.example.com/de", "a://b.example.com/de/#x", "a://xexample.com/de/"]
+    rows = [(i, u, 1) for i, u in enumerate(odd)] + [(1, "", 2)]
+    many = [(100 + i, f"http://good{i % 17}.example.net/en/{i}" if i % 2 else f"http://bad{i % 13}.example.com/de/{i}", 0) for i in range(200)]
+    many += [(500 + i, f"http://good{i}.other.io/en/{i}" if i % 2 else f"http://bad{i}.other.io/de/{i}", 0) for i in range(40)]
+    got = url_filter.judge(spark.createDataFrame(rows + many, "page_id long, url string, score int")).collect()
+    assert len(got) == len(rows + many)
+    for r in got:
+        *cut, verdict = plain_rule(r.url)
+        assert [r.host, r.path, r.rule] == cut and r.verdict == (verdict or ("allow" if r.score >= r.limit else "block"))
+    assert all((r.verdict == "allow") == (r.page_id % 2 == 1) for r in got if r.page_id >= 500)
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    assert {r.verdict for r in url_filter.judge(spark.createDataFrame([(1, "a://b.c/d")], "page_id long, url string")).collect()} == {"allow"}
+
+
+def test_url_models_are_distributions():
+    models = url_filter.Models(*_tables(["abc", "abd", "xyz"], ["qqq", "qq"]))
+    contexts, pairs, sizes = url_filter.slots(["abc"])
+    assert contexts.shape == (url_filter.ORDER + 1, 4) and sizes.tolist() == [4]
+    assert models.score(["abc"])[0] > 0 > models.score(["qqq"])[0]
+
+
+def _tables(allowed, blocked):
+    import pandas as pd
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"label": pa.array([1] * len(allowed) + [0] * len(blocked), pa.int32()), "text": allowed + blocked})
+    counts = pd.concat([b.to_pandas() for b in url_filter._count(iter([batch]))])
+    contexts = counts.groupby(["label", "k", "context"], as_index=False).agg(n=("n", "sum"), kinds=("n", "size"))
+    return contexts, counts.groupby(["label", "k", "pair"], as_index=False)["n"].sum()
+
+
+def test_digests_of_queries(spark):
+    from panelspark.llm.queries import QUERIES
+
+    row = {r.doc_id: r for r in QUERIES["op6_bpe_rounds"](spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        assert row[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
