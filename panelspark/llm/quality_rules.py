@@ -53,7 +53,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "array_sort(transform(filter(_sorted, (x, k) -> coalesce(get(_sorted, k - 1).w = x.w, false) or coalesce(get(_sorted, k + 1).w = x.w, false)), x -> x.i))"))
         .withColumn("n_repeat_words", F.coalesce(F.expr(
             f"aggregate(_twice, named_struct('end', 0, 'n', 0L), (s, i) -> named_struct('end', i + {WINDOW}, 'n', s.n + least({WINDOW}, i + {WINDOW} - s.end)), s -> s.n)"), F.lit(0)).cast("long"))
-        .select(*kept, *MEASURES)
+        # Through a generator: conditions on the measures are never copied into the expressions above, where each
+        # element of an array would evaluate the array again.
+        .select(*kept, F.inline(F.array(F.struct(*MEASURES))))
     )
 
 
@@ -141,9 +143,9 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """``docs`` with ``MEASURES``, ``base_failed`` and ``kept``; columns of these names are replaced.
 
     Null texts are empty and fail the base rule; null languages and sources are groups of their own; repeated rows count
-    each time; an empty table gives no rows. The measures are written once and read twice; ``keep_text=False`` leaves
-    the text out of that.
+    each time; an empty table gives no rows. The measures are written once for the limits, without texts; with
+    ``keep_text`` they are taken again beside the texts, which costs less than to write those.
     """
     measured = measure(docs, text)
-    measured = shared_table(measured if keep_text else measured.drop(text))
-    return judge(measured, shared_table(limits(sketches(measured, lang, source, rules), rules)), lang, source, rules)
+    narrow = shared_table(measured.select(lang, source, *MEASURES) if keep_text else measured.drop(text))
+    return judge(measured if keep_text else narrow, shared_table(limits(sketches(narrow, lang, source, rules), rules)), lang, source, rules)
