@@ -17,6 +17,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import row_key, shared_table
@@ -100,10 +101,11 @@ def wide_links(prints: DataFrame, radius: int) -> DataFrame:
     fixed number of its own, so the work stays in proportion to the rows; each of the many tables has other centres,
     and links add up over the chain of tables.
     """
-    keyed = _keyed(prints, covering_masks(radius))
-    by = [F.xxhash64(F.lit(i), "fp") for i in range(CENTRES)]
-    centres = keyed.groupBy("v", "key").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.min_by("fp", x) for x in by]).alias("centres")).where("n > 1")
-    near = keyed.join(centres, ["v", "key"]).select(F.explode(F.array_distinct("centres")).alias("a"), F.col("fp").alias("b"))
+    # One shuffle of (v, key, fp): the centres stand beside each member, and nothing is joined.
+    bucket = W.partitionBy("v", "key")
+    centres = F.array(*[F.min_by("fp", F.xxhash64(F.lit(i), "fp")).over(bucket) for i in range(CENTRES)])
+    crowded = _keyed(prints, covering_masks(radius)).select("fp", F.count(F.lit(1)).over(bucket).alias("n"), centres.alias("centres")).where("n > 1")
+    near = crowded.select(F.explode(F.array_distinct("centres")).alias("a"), F.col("fp").alias("b"))
     return near.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).distinct()
 
 
