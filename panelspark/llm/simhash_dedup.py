@@ -16,12 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import row_key, shared_table
+from panelspark.llm.common import row_key, shared_table, text_of
+from panelspark.llm.shingle_join import near_components, shingle_hashes
 from panelspark.operators.components import connected_components
 
 BITS, RADIUS = 64, 2
@@ -45,16 +45,10 @@ def covering_masks(radius: int = RADIUS) -> list[int]:
 
 def simhash(text: str | None, words: int, seed: int = 42) -> int:
     """The fingerprint of a text (unsigned). Bit i is set if it is in more than half of the shingles' hashes."""
-    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
+    hashes = shingle_hashes(text, words, seed)
+    n = len(hashes)
+    if not n:
         return 0
-    joined = b" ".join(parts)
-    ends = np.cumsum([len(p) + 1 for p in parts]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = max(1, len(parts) - words + 1)
-    cut = zip(starts[:n].tolist(), ends[-n:].tolist())
-    hash_ = xxhash.xxh64_intdigest
-    hashes = np.fromiter((hash_(joined[a:b], seed) for a, b in cut), dtype="<u8", count=n)
     ones = np.zeros(BITS, dtype=np.int64)
     for i in range(0, n, CHUNK):
         bits = np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -194,14 +188,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return near_groups(prints).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, radius: int = 6) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component, with all their columns.
 
-    Texts are near when nine tenths of their fingerprints' bits agree. A null id counts as the largest; rows that repeat
-    an id and a text stay or go together.
+    Texts are near when their shingle sets have a Jaccard similarity of 0.8 or more, all such pairs by ``shingle_join``;
+    fingerprints take no part. A null id counts as the largest; rows that repeat an id and a text stay or go together.
     """
-    ordered = F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("id"), row_key(id, text).alias("row"))
-    prints = shared_table(docs.select(ordered.alias("id"), fingerprint(text, words).alias("fp")))
-    gone = shared_table(near_groups(prints, radius).where("id <> component_id").select("id.row"))
-    keyed = docs.select(F.struct("*").alias("doc"), row_key(id, text).alias("row"))
+    row = row_key(id, text)
+    ordered = F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("id"), row.alias("row"))
+    rows = docs.select(ordered.alias("id"), row.alias("row"), text_of(text).alias("text"))
+    gone = shared_table(near_components(rows, words).where("id <> component_id").select("id.row"))
+    keyed = docs.select(F.struct("*").alias("doc"), row.alias("row"))
     return keyed.join(gone, "row", "left_anti").select("doc.*")
