@@ -2,7 +2,7 @@
 
 One model is counted over URLs that the rules allow, one over those they block: byte contexts of 0 to ORDER, each
 interpolated with the next shorter one by Witten-Bell weights. A URL's score is the difference of both log
-likelihoods per byte; the limit is calibrated on URLs that the counts leave out.
+likelihoods per byte of the whole string, scheme and query string included; the limit is calibrated on URLs that the counts leave out.
 """
 
 from __future__ import annotations
@@ -156,14 +156,14 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -
     """``pages`` with ``host``, ``path``, ``rule``, ``verdict``, ``score`` and ``limit``; same-named columns are replaced.
 
     A rule decides where one fits; else a URL is allowed if its score reaches the limit. Null and odd URLs have an empty
-    host and path and are scored like others; repeated URLs count each; an empty table gives no rows.
+    host and path; the whole string is learnt from and scored, null as empty; repeated URLs count each; an empty table gives no rows.
     """
     new = ["host", "path", "rule", "verdict", "score", "limit"]
     kept = [c for c in pages.columns if c not in new]
     host, path = host_and_path(url)
     cut = pages.select(*kept, F.col(url).cast("string").alias("_url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = cut.withColumns({"rule": rule, "_ruled": verdict, "_text": F.concat("host", "path")})
+    ruled = cut.withColumns({"rule": rule, "_ruled": verdict, "_text": F.coalesce("_url", F.lit(""))})
     labelled = ruled.where("_ruled is not null").select((F.col("_ruled") == "allow").cast("int").alias("label"), F.col("_text").alias("text"), F.pmod(F.xxhash64("_url"), F.lit(FOLDS)).alias("fold"))
     models = train(labelled.where("fold > 0"))
     limit = calibrate(labelled.where("fold = 0").select("label", score_column(models, pages.sparkSession, "text").alias("score")))
