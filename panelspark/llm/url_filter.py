@@ -2,7 +2,12 @@
 
 One model is counted over URLs that the rules allow, one over those they block: byte contexts of 0 to ORDER, each
 interpolated with the next shorter one by Witten-Bell weights. A URL's score is the difference of both log
-likelihoods per byte of the whole string, scheme and query string included; the limit is calibrated on URLs that the counts leave out.
+likelihoods per byte of the whole string, scheme and query string included; the limit is calibrated on URLs that the
+counts leave out.
+
+Counts are exact: a context and its byte are one integer of six bytes at most, which is a key of a distributed table.
+Distinct URLs are dealt to chunks; every distinct string of ORDER + 1 bytes is priced once, order after order, by joins
+whose keys have 256 rows at most, and its price goes back to the chunks that hold it.
 """
 
 from __future__ import annotations
@@ -14,12 +19,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panelspark.llm.common import blocks, shared_table
+
 ORDER = 5
-#: Contexts of an order are hashed to 2^CONTEXT_BITS slots, pairs of context and byte to 2^PAIR_BITS: the models have
-#: this size at most, however many URLs they are counted over. Short contexts never collide.
-CONTEXT_BITS, PAIR_BITS = 16, 18
+#: Bytes of distinct URLs in a chunk, on average, and those worked on at a time.
+CHUNK_BYTES, PART_BYTES = 16_000_000, 2_000_000
 #: Score bins for the calibration, and the range they cover.
 BINS, REACH = 2048, 8.0
 #: One URL in so many is left out of the counts and calibrates the limit.
@@ -62,48 +69,44 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tupl
     return (text, verdict) if rules else (F.lit(None).cast("string"), F.lit(None).cast("string"))
 
 
+def _mask(order: int) -> int:
+    return (1 << 8 * (order + 1)) - 1
+
+
 def slots(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context slots, pair slots) of every byte and order, order x bytes, and how many bytes each text has with its end."""
+    """(contexts, contexts with their byte) of every byte and order, order x bytes, as integers with the newest byte
+    lowest, and how many bytes each text has with its end."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     pad = b"\x02" * ORDER
-    flat = np.frombuffer(b"".join(pad + r + b"\x03" for r in raw), dtype=np.uint8).astype(np.uint64)
+    flat = np.frombuffer(b"".join(pad + r + b"\x03" for r in raw), dtype=np.uint8).astype(np.int64)
     sizes = np.array([len(r) + 1 for r in raw], dtype=np.int64)
     at = np.arange(sizes.sum()) + np.repeat(np.arange(1, len(raw) + 1) * ORDER, sizes)
-    contexts, pairs = np.zeros((ORDER + 1, len(at)), dtype=np.int64), np.zeros((ORDER + 1, len(at)), dtype=np.int64)
-    rolled, odd = np.zeros(len(at), dtype=np.uint64), np.uint64(0x9E3779B97F4A7C15)
+    longest = np.zeros(len(at), dtype=np.int64)
     for k in range(ORDER + 1):
-        if k:
-            rolled = rolled | flat[at - k] << np.uint64(8 * (k - 1))
-        mixed = (rolled + np.uint64(k)) * odd
-        contexts[k] = rolled if k <= 2 else mixed >> np.uint64(64 - CONTEXT_BITS)
-        joined = rolled << np.uint64(8) | flat[at]
-        pairs[k] = joined if k <= 1 else ((joined + np.uint64(k)) * odd) >> np.uint64(64 - PAIR_BITS)
-    return contexts, pairs, sizes
+        longest |= flat[at - k] << 8 * k
+    pairs = np.stack([longest & _mask(k) for k in range(ORDER + 1)])
+    return pairs >> 8, pairs, sizes
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts (label, order, context, pair, n)."""
+    """Counts in memory (label, order, context, pair, n), for ``Models``."""
     for batch in batches:
         label = np.array(batch["label"].to_pylist(), dtype=np.int64)
-        contexts, pairs, sizes = slots(batch["text"].to_pylist())
+        _, pairs, sizes = slots(batch["text"].to_pylist())
         for k in range(ORDER + 1):
-            keys = np.repeat(label, sizes) << CONTEXT_BITS + PAIR_BITS | contexts[k] << PAIR_BITS | pairs[k]
-            u, n = np.unique(keys, return_counts=True)
+            u, n = np.unique(np.repeat(label, sizes) << 8 * (ORDER + 1) | pairs[k], return_counts=True)
+            pair = u & _mask(ORDER)
             yield pa.RecordBatch.from_pydict({
-                "label": pa.array((u >> CONTEXT_BITS + PAIR_BITS).astype(np.int32)), "k": pa.array(np.full(len(u), k, dtype=np.int32)),
-                "context": pa.array((u >> PAIR_BITS & (1 << CONTEXT_BITS) - 1).astype(np.int32)), "pair": pa.array((u & (1 << PAIR_BITS) - 1).astype(np.int32)), "n": pa.array(n.astype(np.int64))})
+                "label": pa.array((u >> 8 * (ORDER + 1)).astype(np.int32)), "k": pa.array(np.full(len(u), k, dtype=np.int32)),
+                "context": pa.array(pair >> 8), "pair": pa.array(pair), "n": pa.array(n.astype(np.int64))})
 
 
 class Models:
-    """Both models as tables of fixed size, label x order x slot."""
+    """Both models in memory, for few URLs: what the prices of ``scores`` are held against."""
 
     def __init__(self, contexts: pd.DataFrame, pairs: pd.DataFrame):
-        self.total = np.zeros((2, ORDER + 1, 1 << CONTEXT_BITS), dtype=np.float32)
-        self.kinds = np.zeros_like(self.total)
-        self.pairs = np.zeros((2, ORDER + 1, 1 << PAIR_BITS), dtype=np.float32)
-        self.total[contexts["label"], contexts["k"], contexts["context"]] = contexts["n"]
-        self.kinds[contexts["label"], contexts["k"], contexts["context"]] = contexts["kinds"]
-        self.pairs[pairs["label"], pairs["k"], pairs["pair"]] = pairs["n"]
+        self.contexts = {(r.label, r.k, r.context): (r.n, r.kinds) for r in contexts.itertuples()}
+        self.pairs = {(r.label, r.k, r.pair): r.n for r in pairs.itertuples()}
         self.both = len(contexts["label"].unique()) == 2
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -112,36 +115,97 @@ class Models:
             return np.zeros(len(texts))
         contexts, pairs, sizes = slots(texts)
         p = np.full((2, contexts.shape[1]), 1 / 256)
-        for k in range(ORDER + 1):
-            for label in (0, 1):
-                n, kinds, hits = self.total[label, k][contexts[k]], self.kinds[label, k][contexts[k]], self.pairs[label, k][pairs[k]]
-                p[label] = np.where(n > 0, (hits + kinds * p[label]) / np.maximum(n + kinds, 1), p[label])
+        for label in (0, 1):
+            for i in range(contexts.shape[1]):
+                for k in range(ORDER + 1):
+                    n, kinds = self.contexts.get((label, k, contexts[k, i]), (0, 0))
+                    if n:
+                        p[label, i] = (self.pairs.get((label, k, pairs[k, i]), 0) + kinds * p[label, i]) / (n + kinds)
         return np.add.reduceat(np.log(p[1]) - np.log(p[0]), np.cumsum(sizes) - sizes) / sizes
 
 
-def train(labelled: DataFrame) -> Models:
-    """From (label, text): label 1 allowed, 0 blocked. The driver gets one row for each filled slot."""
-    counts = labelled.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(_count, "label int, k int, context int, pair int, n long")
-    counts = counts.groupBy("label", "k", "context", "pair").agg(F.sum("n").alias("n"))
-    contexts = counts.groupBy("label", "k", "context").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    return Models(contexts.toPandas(), counts.groupBy("label", "k", "pair").agg(F.sum("n").alias("n")).toPandas())
-
-
-def score_column(models: Models, spark, text: str | Column) -> Column:
-    shared = spark.sparkContext.broadcast(models)
-
-    @F.pandas_udf("double")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score(texts.tolist()))
-
-    return run(text)
+def _parts(rows: pa.Table) -> Iterator[tuple[slice, list[str]]]:
+    """Rows PART_BYTES at a time; a longer text comes alone."""
+    start, part, size = 0, [], 0
+    for i, t in enumerate(rows["text"]):
+        part.append(t.as_py())
+        size += len(part[-1])
+        if size >= PART_BYTES:
+            yield slice(start, i + 1), part
+            start, part, size = i + 1, [], 0
+    if part:
+        yield slice(start, start + len(part)), part
+
+
+def _learn(rows: pa.Table) -> pa.Table:
+    """The chunk's distinct strings with their counts among allowed and blocked URLs that are learnt from."""
+    weights = [rows[c].to_numpy() for c in ("allowed", "blocked")]
+    keys, sums = np.zeros(0, dtype=np.int64), np.zeros((2, 0), dtype=np.int64)
+    for at, texts in _parts(rows):
+        _, pairs, sizes = slots(texts)
+        keys, place = np.unique(np.concatenate([keys, pairs[ORDER]]), return_inverse=True)
+        every = [np.concatenate([old, np.repeat(w[at], sizes)]) for old, w in zip(sums, weights)]
+        sums = np.zeros((2, len(keys)), dtype=np.int64)
+        for total, more in zip(sums, every):
+            np.add.at(total, place, more)
+    chunk = rows["chunk"][0].as_py()
+    return pa.table({"chunk": pa.array(np.full(len(keys), chunk), pa.int32()), "key": pa.array(keys), "allowed": pa.array(sums[0]), "blocked": pa.array(sums[1])})
+
+
+def _apply(rows: pa.Table, known: pa.Table) -> pa.Table:
+    known = known.sort_by("key")
+    keys, values, found = known["key"].to_numpy(), known["value"].to_numpy(), [np.zeros(0)]
+    for _, texts in _parts(rows):
+        _, pairs, sizes = slots(texts)
+        found.append(np.add.reduceat(values[np.searchsorted(keys, pairs[ORDER])], np.cumsum(sizes) - sizes) / sizes)
+    return rows.drop_columns(["chunk", "allowed", "blocked"]).append_column("score", pa.array(np.concatenate(found)))
+
+
+def prices(counts: DataFrame) -> DataFrame:
+    """From (key, allowed, blocked), distinct: (key, value), log P(allowed) - log P(blocked) of the key's last byte.
+    Null where a class has no counts at all."""
+    found = None
+    sums = [F.sum(c).alias(c) for c in ("allowed", "blocked")]
+    for k in range(ORDER + 1):
+        here = counts if k == ORDER else counts.groupBy(F.col("key").bitwiseAND(F.lit(_mask(k))).alias("key")).agg(*sums)
+        context = W.partitionBy("context")
+        here = here.withColumn("context", F.shiftright("key", 8))
+        for c in ("allowed", "blocked"):
+            here = here.withColumn(f"n_{c}", F.sum(c).over(context)).withColumn(f"kinds_{c}", F.count(F.when(F.col(c) > 0, 1)).over(context))
+        if found is not None:
+            here = here.withColumn("shorter", F.col("key").bitwiseAND(F.lit(_mask(k - 1)))).join(found, "shorter")
+        new = {}
+        for c in ("allowed", "blocked"):
+            # Before the first order every byte is as likely; a class that was never counted has no price.
+            before = F.when(F.col(f"n_{c}") > 0, F.lit(1 / 256)) if found is None else F.col(f"p_{c}")
+            new[f"q_{c}"] = F.when(F.col(f"n_{c}") > 0, (F.col(c) + F.col(f"kinds_{c}") * before) / (F.col(f"n_{c}") + F.col(f"kinds_{c}"))).otherwise(before)
+        here = here.withColumns(new)
+        found = here.select(F.col("key").alias("shorter"), F.col("q_allowed").alias("p_allowed"), F.col("q_blocked").alias("p_blocked"))
+    return found.select(F.col("shorter").alias("key"), (F.log("p_allowed") - F.log("p_blocked")).alias("value"))
+
+
+def scores(labelled: DataFrame) -> DataFrame:
+    """From (text, label, fold): its distinct rows with ``n``, how often each is there, and ``score``, the mean over a
+    text's bytes and its end of log P(allowed) - log P(blocked). Label 1 is allowed, 0 blocked, null neither; fold 0 is
+    scored only. Without learnt URLs of both classes every score is 0."""
+    spark = labelled.sparkSession
+    texts = shared_table(labelled.groupBy("text", "label", "fold").agg(F.count(F.lit(1)).alias("n")))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(blocks(spark), -(-size // CHUNK_BYTES))
+    learnt = lambda label: F.when((F.col("label") == label) & (F.col("fold") > 0), F.col("n")).otherwise(F.lit(0).cast("long"))
+    dealt = texts.select("*", F.pmod(F.xxhash64("text"), F.lit(chunks)).cast("int").alias("chunk"), learnt(1).alias("allowed"), learnt(0).alias("blocked"))
+    facts = shared_table(dealt.groupBy("chunk").applyInArrow(_learn, "chunk int, key long, allowed long, blocked long"))
+    counts = shared_table(facts.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")))
+    priced = prices(counts).withColumn("value", F.coalesce("value", F.lit(0.0)))
+    known = facts.select("chunk", "key").join(priced, "key")
+    return dealt.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_apply, "text string, label int, fold int, n long, score double")
 
 
 def calibrate(scored: DataFrame) -> float:
-    """The limit with the fewest errors, both classes weighing the same, from (label, score); in the middle of the best
+    """The limit with the fewest errors, both classes weighing the same, from (label, score, n); in the middle of the best
     stretch. Without URLs of both classes nothing is blocked."""
     at = F.least(F.greatest(F.floor((F.col("score") + REACH) / (2 * REACH) * BINS), F.lit(0)), F.lit(BINS - 1)).cast("int")
-    bins = scored.groupBy("label", at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    bins = scored.groupBy("label", at.alias("bin")).agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, BINS))
     counts[bins["label"].astype(int), bins["bin"].astype(int)] = bins["n"]
     if not counts.sum(axis=1).all():
@@ -164,8 +228,8 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES) -
     cut = pages.select(*kept, F.col(url).cast("string").alias("_url"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = cut.withColumns({"rule": rule, "_ruled": verdict, "_text": F.coalesce("_url", F.lit(""))})
-    labelled = ruled.where("_ruled is not null").select((F.col("_ruled") == "allow").cast("int").alias("label"), F.col("_text").alias("text"), F.pmod(F.xxhash64("_url"), F.lit(FOLDS)).alias("fold"))
-    models = train(labelled.where("fold > 0"))
-    limit = calibrate(labelled.where("fold = 0").select("label", score_column(models, pages.sparkSession, "text").alias("score")))
-    return (ruled.withColumn("score", score_column(models, pages.sparkSession, "_text")).withColumn("limit", F.lit(limit))
+    fold = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)).cast("int")
+    scored = shared_table(scores(ruled.select(F.col("_text").alias("text"), (F.col("_ruled") == "allow").cast("int").alias("label"), fold.alias("fold"))))
+    limit = calibrate(scored.where("label is not null and fold = 0"))
+    return (ruled.join(scored.select(F.col("text").alias("_text"), "score"), "_text").withColumn("limit", F.lit(limit))
             .withColumn("verdict", F.coalesce("_ruled", F.when(F.col("score") >= F.col("limit"), "allow").otherwise("block"))).select(*kept, *new))
