@@ -224,7 +224,7 @@ class Encoder:
         return ids, np.diff(np.append(0, upto)[sizes] if len(sizes) else np.zeros(0, dtype=np.int64), prepend=0)
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of about BATCH bytes at a time; null is empty."""
     upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
     row = 0
@@ -234,40 +234,6 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         row = last
 
 
-def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
-        if len(self.chunks.number) > REMEMBERED or len(self.words.number) > REMEMBERED or self.size > REMEMBERED_CHARS:
-            self.forget()
-        added = self.vocab.cut_added
-        flat, sizes = [], []
-        for text in texts:
-            before = len(flat)
-            if added is not None and any(map(text.__contains__, self.vocab.added)):
-                for i, part in enumerate(added.split(text)):
-                    flat += [part] if i % 2 else self.pieces(part)
-            else:
-                flat += self.pieces(text)
-            sizes.append(len(flat) - before)
-        missing = list(dict.fromkeys(c for c in flat if c not in self.chunks.number))
-        if missing:
-            self._learn(missing)
-        ids, upto = self.chunks.take(flat)
-        return ids, np.diff(np.append(0, upto)[np.cumsum(sizes)] if sizes else np.zeros(0, dtype=np.int64), prepend=0)
-
-
-def _parts(texts: list[str | None]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about BATCH characters; null is empty."""
-    part, size = [], 0
-    for t in texts:
-        part.append(t or "")
-        size += len(part[-1])
-        if size >= BATCH:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with ``ids`` (array of int), the whole text's tokens; a column of that name is replaced.
 
@@ -279,7 +245,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(path)
         for batch in batches:
-            done = [own.encode(p) for _, p in _slices(batch)]
+            done = [own.encode(p) for _, p in slices(batch)]
             values = np.concatenate([np.zeros(0, dtype=np.int32), *[v for v, _ in done]])
             ends = np.concatenate([[0], *[n for _, n in done]]).cumsum()
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
@@ -310,7 +276,7 @@ def round_trip(docs: DataFrame, path: str, *keep: str, text: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, own = vocabulary(path), encoder(path)
         for batch in batches:
-            for row, texts in _slices(batch.column(len(keep))):
+            for row, texts in slices(batch.column(len(keep))):
                 ids, sizes = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
                 columns = [batch.column(i).slice(row, len(texts)) for i in range(len(keep))]

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm import bpe, exact_dedup, language_id, mixing, ppm, quality_rules, secrets, sharding, simhash_dedup, url_filter
+from panelspark.llm import (bpe, exact_dedup, fill_middle, language_id, merkle, mixing, packing, ppm, quality_rules, secrets, sharding, simhash_dedup,
+                            url_filter)
 from panelspark.llm.common import shared_table, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,3 +137,66 @@ def _(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"] < len(secrets.STRONG))
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
                         F.sha2(secrets.named(base), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
+
+
+def _level(k: int, group: str) -> str:
+    """SQL of a tree's level over that before it; a tree with one node left stays as it is."""
+    return f"""nodes{k} AS (SELECT DISTINCT {group} AS g, p, n, d FROM level{k - 1} WHERE n > 1),
+runs{k} AS (SELECT g, p // 8 AS q, list(d ORDER BY p) AS ds FROM nodes{k} GROUP BY g, p // 8),
+level{k} AS (SELECT l.* REPLACE (CASE WHEN n > 1 THEN p // 8 ELSE p END AS p, CASE WHEN n > 1 THEN (n + 7) // 8 ELSE n END AS n,
+       CASE WHEN n > 1 THEN sha256(array_to_string(ds, '')) ELSE d END AS d,
+       CASE WHEN n > 1 THEN proof || array_to_string(ds[1:p % 8], '') || array_to_string(ds[p % 8 + 2:], '') ELSE proof END AS proof,
+       CASE WHEN n > 1 THEN sha256(array_to_string(ds[1:p % 8], '') || fold || array_to_string(ds[p % 8 + 2:], '')) ELSE fold END AS fold)
+       FROM level{k - 1} l LEFT JOIN runs{k} r ON r.g = {group} AND r.q = p // 8 AND n > 1)"""
+
+
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen({value}::VARCHAR) || ':' || {value}::VARCHAR END"
+
+
+_NAMED = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+#: CRC-32 bit by bit: each byte of the id, then seven steps without one.
+_CRC = ("xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])), "
+        "lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))), 4294967295)")
+#: Ten levels within a language hold 8^10 leaves; three above them hold 512 languages.
+_MERKLE = f"""
+WITH leaves AS (SELECT doc_id, lang, sha256({_NAMED} || {_field("text")}) AS leaf,
+       CASE WHEN {_CRC} % 3 = 0 THEN sha256({_NAMED} || {_field(f"translate(text, '{merkle._UPPER}', '{merkle._LOWER}')")}) END AS changed FROM documents),
+level0 AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, leaf, coalesce(changed, leaf) AS fold, '' AS proof, leaf AS d, leaf AS subroot,
+       row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+{", ".join(_level(k, "tree") for k in range(1, 11))},
+level11 AS (SELECT * REPLACE (tree - 1 AS p, max(tree) OVER () AS n, d AS subroot) FROM level10),
+{", ".join(_level(k, "0") for k in range(12, 15))}
+SELECT doc_id, leaf, subroot, d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = d AS verified FROM level14
+"""
+
+
+@query("op11_merkle_manifest", _MERKLE)
+def _(spark, sf_dir):
+    return merkle.verified_manifest(_documents(spark, sf_dir))
+
+
+_FILL = r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+       ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM units),
+cut AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+       array_to_string(u[1:least(h1 % (n + 1), h2 % (n + 1))], '') AS a,
+       array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], '') AS b,
+       array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], '') AS c FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM cut
+"""
+
+
+@query("op12_chunked_fill_middle", _FILL)
+def _(spark, sf_dir):
+    done = fill_middle.fill_in_middle(_documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_middle.restored(), 256).alias("restored_sha256"))
+
+
+@query("op13_bounded_packing")
+def _(spark, sf_dir):
+    return packing.pack(_documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))

@@ -17,7 +17,7 @@ def test_query(spark, name):
 
 
 def test_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_entry_without_the_folder(monkeypatch):
