@@ -98,11 +98,11 @@ def log_probabilities(keys: np.ndarray, n: np.ndarray, short: np.ndarray, least:
 
 
 def _parts(rows: pa.Table) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts as bytes), PART_BYTES at a time; a longer text comes alone."""
+    """(first row, texts as bytes, A-Z lower-cased), PART_BYTES at a time; a longer text comes alone."""
     texts = rows["text"].cast(pa.large_binary())
     start, part, size = 0, [], 0
     for i, t in enumerate(texts):
-        part.append(t.as_py())
+        part.append(t.as_py().lower())
         size += len(part[-1])
         if size >= PART_BYTES:
             yield start, part
@@ -125,8 +125,8 @@ def _learn(rows: pa.Table) -> pa.Table:
             keys, counts = np.concatenate([keys, u]), np.concatenate([counts, n * weight])
         keys, place = np.unique(keys, return_inverse=True)
         counts = np.bincount(place, weights=counts, minlength=len(keys)).astype(np.int64)
-        words.update(b"\n".join([t for t, ok in zip(texts, learnt) if ok]).lower().split())
-        for w in {*b"\n".join([t for t, ok in zip(texts, learnt) if not ok]).lower().split()}:
+        words.update(b"\n".join([t for t, ok in zip(texts, learnt) if ok]).split())
+        for w in {*b"\n".join([t for t, ok in zip(texts, learnt) if not ok]).split()}:
             words[w] += 0
     names = sorted(words)
     chunk = rows["chunk"][0].as_py()
@@ -182,7 +182,7 @@ def _score(ends: int):
             keys, sizes = strings(texts)
             first = np.cumsum(sizes) - sizes
             out["log10"].append(np.add.reduceat(values[places(keys)], first) / math.log(10))
-            lists = [t.lower().split() for t in texts]
+            lists = [t.split() for t in texts]
             n = np.array([len(x) for x in lists], dtype=np.int64)
             seen = np.array([table[w] for x in lists for w in x], dtype=np.float64)
             # A zero behind the last word lets texts without words sum up to nothing.
@@ -201,7 +201,7 @@ def _score(ends: int):
 
 def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int = 5, held: int = 1) -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``
-    (log10 of the smoothed unigram), ``score`` (log10 probability of the text's bytes and its end).
+    (log10 of the smoothed unigram), ``score`` (log10 probability of the text's bytes, A-Z lower-cased, and its end).
 
     Documents whose crc32(id as text) mod ``folds`` is ``held`` are scored only; a null id is learnt from. A null text is
     empty: one token, the end. Repeated rows count and are scored each; an empty table gives no rows. Without training
@@ -213,7 +213,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", folds: int =
     size, ends = docs.select(F.octet_length(text_of(text)).alias("size"), F.coalesce(F.crc32(F.encode(F.col(id).cast("string"), "UTF-8")) % folds != held, F.lit(True)).alias("train")).agg(
         F.sum("size"), F.count(F.when(F.col("train"), 1))).first()
     chunks = max(blocks(spark), -(-(size or 0) // CHUNK_BYTES))
-    dealt = rows.withColumn("chunk", F.pmod("row", F.lit(chunks)).cast("int")).drop("row")
+    dealt = rows.withColumn("chunk", F.pmod("row.h1", F.lit(chunks)).cast("int")).drop("row")
     facts = shared_table(dealt.groupBy("chunk").applyInArrow(_learn, "chunk int, key long, word binary, n long"))
     grams = facts.where("key is not null").select("chunk", "key", "n")
     words = facts.where("word is not null").select("chunk", "word", "n")
