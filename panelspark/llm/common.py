@@ -32,7 +32,9 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._shared_path = path
+    return table
 
 
 def text_of(column: str = "text") -> Column:
@@ -41,8 +43,43 @@ def text_of(column: str = "text") -> Column:
 
 
 def row_key(*columns: str) -> Column:
-    """64 bits that name a row by its columns' values; equal rows share it."""
-    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns])
+    """128 bits that name a row by its columns' values, as a struct of two longs; equal rows share it."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in columns]
+    return F.struct(*[F.xxhash64(F.lit(seed), *values).alias(f"h{seed}") for seed in (1, 2)])
+
+
+def free(*tables: DataFrame) -> None:
+    """Removes what ``shared_table`` wrote; for tables that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._shared_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of a filter of keys at most, and bits for each key up to that.
+SIFT_BITS, KEY_BITS = 1 << 26, 16
+
+
+def flagged(rows: DataFrame, keys: DataFrame, key: str, flag: str = "_may") -> DataFrame:
+    """``rows`` with ``flag``: whether their ``key`` may be among ``keys``, told by a Bloom filter before any row moves.
+
+    No row of ``keys`` is missed and a few others are flagged too, so an exact join follows. The filter adds up from
+    parts and is 8 MB at most, whatever the number of keys; with over four million of them more rows are flagged.
+    """
+    spark = rows.sparkSession
+    bits = max(1 << 10, min(SIFT_BITS, 1 << (KEY_BITS * keys.count()).bit_length()))
+    places = [F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(bits)) for seed in ("a", "b")]
+    marks = keys.select(F.explode(F.array(*places)).alias("at")).selectExpr("shiftright(at, 6) as word", "shiftleft(1L, cast(at & 63 as int)) as bits")
+    words = marks.unionByName(spark.range(bits >> 6).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    table = shared_table(words.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("all")).select(F.transform("all", lambda x: x["bits"]).alias("_filter")))
+    at = lambda p: F.get("_filter", F.shiftright(p, 6).cast("int"))
+    hit = lambda p: F.call_function("shiftright", at(p), p.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return rows.crossJoin(F.broadcast(table)).withColumn(flag, hit(places[0]) & hit(places[1])).drop("_filter")
+
+
+def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows that ``flagged`` flags."""
+    return flagged(rows, keys, key).where("_may").drop("_may")
 
 
 def blocks(spark: SparkSession) -> int:

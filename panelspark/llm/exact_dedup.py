@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import SPACE, blocks, row_key, shared_table, text_of
+from panelspark.llm.common import SPACE, blocks, flagged, row_key, shared_table, sifted, text_of
 
 
 def golomb_encode(gaps: np.ndarray) -> tuple[int, bytes, bytes]:
@@ -98,15 +98,16 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
         named.select("id", "row", plain.alias("plain"))
         .select("id", "row", F.xxhash64("plain").alias("fp"), F.unhex(F.sha2("plain", 256)).alias("sha"))
         .groupBy("id", "row", "fp", "sha").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("sender", F.pmod("row", F.lit(parts)).cast("int")))
+        .withColumn("sender", F.pmod("row.h1", F.lit(parts)).cast("int")))
     sent = prints.select("sender", "fp", "n").groupBy("sender").applyInArrow(
         _send(parts), "owner int, sender int, n long, first long, k int, unary binary, low binary, repeated binary")
     answers = sent.groupBy("owner").applyInArrow(_answer, "sender int, owner int, n long, bits binary")
     marked = shared_table(prints.select("id", "row", "sha", "n", "sender", "fp").groupBy("sender").cogroup(answers.groupBy("sender")).applyInArrow(
-        _mark, f"id {dict(prints.dtypes)['id']}, row long, sha binary, n long, suspect boolean"))
-    # Only the suspects' texts move. The smallest id stays; ids that are null come last.
+        _mark, f"id {dict(prints.dtypes)['id']}, row struct<h1: long, h2: long>, sha binary, n long, suspect boolean"))
+    # Only the suspects' texts move, picked out where they lie. The smallest id stays; ids that are null come last.
+    suspects = marked.where("suspect").select("row").distinct()
     equal = (
-        named.join(marked.where("suspect").select("row").distinct(), "row", "left_semi")
+        sifted(named, suspects, "row").join(suspects, "row", "left_semi")
         .select("id", "row", F.regexp_replace("text", SPACE, " ").alias("plain"))
         .groupBy("plain").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
         .select(F.unhex(F.sha2("plain", 256)).alias("sha"), "keep", "group_size")
@@ -133,7 +134,16 @@ def exact_dedup(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Data
 def drop_copies(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. See ``exact_groups``."""
     groups = shared_table(exact_groups(docs, id, text).where(~F.col("first") | (F.col("copies") > 1)).select("row", "first"))
-    repeated = shared_table(groups.where("first").select("row"))
     keyed = docs.select(F.struct("*").alias("doc"), row_key(id, text).alias("row"))
-    once = keyed.join(groups.select("row"), "row", "left_anti")
-    return once.unionByName(keyed.join(repeated, "row", "left_semi").dropDuplicates(["row"])).select("doc.*")
+    return settled(keyed, groups).select("doc.*")
+
+
+def settled(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (doc, row) without those in ``groups`` (row, first), of which one stays where ``first``.
+
+    Rows that the groups can't hold stay where they lie; the others, told by a filter, meet the groups in a join."""
+    told = flagged(keyed, groups, "row")
+    touched, rest = told.where("_may").drop("_may"), told.where("not _may").drop("_may")
+    met = touched.join(groups.select(F.col("row").alias("_row"), "first"), F.col("row") == F.col("_row"), "left")
+    gone = met.where("first is null").select("doc", "row")
+    return rest.unionByName(gone).unionByName(met.where("first").dropDuplicates(["row"]).select("doc", "row"))
