@@ -1,31 +1,32 @@
-"""Pairs of texts whose sets of word shingles have a Jaccard similarity of NUM / DEN or more: all of them and no others.
+"""Texts whose sets of word shingles have a Jaccard similarity of NUM / DEN or more.
 
-Shingles have one order for all texts: those that a sample has seen often come last, hashes decide among the rest. Two
-near sets share their smallest common shingle within the first n - ceil(n * NUM / DEN) + 1 of each, so only texts that
-meet in these prefixes are candidates, less those whose sizes or places leave too little to share. Every candidate is
-verified on the whole sets. The sample decides only how many candidates there are, never a result.
+Bands of min-hashes propose candidates: BANDS short rows a text, so that two texts at the limit miss each other about once
+in 2,800 cases. Every candidate is verified on the whole sets. Before that a sketch of both sets, the parity of how many
+shingles fall into each of SKETCH places, rules out pairs that differ in too much; it never rules out a near pair.
 
-A shingle that many prefixes hold doesn't compare its texts pairwise: all are compared with a few pivots first, and
-after that only texts that the links found so far leave in different components.
+A crowd that shares a band is first compared with one member each, that which meets most texts; after that only members
+that the links found so far leave in different components are compared.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import shared_table
+from panelspark.llm.common import free, shared_table, sifted
 from panelspark.operators.components import connected_components
 
 #: Sets are near at this similarity.
 NUM, DEN = 4, 5
-#: About so many texts are sampled for the order; shingles that so many of them hold count as common.
-SAMPLE, COMMON = 16_000, 2
-#: Prefix shingles of up to so many texts compare them pairwise; others have so many pivots first.
-SMALL, PIVOTS = 16, 3
+#: Bands, and min-hashes in each.
+BANDS, ROWS = 20, 5
+#: Places of the sketch; shingles hashed at a time.
+SKETCH, CHUNK = 256, 4096
 #: Candidates of one text are verified in so many parts.
 SALTS = 64
 
@@ -57,79 +58,90 @@ def _sets(text: str, words: int) -> Column:
     return run(text)
 
 
-def _common(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of the sample, sorted, and how many of its texts hold each. The sample has a fixed size."""
-    every = max(1, docs.count() // SAMPLE)
-    found = docs.where(F.pmod("row", F.lit(every)) == 0).select(F.explode(_sets("text", words)).alias("h"))
-    found = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).toPandas().sort_values("h")
-    return found["h"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.int64)
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and summands that turn one hash into BANDS * ROWS others."""
+    drawn = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    return drawn[0] * np.uint64(2) + np.uint64(1), drawn[1]
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's min-hashes (a set of no shingles has none)."""
+    if not len(shingles):
+        return np.zeros(0, dtype=np.int64)
+    times, plus = _factors()
+    values, least = shingles.view(np.uint64), np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(values), CHUNK):
+        mixed = values[None, i : i + CHUNK] * times[:, None] + plus[:, None]
+        # The low bits of a product follow from the low bits of its factors; the high ones from all.
+        np.minimum(least, (mixed ^ mixed >> np.uint64(32)).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least.reshape(BANDS, ROWS))], dtype=np.uint64).view(np.int64)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH bits: whether an odd number of the shingles falls into each place."""
+    places = (shingles.view(np.uint64) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=SKETCH) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _prefixes(text: str, words: int, spark, common: tuple[np.ndarray, np.ndarray]) -> Column:
-    """(sig, n, prefix): a name of the text's set, its size, and its first shingles in the common order."""
-    shared = spark.sparkContext.broadcast(common)
+def _prints(text: str, words: int) -> Column:
+    """(sig, n, sketch, bands) of a text's set; sig names it by 128 bits."""
 
-    @F.pandas_udf("sig long, n int, prefix array<long>")
+    @F.pandas_udf("sig binary, n int, sketch array<long>, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        keys, counts = shared.value
-        sig, sizes, prefixes = [], [], []
-        for t in texts:
-            s = shingle_set(t, words)
-            rank = np.zeros(len(s), dtype=np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                rank = np.where(keys[at] == s, counts[at], 0)
-            sig.append(xxhash.xxh64_intdigest(s.tobytes()))
-            sizes.append(len(s))
-            prefixes.append(s[np.lexsort((s, rank))[: len(s) + 1 + -len(s) * NUM // DEN]] if len(s) else s)
-        return pd.DataFrame({"sig": np.array(sig, dtype=np.uint64).view(np.int64), "n": np.array(sizes, dtype=np.int32), "prefix": prefixes})
+        sets = [shingle_set(t, words) for t in texts]
+        return pd.DataFrame({"sig": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": np.array([len(s) for s in sets], dtype=np.int32),
+                             "sketch": [sketch(s) for s in sets], "bands": [band_keys(s) for s in sets]})
 
     return run(text)
 
 
 def _may_be_near(a: str, b: str) -> Column:
-    """Whether sizes and the places of a first common shingle leave room for enough common ones."""
-    na, nb, ia, ib = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.i"), F.col(f"{b}.i")
-    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (F.least(na - ia, nb - ib) * (NUM + DEN) >= (na + nb) * NUM)
+    """Whether sizes and sketches leave room for enough common shingles: as sets differ in at least as many shingles as
+    their sketches do in places."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH // 64)])
+    return (F.least(na, nb) * DEN >= F.greatest(na, nb) * NUM) & (apart * (NUM + DEN) <= (na + nb) * (DEN - NUM))
 
 
-def _pairs(met: DataFrame, a: str = "x.sig", b: str = "y.sig") -> DataFrame:
-    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).where("a <> b").distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs whose whole sets are near."""
-    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), "sig", "left_semi").select("sig", F.col("first.row").alias("row"))
-    texts = docs.join(wanted, "row").groupBy("sig").agg(F.first("text").alias("text"))
+    """The pairs whose whole sets are near. Only texts that stand in pairs move."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    wanted = shared_table(nodes.join(asked, "sig", "left_semi").select("sig", F.col("first.row").alias("row")))
+    texts = sifted(docs, wanted.select("row"), "row").join(wanted, "row").dropDuplicates(["row"])
     sets = shared_table(texts.select("sig", _sets("text", words).alias("set")))
-    salted = pairs.withColumn("salt", F.pmod("b", F.lit(SALTS)))
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     left = salted.select("a", "salt").distinct().join(sets.select(F.col("sig").alias("a"), F.col("set").alias("sa")), "a")
     both = salted.join(sets.select(F.col("sig").alias("b"), F.col("set").alias("sb")), "b").join(left, ["a", "salt"])
     common = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("n"), F.size(F.array_intersect("sa", "sb")).alias("both"))
-    return shared_table(common.where(F.col("both") * (NUM + DEN) >= F.col("n") * NUM).select("a", "b"))
+    found = shared_table(common.where(F.col("both") * (NUM + DEN) >= F.col("n") * NUM).select("a", "b"))
+    free(wanted, sets)
+    return found
 
 
 def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
     """From ``docs`` (id, row, text), id a struct that holds row: (id, ``component_id``), the smallest id reachable over
-    near pairs. Texts of the same set, also those without words, are one node."""
-    prints = docs.withColumn("p", _prefixes("text", words, docs.sparkSession, _common(docs, words)))
-    prints = shared_table(prints.select("id", "p.sig", "p.n", "p.prefix"))
-    nodes = shared_table(prints.groupBy("sig").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    postings = nodes.select("sig", "n", F.posexplode("prefix").alias("i", "h"))
-    crowds = postings.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    met = shared_table(postings.join(crowds, "h"))
-    few, many = met.where(F.col("c") <= SMALL), met.where(F.col("c") > SMALL)
-    pivots = many.groupBy("h").agg(*[F.min_by(F.struct("sig", "n", "i"), F.xxhash64("sig", F.lit(r))).alias(f"p{r}") for r in range(PIVOTS)])
-    pivots = pivots.select("h", F.explode(F.array(*[f"p{r}" for r in range(PIVOTS)])).alias("y")).distinct().select("h", "y.*")
-    small = few.alias("x").join(few.alias("y"), "h").where(F.col("x.sig") < F.col("y.sig")).where(_may_be_near("x", "y"))
-    stars = many.alias("x").join(pivots.alias("y"), "h").where(_may_be_near("x", "y"))
-    pairs = shared_table(_pairs(small).unionByName(_pairs(stars)).distinct())
+    near pairs. Texts of the same set, also those without words, are one node. An empty table gives no rows."""
+    prints = shared_table(docs.withColumn("p", _prints("text", words)).select("id", "p.*"))
+    nodes = shared_table(prints.groupBy("sig").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    postings = nodes.select("sig", F.explode("bands").alias("key"))
+    crowds = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = shared_table(postings.join(crowds, "key"))
+    meets = met.groupBy("sig").agg(F.sum("c").alias("meets")).join(nodes.select("sig", "n", "sketch"), "sig")
+    met = met.join(meets, "sig").select("key", F.struct("sig", "n", "sketch").alias("x"), "meets")
+    centres = met.groupBy("key").agg(F.max_by("x", F.struct("meets", F.col("x.sig"))).alias("y"))
+    pairs = shared_table(_pairs(met.join(centres, "key").where(_may_be_near("x", "y"))))
     links = _verified(pairs, nodes, docs, words)
     found = shared_table(connected_components(links).withColumnRenamed("id", "sig"))
-    labelled = many.join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig"))
-    mixed = labelled.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", F.xxhash64("sig", F.lit(0))).alias("main")).where("low <> high")
-    split = shared_table(labelled.join(mixed.select("h", "main"), "h"))
-    apart = split.where("component <> main").alias("x").join(split.alias("y"), "h").where("x.component <> y.component and (y.component = y.main or x.sig < y.sig)")
+    labelled = met.join(found, F.col("x.sig") == F.col("sig"), "left").select("key", "x", F.coalesce("component", "x.sig").alias("component"), "meets")
+    mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("component", F.struct("meets", "x.sig")).alias("main")).where("low <> high")
+    split = shared_table(labelled.join(mixed.select("key", "main"), "key").select("key", "x", "component", "main"))
+    other = split.select("key", F.col("x").alias("y"), F.col("component").alias("own"))
+    # Those outside the bucket's main component meet all others; of two outside it, the pair is built once.
+    apart = split.where("component <> main").join(other, "key").where("component <> own and (own = main or x.sig < y.sig)")
     rest = shared_table(_pairs(apart.where(_may_be_near("x", "y"))).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         more = _verified(rest, nodes, docs, words)
@@ -137,4 +149,5 @@ def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
             found = shared_table(connected_components(links.unionByName(more)).withColumnRenamed("id", "sig"))
     roots = shared_table(nodes.select("sig", "first").join(found, "sig", "left").withColumn("component", F.coalesce("component", "sig")))
     firsts = roots.groupBy("component").agg(F.min("first").alias("component_id"))
+    free(nodes, pairs, split, rest)
     return prints.select("id", "sig").join(roots.join(firsts, "component").select("sig", "component_id"), "sig").select("id", "component_id")

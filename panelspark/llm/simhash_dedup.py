@@ -12,15 +12,13 @@ two bits meet; each place links its rows (65 fingerprints at most) to the smalle
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import row_key, shared_table, text_of
+from panelspark.llm.common import flagged, row_key, shared_table, text_of
 from panelspark.llm.shingle_join import near_components, shingle_hashes
 from panelspark.operators.components import connected_components
 
@@ -85,97 +83,14 @@ def links(prints: DataFrame) -> DataFrame:
     return met.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b").distinct()
 
 
-#: Buckets of up to so many members are compared for a whole batch at once; pairs of a larger one at a time.
-SMALL, PAIRS = 8, 1 << 22
-
-
-def _small_links(fp: np.ndarray, bucket: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links among rows of the same bucket, rows of a bucket standing together and none holding over SMALL."""
-    found = []
-    for step in range(1, min(SMALL, len(fp))):
-        a, b = fp[:-step], fp[step:]
-        near = (bucket[:-step] == bucket[step:]) & (np.bitwise_count(a ^ b) <= radius)
-        found.append(np.stack([a[near], b[near]]))
-    return found
-
-
-def bucket_links(fp: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Links that join what ``radius`` bits or fewer join in one bucket: a breadth-first tree for each of its components.
-
-    A member that is reached is compared only with those not reached yet, so a group of near copies costs its size and
-    not its square. Memory is 8 bytes a distinct fingerprint and PAIRS comparisons.
-    """
-    rest, found = np.sort(fp), []
-    while len(rest) > 1:
-        reached, rest = [rest[:1]], rest[1:]
-        while reached and len(rest):
-            part = reached.pop()
-            cut = max(1, PAIRS // len(rest))
-            if len(part) > cut:
-                reached.append(part[cut:])
-                part = part[:cut]
-            near = np.bitwise_count(part[:, None] ^ rest[None, :]) <= radius
-            hit = near.any(axis=0)
-            if hit.any():
-                found.append(np.stack([part[near[:, hit].argmax(axis=0)], rest[hit]]))
-                reached.append(rest[hit])
-                rest = rest[~hit]
-    return found
-
-
-def wide_links(prints: DataFrame, radius: int) -> DataFrame:
-    """(a, b) for distinct ``fp``: links that join exactly those within ``radius`` bits, directly or over others.
-
-    Every pair within the radius shares a bucket, and each bucket's members are joined as ``bucket_links`` says. One
-    shuffle brings buckets together; those with one member, which most are, never reach Python. A bucket may go on over
-    many batches, and its fingerprints wait until it ends.
-    """
-    bucket = W.partitionBy("v", "key")
-    crowded = _keyed(prints, covering_masks(radius)).withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1")
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        waiting: list[np.ndarray] = []
-        due = 0
-        for batch in batches:
-            fp, n = batch["fp"].to_numpy(dtype=np.int64).view(np.uint64), batch["n"].to_numpy()
-            found, at = [], 0
-            if due:  # the bucket that began in an earlier batch
-                at = min(due, len(fp))
-                waiting.append(fp[:at])
-                due -= at
-                if not due:
-                    found += bucket_links(np.concatenate(waiting), radius)
-                    waiting = []
-            small, ids, starts = [], [], 0
-            while at < len(fp):
-                end = at + int(n[at])
-                if end > len(fp):
-                    waiting, due = [fp[at:]], end - len(fp)
-                elif n[at] > SMALL:
-                    found += bucket_links(fp[at:end], radius)
-                else:
-                    small.append(fp[at:end])
-                    ids.append(end - at)
-                    starts += 1
-                at = end
-            if small:
-                found += _small_links(np.concatenate(small), np.repeat(np.arange(starts), ids), radius)
-            if found:
-                a, b = np.concatenate(found, axis=1).view(np.int64)
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return crowded.sortWithinPartitions("v", "key").select("fp", "n").mapInPandas(run, "a long, b long").distinct()
-
-
-def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``prints`` (id, fp) with ``component_id``, the smallest id reachable over links of ``radius`` bits or fewer.
+def near_groups(prints: DataFrame) -> DataFrame:
+    """``prints`` (id, fp) with ``component_id``, the smallest id reachable over links of RADIUS bits or fewer.
 
     Equal fingerprints are one node, so a group of copies costs one row. Null ids are never the smallest; where all of
-    a component are null, so is its id. An empty table gives no rows. Radius 2 follows ``links``, others ``wide_links``;
-    both are exact.
+    a component are null, so is its id. An empty table gives no rows.
     """
     nodes = shared_table(prints.groupBy("fp").agg(F.min("id").alias("first")))
-    linked = connected_components(shared_table(links(nodes) if radius == RADIUS else wide_links(nodes, radius)))
+    linked = connected_components(shared_table(links(nodes)))
     roots = nodes.join(linked.withColumnRenamed("id", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = shared_table(roots)
     firsts = roots.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -193,10 +108,11 @@ def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", wo
 
     Texts are near when their shingle sets have a Jaccard similarity of 0.8 or more, all such pairs by ``shingle_join``;
     fingerprints take no part. A null id counts as the largest; rows that repeat an id and a text stay or go together.
+    Texts without words are near copies of each other; an empty table gives no rows.
     """
     row = row_key(id, text)
     ordered = F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("id"), row.alias("row"))
     rows = docs.select(ordered.alias("id"), row.alias("row"), text_of(text).alias("text"))
-    gone = shared_table(near_components(rows, words).where("id <> component_id").select("id.row"))
-    keyed = docs.select(F.struct("*").alias("doc"), row.alias("row"))
-    return keyed.join(gone, "row", "left_anti").select("doc.*")
+    gone = shared_table(near_components(rows, words).where("id <> component_id").select(F.col("id.row").alias("row")).distinct())
+    told = flagged(docs.select(F.struct("*").alias("doc"), row.alias("row")), gone, "row")
+    return told.where("not _may").select("doc.*").unionByName(told.where("_may").join(gone, "row", "left_anti").select("doc.*"))
