@@ -66,19 +66,20 @@ class Rules:
     least_words: int = 10
     most_repeat_percent: int = 20
     #: A limit lies this many spreads beyond the upper (or under the lower) quartile.
-    reach: float = 10.0
-    #: Groups with fewer passing texts take the limits of their language, such languages those of all texts.
-    least_rows: int = 100
+    reach: float = 3.0
+    #: A group's limits count as its rows do, those of its language as so many rows; a language's and those of all alike.
+    prior_rows: int = 100
 
 
-#: name: (value as a Spark and DuckDB expression, bins per unit, smallest spread, has a lower limit)
+#: name: (value as a Spark and DuckDB expression, bins per unit, smallest spread, has a lower limit). With the smallest
+#: spread a limit lies under what the base rules take, and above what clean texts of any group have.
 VALUES = {
-    "symbols": ("n_symbols / greatest(word_chars, 1)", 512, 0.006, False),
-    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 512, 0.05, False),
-    "repeats": ("n_repeat_words / greatest(n_words, 1)", 512, 0.02, False),
+    "symbols": ("n_symbols / greatest(word_chars, 1)", 512, 0.015, False),
+    "dup_lines": ("n_dup_lines / greatest(n_lines, 1)", 512, 0.1, False),
+    "repeats": ("n_repeat_words / greatest(n_words, 1)", 512, 0.05, False),
     # As if ten words of five letters stood in front, so that a few words alone decide nothing.
-    "upper": ("n_upper / (word_chars + 50)", 512, 0.01, False),
-    "word_length": ("log2(1 + (word_chars + 50) / (n_words + 10))", 64, 0.05, True),
+    "upper": ("n_upper / (word_chars + 50)", 512, 0.02, False),
+    "word_length": ("log2(1 + (word_chars + 50) / (n_words + 10))", 64, 0.1, True),
 }
 
 
@@ -103,26 +104,32 @@ def quartiles(sketch: DataFrame, *keys: str) -> DataFrame:
     return ranked.groupBy(*keys, "measure").agg(F.max("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
+def _fences(measure: str, q: str, rules: Rules) -> list[Column]:
+    """The upper and the lower limit of a measure that follow from quartile bins."""
+    _, per, least, _ = VALUES[measure]
+    q1, q3 = F.col(f"{q}.q1") / per, F.col(f"{q}.q3") / per
+    reach = rules.reach * F.greatest(q3 - q1, F.lit(least))
+    return [q3 + reach, q1 - reach]
+
+
 def limits(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row per language and source with ``lo_<measure>`` and ``hi_<measure>``."""
+    """One row per language and source with ``lo_<measure>`` and ``hi_<measure>``: the group's own limits and those of its
+    language, weighted by the group's rows against ``prior_rows``; a language's are weighted with those of all alike."""
     own = quartiles(sketch, "lang", "source")
     of_lang = quartiles(sketch, "lang").select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.struct("n", "q1", "q3").alias("by_lang"))
     of_all = quartiles(sketch).select(F.col("measure").alias("m"), F.struct("n", "q1", "q3").alias("by_all"))
-    enough = lambda c: F.col(f"{c}.n") >= rules.least_rows
-    pick = F.when(enough("own"), F.col("own")).when(enough("by_lang"), F.col("by_lang")).otherwise(F.col("by_all"))
     rows = (
         own.select("lang", "source", "measure", F.struct("n", "q1", "q3").alias("own"))
         .join(of_lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).drop("l", "m")
         .join(of_all, F.col("measure") == F.col("m")).drop("m")
-        .select("lang", "source", "measure", pick.alias("q"))
     )
+    mixed = lambda q, a, b: (F.col(f"{q}.n") * a + rules.prior_rows * b) / (F.col(f"{q}.n") + rules.prior_rows)
     out = []
-    for m, (_, per, least, low) in VALUES.items():
-        q1, q3 = F.col("q.q1") / per, F.col("q.q3") / per
-        reach = rules.reach * F.greatest(q3 - q1, F.lit(least))
-        out.append(F.max(F.when(F.col("measure") == m, q3 + reach)).alias(f"hi_{m}"))
-        if low:
-            out.append(F.max(F.when(F.col("measure") == m, q1 - reach)).alias(f"lo_{m}"))
+    for m, (_, _, _, low) in VALUES.items():
+        levels = [_fences(m, q, rules) for q in ("own", "by_lang", "by_all")]
+        for side, name in enumerate(("hi", "lo") if low else ("hi",)):
+            a, b, c = (level[side] for level in levels)
+            out.append(F.max(F.when(F.col("measure") == m, mixed("own", a, mixed("by_lang", b, c)))).alias(f"{name}_{m}"))
     return rows.groupBy("lang", "source").agg(*out)
 
 
@@ -143,9 +150,16 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", source: str
     """``docs`` with ``MEASURES``, ``base_failed`` and ``kept``; columns of these names are replaced.
 
     Null texts are empty and fail the base rule; null languages and sources are groups of their own; repeated rows count
-    each time; an empty table gives no rows. The measures are written once for the limits, without texts; with
-    ``keep_text`` they are taken again beside the texts, which costs less than to write those.
+    each time; an empty table gives no rows. The measures are written once, beside the texts with ``keep_text``.
     """
     measured = measure(docs, text)
-    narrow = shared_table(measured.select(lang, source, *MEASURES) if keep_text else measured.drop(text))
-    return judge(measured if keep_text else narrow, shared_table(limits(sketches(narrow, lang, source, rules), rules)), lang, source, rules)
+    stored = shared_table(measured if keep_text else measured.drop(text))
+    return judge(stored, shared_table(limits(sketches(stored, lang, source, rules), rules)), lang, source, rules)
+
+
+def rejections(judged: DataFrame, fences: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
+    """A row of counts: the texts that pass the base rules, and how many of these each measure's limits reject."""
+    fences = fences.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    met = judged.where("not base_failed").join(fences, F.col(lang).eqNullSafe(F.col("_lang")) & F.col(source).eqNullSafe(F.col("_source")))
+    over = {m: (F.expr(v) > F.col(f"hi_{m}")) | ((F.expr(v) < F.col(f"lo_{m}")) if low else F.lit(False)) for m, (v, _, _, low) in VALUES.items()}
+    return met.agg(F.count(F.lit(1)).alias("passed"), *[F.count_if(c).alias(m) for m, c in over.items()])

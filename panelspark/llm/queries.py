@@ -31,7 +31,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
-#: Limits and verdicts in SQL: quartile bins per language and source, of the language or of all where rows are few.
+#: Limits and verdicts in SQL: quartile bins per language and source, weighted with those of the language and of all.
 _QUALITY = rf"""
 WITH cut AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, {_WORDS} AS w,
        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
@@ -52,10 +52,12 @@ levels AS (SELECT 0 AS level, lang, source, m, b FROM bins UNION ALL SELECT 1, l
 ranked AS (SELECT level, lang, source, m, b, row_number() OVER g AS r, count(*) OVER (PARTITION BY level, lang, source, m) AS n
        FROM levels WINDOW g AS (PARTITION BY level, lang, source, m ORDER BY b)),
 quart AS (SELECT level, lang, source, m, max(n) AS n, min(b) FILTER (4 * r >= n) AS q1, min(b) FILTER (4 * r >= 3 * n) AS q3 FROM ranked GROUP BY ALL),
-picked AS (SELECT o.lang, o.source, o.m, CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-       CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3
-       FROM quart o JOIN quart l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.m = o.m JOIN quart a ON a.level = 2 AND a.m = o.m WHERE o.level = 0),
-fences AS (SELECT lang, source, {", ".join(f"max(q3 / {per}.0 + {quality_rules.Rules().reach} * greatest((q3 - q1) / {per}.0, {least})) FILTER (m = '{m}') AS hi_{m}" + (f", max(q1 / {per}.0 - {quality_rules.Rules().reach} * greatest((q3 - q1) / {per}.0, {least})) FILTER (m = '{m}') AS lo_{m}" if low else "") for m, (_, per, least, low) in quality_rules.VALUES.items())}
+edges AS (SELECT level, lang, source, m, n, q3 / per + 3.0 * greatest(q3 / per - q1 / per, least) AS hi, q1 / per - 3.0 * greatest(q3 / per - q1 / per, least) AS lo
+       FROM quart JOIN (VALUES ('symbols', 512e0, 0.015e0), ('dup_lines', 512e0, 0.1e0), ('repeats', 512e0, 0.05e0), ('upper', 512e0, 0.02e0), ('word_length', 64e0, 0.1e0)) s(m, per, least) USING (m)),
+picked AS (SELECT o.lang, o.source, o.m, (o.n * o.hi + 100 * ((l.n * l.hi + 100 * a.hi) / (l.n + 100))) / (o.n + 100) AS hi,
+       (o.n * o.lo + 100 * ((l.n * l.lo + 100 * a.lo) / (l.n + 100))) / (o.n + 100) AS lo
+       FROM edges o JOIN edges l ON l.level = 1 AND l.lang IS NOT DISTINCT FROM o.lang AND l.m = o.m JOIN edges a ON a.level = 2 AND a.m = o.m WHERE o.level = 0),
+fences AS (SELECT lang, source, {", ".join(f"max(hi) FILTER (m = '{m}') AS hi_{m}, max(lo) FILTER (m = '{m}') AS lo_{m}" for m in quality_rules.VALUES)}
        FROM picked GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce({" AND ".join(f"v_{m} <= hi_{m}" + (f" AND v_{m} >= lo_{m}" if low else "") for m, (_, _, _, low) in quality_rules.VALUES.items())}, true) AS kept

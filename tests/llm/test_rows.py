@@ -48,6 +48,33 @@ def test_quality_groups_and_fences(spark, odd, none, clashing):
     assert kept == {i for i, *_ in clean}
 
 
+def test_every_measure_rejects(spark):
+    """One odd text for each measure among clean ones, whatever its group's size; clean texts of all groups stay."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), int(rng.integers(2, 9))))
+    line = lambda: " ".join(word() for _ in range(8))
+    clean = [(i, "\n".join(line() for _ in range(11)).capitalize(), "en", f"s{i % 40 if i % 3 else 0}") for i in range(600)]
+    repeated = line()
+    phrase = " ".join(word() for _ in range(5))
+    texts = {
+        "symbols": " ".join(word() + "#$" for _ in range(90)),
+        "dup_lines": "\n".join([repeated.split()[0] if i % 2 else line() for i in range(20)]),
+        "repeats": " ".join([phrase] + [word() for _ in range(30)] + [phrase] + [word() for _ in range(17)]),
+        "upper": " ".join(word().upper() if i % 2 else word() for i in range(90)),
+        "word_length": " ".join(word() * 4 for i in range(90)),
+    }
+    odd = [(1000 + i, t, "en", s) for s in ("s0", "s7") for i, t in enumerate(texts.values(), 100 * (s == "s7"))]
+    docs = spark.createDataFrame(clean + odd, "doc_id long, text string, lang string, source string")
+    judged = quality_rules.quality(docs).cache()
+    assert {r.doc_id for r in judged.where("not kept").collect()} == {i for i, *_ in odd}
+    assert judged.where("base_failed").count() == 0
+    fences = quality_rules.limits(quality_rules.sketches(quality_rules.measure(docs)))
+    counts = quality_rules.rejections(judged, fences).first().asDict()
+    assert counts.pop("passed") == len(clean + odd) and set(counts) == set(quality_rules.VALUES) and all(n >= 2 for n in counts.values())
+    # A group's limits move with its rows, without a jump at any size.
+    assert sorted(r.hi_upper for r in fences.collect())[0] > 0.05
+
+
 def test_sketches_merge(odd):
     measured = quality_rules.measure(odd)
     whole = quality_rules.sketches(measured).groupBy("lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
