@@ -8,6 +8,7 @@ one set is left, which is closed.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,7 +29,9 @@ WINDOW, OPEN, SLACK = 2048, 32, 8
 #: Partitions whose left-over windows are packed together in a round.
 TOGETHER = 16
 #: Distinct words, and characters in them, that a worker process remembers before it starts over.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 6_000_000
+REMEMBERED, REMEMBERED_CHARS = 600_000, 12_000_000
+#: Words that the library is given at a time.
+JOINED = 500
 #: Pieces in a batch of results.
 ROWS = 20_000
 
@@ -36,10 +39,13 @@ ROWS = 20_000
 class Tokens:
     """The ids of texts by the tokenizers library, each distinct word encoded once.
 
-    Its rules drop white space and never look across it, so the words between spaces and line feeds have ids of their own.
+    Its rules drop white space and never look across it, so the words between spaces and line feeds have ids of their own;
+    and a letter never joins a full stop or comma behind it, so neither do words and those that follow them.
     """
 
     def __init__(self, path: str):
+        # Tasks share the cores already; the library's own threads cost more than they save on single words.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -48,24 +54,54 @@ class Tokens:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.size = Lists(), 0
+        self.words, self.stems, self.size = Lists(), Lists(), 0
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of many words in a row, and how many each has."""
+        out, sizes = [], []
+        for i in range(0, len(words), JOINED):
+            part = words[i : i + JOINED]
+            found = self.library.encode(" ".join(part), add_special_tokens=False)
+            ends = np.cumsum([len(w) + 1 for w in part])
+            place = np.searchsorted(ends, np.array([a for a, _ in found.offsets], dtype=np.int64), side="right")
+            out.append(np.array(found.ids, dtype=np.int32))
+            sizes.append(np.bincount(place, minlength=len(part)))
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def _learn(self, words: list[str]) -> None:
+        """Adds words: of each the stem, and the stops behind it."""
+        parts, counts = [], []
+        for w in words:
+            stem = w.rstrip(".,")
+            own = [stem, w[len(stem) :]] if len(stem) < len(w) and stem and stem[-1].lower().isalpha() else [w]
+            # The rules fold case; marks of special tokens stay as they are. (A letter may fold to a letter and a mark,
+            # which would join a stop; such words stay whole.)
+            if own[0].isascii() and "<|" not in own[0]:
+                own[0] = own[0].lower()
+            parts += own
+            counts.append(len(own))
+        index = self.stems.find(parts)
+        missing = list(dict.fromkeys(map(parts.__getitem__, np.flatnonzero(index < 0).tolist())))
+        if missing:
+            self.stems.add(missing, *self._encode(missing))
+            index = self.stems.find(parts)
+        ids, upto = self.stems.take(index)
+        self.words.add(words, ids, np.diff(np.append(0, upto)[np.cumsum(counts)], prepend=0))
+        self.size += sum(map(len, words))
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, each text's closed by ``end``, and how many each has."""
         if len(self.words.number) > REMEMBERED or self.size > REMEMBERED_CHARS:
             self.forget()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        flat = [w for words in cut for w in words]
+        flat = " ".join(texts).replace("\n", " ").split(" ")
+        counts = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
         index = self.words.find(flat)
         new = np.flatnonzero(index < 0).tolist()
         if new:
-            missing = list(dict.fromkeys(map(flat.__getitem__, new)))
-            found = [e.ids for e in self.library.encode_batch(missing, add_special_tokens=False)]
-            self.words.add(missing, np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64))
-            self.size += sum(map(len, missing))
-            index[new] = self.words.find([flat[i] for i in new])
+            self._learn(list(dict.fromkeys(map(flat.__getitem__, new))))
+            index[new] = self.words.find(list(map(flat.__getitem__, new)))
         ids, upto = self.words.take(index)
-        ends = np.append(0, upto)[np.cumsum([len(words) for words in cut])]
+        ends = np.append(0, upto)[counts]
         return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
 
 
