@@ -9,6 +9,7 @@ one set is left, which is closed.
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,11 +18,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.bpe import Lists, slices
+from panelspark.llm.bpe import Lists
 from panelspark.llm.common import shared_table
 
 #: Tokens in a window, open windows of a partition, free tokens that a window may be emitted with.
@@ -30,8 +32,8 @@ WINDOW, OPEN, SLACK = 2048, 32, 8
 TOGETHER = 16
 #: Distinct words, and characters in them, that a worker process remembers before it starts over.
 REMEMBERED, REMEMBERED_CHARS = 600_000, 12_000_000
-#: Words that the library is given at a time.
-JOINED = 500
+#: Bytes of text that are cut into words together; words that the library is given at a time.
+BATCH, JOINED = 4_000_000, 500
 #: Pieces in a batch of results.
 ROWS = 20_000
 
@@ -40,7 +42,7 @@ class Tokens:
     """The ids of texts by the tokenizers library, each distinct word encoded once.
 
     Its rules drop white space and never look across it, so the words between spaces and line feeds have ids of their own;
-    and a letter never joins a full stop or comma behind it, so neither do words and those that follow them.
+    and a letter never joins the punctuation behind it, so neither do words and what closes them.
     """
 
     def __init__(self, path: str):
@@ -69,15 +71,18 @@ class Tokens:
         return np.concatenate(out), np.concatenate(sizes)
 
     def _learn(self, words: list[str]) -> None:
-        """Adds words: of each the stem, and the stops behind it."""
+        """Adds words: of each the stem, and the punctuation behind it."""
         parts, counts = [], []
         for w in words:
-            stem = w.rstrip(".,")
-            own = [stem, w[len(stem) :]] if len(stem) < len(w) and stem and stem[-1].lower().isalpha() else [w]
-            # The rules fold case; marks of special tokens stay as they are. (A letter may fold to a letter and a mark,
-            # which would join a stop; such words stay whole.)
-            if own[0].isascii() and "<|" not in own[0]:
-                own[0] = own[0].lower()
+            own = [w]
+            if "<|" not in w:  # else it may hold a special token
+                stem = w.rstrip(string.punctuation)
+                # A letter may fold to a letter and a mark, which would join the punctuation; such words stay whole.
+                if len(stem) < len(w) and stem and stem[-1].lower().isalpha():
+                    own = [stem, w[len(stem) :]]
+                # The rules fold case.
+                if own[0].isascii():
+                    own[0] = own[0].lower()
             parts += own
             counts.append(len(own))
         index = self.stems.find(parts)
@@ -89,22 +94,35 @@ class Tokens:
         self.words.add(words, ids, np.diff(np.append(0, upto)[np.cumsum(counts)], prepend=0))
         self.size += sum(map(len, words))
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, each text's closed by ``end``, and how many each has."""
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, each text's closed by ``end``, and how many each has; a null text is empty."""
         if len(self.words.number) > REMEMBERED or self.size > REMEMBERED_CHARS:
             self.forget()
-        flat = " ".join(texts).replace("\n", " ").split(" ")
-        counts = np.cumsum([t.count(" ") + t.count("\n") + 1 for t in texts])
-        index = self.words.find(flat)
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        # Words are told apart before they come to Python: each of a batch's once.
+        flat = pc.dictionary_encode(lists.flatten())
+        names = flat.dictionary.to_pylist()
+        index = self.words.find(names)
         new = np.flatnonzero(index < 0).tolist()
         if new:
-            self._learn(list(dict.fromkeys(map(flat.__getitem__, new))))
-            index[new] = self.words.find(list(map(flat.__getitem__, new)))
-        ids, upto = self.words.take(index)
-        ends = np.append(0, upto)[counts]
+            missing = list(map(names.__getitem__, new))
+            self._learn(missing)
+            index[new] = self.words.find(missing)
+        ids, upto = self.words.take(index[flat.indices.to_numpy()])
+        ends = np.append(0, upto)[np.cumsum(lists.value_lengths().to_numpy())]
         return np.insert(ids, ends, end), np.diff(ends, prepend=0) + 1
 
 
+def _batches(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of about BATCH bytes at a time; a longer text comes alone."""
+    upto = np.append(0, np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)))
+    row = 0
+    while row < len(texts):
+        last = max(row + 1, int(np.searchsorted(upto, upto[row] + BATCH, side="right")) - 1)
+        yield row, texts.slice(row, last - row)
+        row = last
+
+
 @lru_cache(maxsize=1)
 def tokens(path: str) -> Tokens:
     """The process's words: they serve the next task too and change no result."""
@@ -220,7 +238,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
     A document is its text's ids and one ``end`` id, so null and empty texts are one token; every id lies in one piece,
     and repeated rows are documents of their own. Sequences hold ``window`` tokens at most and are emitted with ``slack``
     free at most; the last few have a power of two. A text of any length is encoded as a whole. An empty table gives no
-    rows. A task holds about a megabyte of texts, a longer text alone, and ``most`` windows.
+    rows. A task works on about four megabytes of texts at a time, a longer text alone, and holds ``most`` windows.
     """
     kind = docs.select(F.col(id).alias("id")).schema["id"].dataType
     layout = f"id {kind.simpleString()}, {_ROW}"
@@ -230,7 +248,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", end
         arrow = None
         for batch in batches:
             arrow = batch.column(0).type
-            for row, texts in slices(batch.column(1)):
+            for row, texts in _batches(batch.column(1)):
                 ids, sizes = own.encode(texts, end)
                 at = 0
                 for name, n in zip(batch.column(0).slice(row, len(texts)).to_pylist(), sizes.tolist()):

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelspark.llm import fill_middle, merkle, packing
@@ -162,11 +163,11 @@ def check_packing(rows, got, window):
 
 def test_tokens_are_those_of_the_library():
     rng = random.Random(0)
-    texts = [t or "" for _, t, *_ in odd_rows()] + ["", "don't  WE'LL", "İstanbul ΣΑΣ é é ́", "a\x1cb　c d\t\r\ne", "x<|endoftext|>y <|startoftext|>", "½ ² 12"]
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["", "don't  WE'LL", "İstanbul ΣΑΣ é é ́", "a\x1cb　c d\t\r\ne", "x<|endoftext|>y <|startoftext|>", "½ ² 12", "it's' 'sun' don't. (x) a!? é'", "İ. İ, ΑΣ."]
     texts += ["".join(rng.choice(" \n\tab'1.é́　<|ΣIİ") for _ in range(rng.randint(0, 30))) for _ in range(2000)]
     own = packing.Tokens(tokenizer("word_bpe_49k.json"))
     for half in (texts[::2], texts[1::2]):
-        ids, n = own.encode(half, 1)
+        ids, n = own.encode(pa.array(half), 1)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == ids_of(half)
 
 
