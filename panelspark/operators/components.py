@@ -7,7 +7,6 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,61 +37,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return labels.withColumnRenamed("label", "component")
 
 
-def _cells(lo: Column, hi: Column, size: float) -> Column:
-    return F.sequence(F.floor(lo / size), F.floor(hi / size))
-
-
-def overlap_edges(boxes: DataFrame, key: str, cell: float) -> DataFrame:
-    """Edges between distinct boxes that overlap or share a side (a shared corner alone does not join them)."""
-    cols = ("minx", "miny", "maxx", "maxy")
-    spread = boxes.select(key, *cols).withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell)))
-    left = spread.select("_cx", "_cy", F.col(key).alias("a"), *[F.col(c).alias(f"a_{c}") for c in cols])
-    right = spread.select("_cx", "_cy", F.col(key).alias("b"), *[F.col(c).alias(f"b_{c}") for c in cols])
-    w = F.least("a_maxx", "b_maxx") - F.greatest("a_minx", "b_minx")
-    h = F.least("a_maxy", "b_maxy") - F.greatest("a_miny", "b_miny")
-    home = (F.floor(F.greatest("a_minx", "b_minx") / cell) == F.col("_cx")) & (
-        F.floor(F.greatest("a_miny", "b_miny") / cell) == F.col("_cy"))
-    return left.join(right, ["_cx", "_cy"]).where(
-        (F.col("a") < F.col("b")) & home & (w >= 0) & (h >= 0) & ((w > 0) | (h > 0))).select("a", "b")
-
-
-def dissolve(boxes: DataFrame, key: str = "array_id", cell: float = 200.0, min_area: float = 1.0) -> DataFrame:
-    """(key, component) after dropping boxes of at most ``min_area``.
-
-    Exact copies of a box collapse to one node first, so a pile of duplicates adds no pairs.
-    """
-    cols = ["minx", "miny", "maxx", "maxy"]
-    kept = boxes.where((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")) > min_area)
-    heads = kept.groupBy(*cols).agg(F.min(key).alias("_head"))
-    found = connected_components(overlap_edges(heads, "_head", cell)).withColumnRenamed("id", "_head")
-    return kept.join(heads, cols).join(found, "_head", "left").select(
-        key, F.coalesce("component", "_head").alias("component"), *cols)
-
-
-def union_area(boxes: DataFrame, keys: Sequence[str], cell: float = 200.0) -> DataFrame:
-    """Exact area covered by the boxes of each group.
-
-    Boxes are cut at grid cells and de-duplicated, so a large group is spread over its cells. Inside a cell the
-    distinct x values form slabs, and in a slab the y intervals are merged with a running maximum.
-    """
-    keys = list(keys)
-    spread = boxes.withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell)))
-    at = [*keys, "_cx", "_cy"]
-    pieces = spread.select(
-        *at, F.greatest(F.col("minx"), F.col("_cx") * cell).alias("x0"), F.least(F.col("maxx"), (F.col("_cx") + 1) * cell).alias("x1"),
-        F.greatest(F.col("miny"), F.col("_cy") * cell).alias("y0"), F.least(F.col("maxy"), (F.col("_cy") + 1) * cell).alias("y1"),
-    ).where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))).distinct()
-    edges = pieces.select(*at, F.explode(F.array("x0", "x1")).alias("s0")).distinct()
-    slabs = edges.withColumn("s1", F.lead("s0").over(W.partitionBy(*at).orderBy("s0"))).where(F.col("s1").isNotNull())
-    inside = pieces.join(slabs, at).where((F.col("x0") <= F.col("s0")) & (F.col("x1") >= F.col("s1")))
-    before = W.partitionBy(*at, "s0").orderBy("y0", "y1").rowsBetween(W.unboundedPreceding, -1)
-    seen = F.coalesce(F.max("y1").over(before), F.col("y0"))
-    covered = inside.withColumn("_len", F.greatest(F.lit(0.0), F.col("y1") - F.greatest(F.col("y0"), seen)))
-    return covered.groupBy(*keys).agg(F.sum(F.col("_len") * (F.col("s1") - F.col("s0"))).alias("union_area"))
-
-
 def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Monotone chain on distinct points, counter-clockwise, no repeated closing vertex."""
     pts = sorted(set(points))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,28 +51,61 @@ def overlap_pairs(preds: DataFrame, gts: DataFrame, iou_min: float = 0.5, keys:
         *keys, "pred_idx", "gt_idx", "conf", "iou")
 
 
-def _greedy(thresholds: Sequence[float]) -> Callable[[Column], Column]:
-    """A tile's sorted pair list to the pairs taken at each threshold: one pass, linear in pairs, for every tile alike."""
-    cuts = [float(t) for t in thresholds]
-
-    @F.arrow_udf("array<struct<t: int, i: int>>")
-    def run(pairs: pa.Array) -> pa.Array:
-        flat = pairs.flatten()
-        columns = [pc.struct_field(flat, c).to_pylist() for c in ("p", "o", "g")]
-        ends = np.cumsum(pairs.value_lengths().to_numpy(zero_copy_only=False)).tolist()
-        taken_t, taken_i, upto = [], [], [0]
-        for start, end in zip([0, *ends[:-1]], ends):
-            for t, cut in enumerate(cuts):
-                preds, truths = set(), set()
-                for i, (p, o, g) in enumerate(zip(*[c[start:end] for c in columns])):
-                    if -o >= cut and p not in preds and g not in truths:
-                        preds.add(p)
-                        truths.add(g)
-                        taken_t.append(t)
-                        taken_i.append(i)
-            upto.append(len(taken_i))
-        rows = pa.StructArray.from_arrays([pa.array(taken_t, pa.int32()), pa.array(taken_i, pa.int32())], ["t", "i"])
-        return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)
+#: Candidate pairs that one task matches together, about; rounds that take fewer than one pair in so many go pair by pair.
+TOGETHER, SPARSE = 200_000, 200
+
+
+def first_rows(run: np.ndarray) -> np.ndarray:
+    """Whether a row begins a run of equal numbers."""
+    return np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, dtype=bool)
+
+
+def greedy(pred: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Rows that greedy matching takes from candidate pairs sorted by prediction (best first), then by preference.
+
+    A round takes all pairs that stand first both for their prediction and for their truth, which no other pair can
+    forestall, and drops what they rule out: each conflict component is solved by itself, all of them at once. A long
+    chain of conflicts, of which a round takes a few pairs only, is walked through instead.
+    """
+    taken, rows = [], np.arange(len(pred))
+    earliest = np.zeros(int(truth.max()) + 1 if len(truth) else 0, dtype=np.int64)
+    gone_p, gone_t = np.zeros(int(pred.max()) + 1 if len(pred) else 0, dtype=bool), np.zeros(len(earliest), dtype=bool)
+    while len(rows):
+        earliest[truth[rows[::-1]]] = rows[::-1]
+        first = rows[first_rows(pred[rows])]
+        hit = first[earliest[truth[first]] == first]
+        taken.append(hit)
+        gone_p[pred[hit]] = gone_t[truth[hit]] = True
+        rows = rows[~(gone_p[pred[rows]] | gone_t[truth[rows]])]
+        if len(hit) * SPARSE < len(rows):
+            walked = []
+            for i, p, t in zip(rows.tolist(), pred[rows].tolist(), truth[rows].tolist()):
+                if not (gone_p[p] or gone_t[t]):
+                    gone_p[p] = gone_t[t] = True
+                    walked.append(i)
+            taken.append(np.array(walked, dtype=np.int64))
+            break
+    return np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
+
+
+def _matched(keys: Sequence[str], thresholds: Sequence[float]):
+    """Pairs of many tiles to those taken at each threshold."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([*[(k, "ascending") for k in keys], ("pred_idx", "ascending"), ("iou", "descending"), ("gt_idx", "ascending")])
+        new = np.zeros(len(rows), dtype=bool)
+        for k in keys:
+            codes = pc.dictionary_encode(rows[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
+            new |= first_rows(codes)
+        tile = np.cumsum(new)
+        numbered_ = lambda c: np.unique(np.stack([tile, rows[c].to_numpy()]), axis=1, return_inverse=True)[1].ravel()
+        pred, truth, iou = numbered_("pred_idx"), numbered_("gt_idx"), rows["iou"].to_numpy()
+        out = []
+        for t in thresholds:
+            kept = np.flatnonzero(iou >= t)
+            found = rows.take(pa.array(kept[greedy(pred[kept], truth[kept])]))
+            out.append(found.drop_columns(["unit"]).append_column("iou_threshold", pa.array(np.full(len(found), float(t)))))
+        return pa.concat_tables(out)
 
     return run
 
@@ -80,17 +113,18 @@ def _greedy(thresholds: Sequence[float]) -> Callable[[Column], Column]:
 def match_many(preds: DataFrame, gts: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """J11 for several IoU thresholds at once: (keys, iou_threshold, pred_idx, gt_idx, conf, iou).
 
-    Pairs are built once, at the lowest threshold, and collected per tile: a tile is one image of fixed size. Greedy
-    takes them in the order (prediction, higher IoU, lower truth).
+    Pairs are built once, at the lowest threshold, and stored; tiles are dealt to tasks by the number of pairs, and a task
+    matches all its tiles together, prediction by prediction in the order (prediction, higher IoU, lower truth).
     """
     keys = list(keys)
-    pair = F.struct(F.col("pred_idx").alias("p"), (-F.col("iou")).alias("o"), F.col("gt_idx").alias("g"), F.col("conf").alias("c"))
-    tiles = overlap_pairs(preds, gts, min(thresholds), keys).groupBy(*keys).agg(F.array_sort(F.collect_list(pair)).alias("_pairs"))
-    cuts = F.array(*[F.lit(float(x)) for x in thresholds])
-    taken = tiles.select(*keys, "_pairs", F.inline(_greedy(thresholds)(F.col("_pairs"))))
-    one = F.get("_pairs", F.col("i"))
-    return taken.select(*keys, F.get(cuts, F.col("t")).alias("iou_threshold"), one["p"].cast("bigint").alias("pred_idx"),
-                        one["g"].cast("bigint").alias("gt_idx"), one["c"].alias("conf"), (-one["o"]).alias("iou"))
+    pairs = cut_lineage(overlap_pairs(preds, gts, min(thresholds), keys))
+    units = -(-pairs.count() // TOGETHER) or 1
+    unit = F.pmod(F.xxhash64(*keys), F.lit(units)).alias("unit")
+    kinds = dict(pairs.dtypes)
+    layout = ", ".join([f"{c} {kinds[c]}" for c in pairs.columns] + ["iou_threshold double"])
+    found = pairs.select("*", unit).groupBy("unit").applyInArrow(_matched(keys, thresholds), layout)
+    # Stored: what follows joins the matches several times.
+    return cut_lineage(found.select(*keys, "iou_threshold", F.col("pred_idx").cast("bigint").alias("pred_idx"), F.col("gt_idx").cast("bigint").alias("gt_idx"), "conf", "iou"))
 
 
 def match(preds: DataFrame, gts: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
@@ -138,11 +172,15 @@ def detection_rows(preds: DataFrame, gts: DataFrame, matches: DataFrame, width:
                    height: float = 640.0, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """The per-detection table. Missing sides are null; positions come from the truth except for false positives."""
     keys = list(keys)
-    rows = match_outcomes(preds, gts, matches, keys)
     p = preds.select(*keys, "pred_idx", "conf", *_measures(preds, "pred"))
     g = gts.select(*keys, "gt_idx", *_measures(gts, "gt"))
+    taken = matches.select(*keys, "pred_idx", "gt_idx", "iou")
+    # Predictions with their truth, if any; then the truths that none took.
+    found = p.join(taken, [*keys, "pred_idx"], "left").join(g, [*keys, "gt_idx"], "left").withColumn(
+        "class", F.when(F.col("gt_idx").isNotNull(), "tp").otherwise("fp"))
+    missed = g.join(taken, [*keys, "gt_idx"], "left_anti").withColumn("class", F.lit("fn"))
     n_gt = gts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = rows.join(p, [*keys, "pred_idx"], "left").join(g, [*keys, "gt_idx"], "left").join(n_gt, keys, "left")
+    out = found.unionByName(missed, allowMissingColumns=True).join(n_gt, keys, "left")
     n = F.coalesce("_n", F.lit(0))
     at = lambda c: F.when(F.col("class") == "fp", F.col(f"pred_centroid_{c}")).otherwise(F.col(f"gt_centroid_{c}"))
     return out.select(

@@ -12,6 +12,7 @@ from panelspark.config import AuditRules
 from panelspark.functions import geo as G
 from panelspark.functions import names as N
 from panelspark.operators.scale import pick_at, value_positions
+from panelspark.session import cut_lineage
 
 
 def _numbers(line: Column) -> Column:
@@ -252,36 +253,48 @@ def mask_runs(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> D
     return lines.select(*keys, "y", F.inline(runs)).where("x1 > x0")
 
 
-def merge_runs(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Union of runs per (keys, y): overlapping runs become one. A row of an image is a bounded group."""
-    keys = [*keys, "y"]
-    order = W.partitionBy(*keys).orderBy("x0", "x1")
-    start = F.coalesce(F.max("x1").over(order.rowsBetween(W.unboundedPreceding, -1)) < F.col("x0"), F.lit(True))
-    marked = runs.distinct().withColumn("_s", start)
-    isle = F.count_if("_s").over(order.rowsBetween(W.unboundedPreceding, 0))
-    return marked.withColumn("_g", isle).groupBy(*keys, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
+#: Pixels of an image row in which runs meet.
+STRETCH = 64
 
 
 def _overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Shared pixels of two run tables, summed by ``by``."""
+    """Shared pixels of two run tables, summed by ``by``. Runs meet in stretches of their row, not in the whole row."""
+    cut = lambda df, lo, hi: df.withColumn("_at", F.explode(F.sequence(F.floor(F.col(lo) / STRETCH), F.floor((F.col(hi) - 1) / STRETCH))))
     right = b.withColumnRenamed("x0", "_b0").withColumnRenamed("x1", "_b1")
-    both = a.join(right, [*keys, "y"]).where((F.col("x0") < F.col("_b1")) & (F.col("_b0") < F.col("x1")))
-    return both.groupBy(*by).agg(F.sum(F.least("x1", "_b1") - F.greatest("x0", "_b0")).alias("shared"))
+    both = cut(a.where("x0 < x1"), "x0", "x1").join(cut(right.where("_b0 < _b1"), "_b0", "_b1"), [*keys, "y", "_at"])
+    first = F.greatest("x0", "_b0")
+    both = both.where((first < F.least("x1", "_b1")) & (F.floor(first / STRETCH) == F.col("_at")))
+    return both.groupBy(*by).agg(F.sum(F.least("x1", "_b1") - first).alias("shared"))
+
+
+def mask_sums(runs: DataFrame, key: str, side: str) -> DataFrame:
+    """(key, left, both, either): pixels under the runs whose ``side`` is true, under runs of both sides, under any.
+
+    An ordered sweep of run starts and ends along each image row keeps two running counts of open runs; between
+    neighbouring ends they don't change. Linear in the runs, one shuffle.
+    """
+    ends = runs.select(key, "y", side, F.inline(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step")))))
+    row = W.partitionBy(key, "y").orderBy("x")
+    upto = row.rowsBetween(W.unboundedPreceding, 0)
+    opened = lambda own: F.sum(F.when(own, F.col("step")).otherwise(F.lit(0))).over(upto)
+    swept = ends.select(key, (F.lead("x").over(row) - F.col("x")).alias("w"), opened(F.col(side)).alias("l"), opened(~F.col(side)).alias("p")).where("w > 0")
+    under = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
+    l, p = F.col("l") > 0, F.col("p") > 0
+    return swept.groupBy(key).agg(under(l).alias("left"), under(l & p).alias("both"), under(l | p).alias("either"))
 
 
 def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0.5, min_iou: float = 0.3,
                        agree_iou: float = 0.5, tile: str = "tile_id") -> DataFrame:
     """J21 + A27: per tile, labels no prediction covers, confident predictions that touch no label, the overall mask
     IoU, and the bucket they imply. ``labels`` is (tile, gt_idx, ring), ``preds`` is (tile, pred_idx, conf, ring)."""
-    # Rasterising multiplies the rows; a fixed partition count keeps it from running on partitions sized before that.
-    n = int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    labels, preds = labels.repartition(n, tile, "gt_idx"), preds.repartition(n, tile, "pred_idx")
-    # The runs feed four branches below (areas, pairs, unions); they are rasterised once and kept, spilling to disk.
-    lr, pr = mask_runs(labels, [tile, "gt_idx"]).persist(), mask_runs(preds, [tile, "pred_idx"]).persist()
+    # The runs feed the branches below (areas, pairs, sums); they are rasterised once and stored.
+    own = lambda df, key, is_label: mask_runs(df.select(tile, F.col(key).alias("_i"), "ring").repartition(tile, "_i"), [tile, "_i"]).withColumn("_label", F.lit(is_label))
+    runs = cut_lineage(own(labels, "gt_idx", True).unionByName(own(preds, "pred_idx", False)))
+    lr, pr = runs.where("_label").withColumnRenamed("_i", "gt_idx").drop("_label"), runs.where("not _label").withColumnRenamed("_i", "pred_idx").drop("_label")
     width = F.sum(F.col("x1") - F.col("x0"))
     l_area = lr.groupBy(tile, "gt_idx").agg(width.alias("la"))
     p_area = pr.groupBy(tile, "pred_idx").agg(width.alias("pa"))
-    shared = _overlap(lr, pr, [tile], [tile, "gt_idx", "pred_idx"]).join(l_area, [tile, "gt_idx"]).join(p_area, [tile, "pred_idx"]).persist()
+    shared = cut_lineage(_overlap(lr, pr, [tile], [tile, "gt_idx", "pred_idx"]).join(l_area, [tile, "gt_idx"]).join(p_area, [tile, "pred_idx"]))
     best = shared.groupBy(tile, "gt_idx").agg(F.max(F.col("shared") / (F.col("la") + F.col("pa") - F.col("shared"))).alias("best"))
     uncovered = labels.join(best, [tile, "gt_idx"], "left").groupBy(tile).agg(
         F.count(F.lit(1)).alias("n_label_polys"),
@@ -290,12 +303,8 @@ def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0
     alone = preds.join(touched, [tile, "pred_idx"], "left").groupBy(tile).agg(
         F.count(F.lit(1)).alias("n_pred"), F.max("conf").alias("max_pred_conf"),
         F.count_if((F.col("conf") >= high_conf) & F.col("_t").isNull()).alias("confident_fps"))
-    lu, pu = merge_runs(lr.select(tile, "y", "x0", "x1"), [tile]), merge_runs(pr.select(tile, "y", "x0", "x1"), [tile])
-    whole = lu.groupBy(tile).agg(width.alias("_l")).join(pu.groupBy(tile).agg(width.alias("_p")), tile, "full_outer").join(
-        _overlap(lu, pu, [tile], [tile]), tile, "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
-    union = zero("_l") + zero("_p") - zero("shared")
-    whole = whole.select(tile, F.when(union > 0, zero("shared") / union).otherwise(F.lit(0.0)).alias("overall_iou"), (zero("_l") > 0).alias("_label"))
+    whole = mask_sums(runs, tile, "_label").select(tile, F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(F.lit(0.0)).alias("overall_iou"), (F.col("left") > 0).alias("_label"))
     out = uncovered.join(alone, tile, "full_outer").join(whole, tile, "left").select(
         tile, F.coalesce("overall_iou", F.lit(0.0)).alias("overall_iou"), zero("n_label_polys").alias("n_label_polys"),
         zero("n_pred").alias("n_pred"), zero("confident_fps").alias("confident_fps"),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelspark.functions import geo as G
+from panelspark.operators.cells import meeting
 from panelspark.operators.components import convex_hull
 from panelspark.operators.scale import sequential_ids
+from panelspark.session import cut_lineage
 
 
 def in_box(df: DataFrame, box: Sequence[float] | None, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
@@ -83,7 +86,7 @@ def neighbor_features(arrays: DataFrame, key: str = "array_id", radii: Sequence[
     """Neighbours within each radius, nearest distance, mean neighbour area within the 100 m radius.
 
     Candidates are arrays whose box meets the own box grown by the largest radius; both sides are replicated to
-    the grid cells they cover and meet in an equi-join. Identical rings are handled once with their count, so a
+    the grid cells they cover, crowded cells cut smaller, and meet in an equi-join. Identical rings are handled once with their count, so a
     pile of copies adds no pairs. Without a candidate the distance and mean are null.
     """
     reach = max(radii)
@@ -94,18 +97,12 @@ def neighbor_features(arrays: DataFrame, key: str = "array_id", radii: Sequence[
                            maxy.alias("maxy"), G.area(F.col("ring")).alias("area"), ring_edges(F.col("ring")).alias("edges"))
     is_box = (F.size("ring") == 4) & (F.col("area") == (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
     shapes = shapes.withColumn("is_box", is_box)
-    own = shapes.select(*[F.col(c).alias(f"o_{c}") for c in ("head", "minx", "miny", "maxx", "maxy", "edges", "is_box")])
-    own = own.withColumn("_cx", F.explode(_cells(F.col("o_minx") - reach, F.col("o_maxx") + reach, size))).withColumn(
-        "_cy", F.explode(_cells(F.col("o_miny") - reach, F.col("o_maxy") + reach, size)))
-    other = shapes.drop("ring").withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), size))).withColumn(
-        "_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), size)))
-    home = (F.floor(F.greatest(F.col("o_minx") - reach, F.col("minx")) / size) == F.col("_cx")) & (
-        F.floor(F.greatest(F.col("o_miny") - reach, F.col("miny")) / size) == F.col("_cy"))
-    meet = (F.col("minx") <= F.col("o_maxx") + reach) & (F.col("maxx") >= F.col("o_minx") - reach) & (
-        F.col("miny") <= F.col("o_maxy") + reach) & (F.col("maxy") >= F.col("o_miny") - reach)
+    box = lambda side, grown: [(F.col(c) + d * grown).alias(f"{side}_{c}") for c, d in (("minx", -1), ("miny", -1), ("maxx", 1), ("maxy", 1))]
+    own = shapes.select(*[F.col(c).alias(f"o_{c}") for c in ("head", "minx", "miny", "maxx", "maxy", "edges", "is_box")], *box("l", reach))
+    other = shapes.drop("ring").select("*", *box("r", 0.0))
     # A shape meets itself once; that row stands for its other copies, at distance zero.
     itself = F.col("o_head") == F.col("head")
-    pairs = own.join(other, ["_cx", "_cy"]).where(home & meet).select(
+    pairs = meeting(own, other, size).select(
         "o_head", F.when(itself, F.col("copies") - 1).otherwise(F.col("copies")).alias("times"), "head", "area",
         (itself | (F.col("is_box") & F.col("o_is_box"))).alias("boxed"), box_gap("o_", "").alias("gap"),
         F.col("o_edges").alias("a_edges"), F.col("edges").alias("b_edges")).where(F.col("times") > 0)
@@ -120,21 +117,55 @@ def neighbor_features(arrays: DataFrame, key: str = "array_id", radii: Sequence[
         key, *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], "distance_to_nearest_array_m", "mean_neighbor_area_100m")
 
 
+#: Sides of the cells that the nearest point is searched in, as parts of the first one.
+STEP, STEPS = 4, 5
+
+
+def _gap(v: Column, lo: Column, hi: Column) -> Column:
+    return F.greatest(F.lit(0.0), lo - v, v - hi)
+
+
+def _at_least(lat: Column, lon: Column, cy: Column, cx: Column, side: float) -> Column:
+    """No point of a cell is nearer than this."""
+    south, west = cy * side, cx * side
+    dy, dx = F.sin(F.radians(_gap(lat, south, south + side)) / 2), F.sin(F.radians(_gap(lon, west, west + side)) / 2)
+    narrow = F.least(F.cos(F.radians(south)), F.cos(F.radians(south + side)))
+    # A hair less, so that rounding never rules out a cell.
+    return 2 * G.EARTH_RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), dy * dy + F.cos(F.radians(lat)) * F.greatest(F.lit(0.0), narrow) * dx * dx))) * (1 - 1e-9) - 1e-6
+
+
 def min_distance(sites: DataFrame, points: DataFrame, out: str, radius_m: float = 5000.0, key: str = "station_id",
                  cell_deg: float = 0.1) -> DataFrame:
     """Least haversine distance from a site to any point in its radius box; the radius when there is none.
 
-    A point sits in one cell and a site visits the cells of its box; only the running minimum leaves a task.
+    Points are summed up in cells of sides ``cell_deg``, a quarter of that and so on, each with one point of its own. A
+    site visits the cells of its box and goes down into those only that may hold something nearer than the points it has
+    seen, so what it meets depends on its distance and not on how many points a city has.
     """
     dlat, dlon = G.degrees_around(F.col("latitude"), radius_m)
-    boxed = sites.select(
-        key, "latitude", "longitude", dlat.alias("_dlat"), dlon.alias("_dlon"),
-    ).withColumn("_cy", F.explode(_cells(F.col("latitude") - F.col("_dlat"), F.col("latitude") + F.col("_dlat"), cell_deg))
-                 ).withColumn("_cx", F.explode(_cells(F.col("longitude") - F.col("_dlon"), F.col("longitude") + F.col("_dlon"), cell_deg)))
-    spots = points.select(F.col("lat").cast("double"), F.col("lon").cast("double")).distinct().withColumn(
-        "_cy", F.floor(F.col("lat") / cell_deg)).withColumn("_cx", F.floor(F.col("lon") / cell_deg))
-    hit = boxed.join(spots, ["_cy", "_cx"]).where(
-        (F.abs(F.col("lat") - F.col("latitude")) <= F.col("_dlat")) & (F.abs(F.col("lon") - F.col("longitude")) <= F.col("_dlon")))
+    boxed = sites.select(key, F.col("latitude").cast("double").alias("latitude"), F.col("longitude").cast("double").alias("longitude")).distinct().select(
+        "*", dlat.alias("_dlat"), dlon.alias("_dlon"))
+    sides = [cell_deg / STEP ** i for i in range(STEPS)]
+    spots = points.select(F.col("lat").cast("double"), F.col("lon").cast("double")).where("lat is not null and lon is not null").distinct()
+    fine = spots.select("lat", "lon", F.floor(F.col("lat") / sides[-1]).alias("_cy"), F.floor(F.col("lon") / sides[-1]).alias("_cx"))
+    levels = [cut_lineage(fine.groupBy("_cy", "_cx").agg(F.min(F.struct("lat", "lon")).alias("_p")))]
+    for _ in sides[1:]:
+        up = levels[-1].groupBy(F.floor(F.col("_cy") / STEP).alias("_cy"), F.floor(F.col("_cx") / STEP).alias("_cx"))
+        levels.append(cut_lineage(up.agg(F.min("_p").alias("_p"))))
+    site = [key, "latitude", "longitude", "_dlat", "_dlon"]
+    inside = lambda lat, lon: (F.abs(lat - F.col("latitude")) <= F.col("_dlat")) & (F.abs(lon - F.col("longitude")) <= F.col("_dlon"))
+    here = boxed.withColumn("_cy", F.explode(_cells(F.col("latitude") - F.col("_dlat"), F.col("latitude") + F.col("_dlat"), cell_deg))).withColumn(
+        "_cx", F.explode(_cells(F.col("longitude") - F.col("_dlon"), F.col("longitude") + F.col("_dlon"), cell_deg))).withColumn("_best", F.lit(None).cast("double"))
+    for i, side in enumerate(sides):
+        if i:
+            child = lambda c: F.explode(F.sequence(c * STEP, c * STEP + (STEP - 1)))
+            here = here.withColumn("_cy", child(F.col("_cy"))).withColumn("_cx", child(F.col("_cx")))
+        met = here.join(levels[-1 - i], ["_cy", "_cx"])
+        own = F.when(inside(F.col("_p.lat"), F.col("_p.lon")), G.haversine_m(F.col("latitude"), F.col("longitude"), F.col("_p.lat"), F.col("_p.lon")))
+        best = F.min(F.least(F.col("_best"), own)).over(W.partitionBy(*site))
+        low = _at_least(F.col("latitude"), F.col("longitude"), F.col("_cy"), F.col("_cx"), side)
+        here = cut_lineage(met.withColumn("_best", best).where(F.col("_best").isNull() | (low <= F.col("_best"))).select(*site, "_cy", "_cx", "_best"))
+    hit = here.join(fine, ["_cy", "_cx"]).where(inside(F.col("lat"), F.col("lon")))
     d = G.haversine_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
     best = hit.groupBy(key).agg(F.min(d).alias(out))
     return sites.select(key).join(best, key, "left").select(key, F.coalesce(out, F.lit(float(radius_m))).alias(out))
@@ -155,15 +186,12 @@ def raster_value(points: DataFrame, raster: DataFrame, transform: Sequence[float
 def best_scene(boxes: DataFrame, scenes: DataFrame, key: str = "array_id", cell: float = 1000.0) -> DataFrame:
     """Scene covering most of each box; the first in rank order once coverage reaches 0.999."""
     cols = ("minx", "miny", "maxx", "maxy")
-    b = boxes.select(key, *cols).withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), cell)))
-    s = scenes.select("scene_id", "rank", *[F.col(c).alias(f"s_{c}") for c in cols]).withColumn(
-        "_cx", F.explode(_cells(F.col("s_minx"), F.col("s_maxx"), cell))).withColumn(
-        "_cy", F.explode(_cells(F.col("s_miny"), F.col("s_maxy"), cell)))
+    b = boxes.select(key, *cols, *[F.col(c).alias(f"l_{c}") for c in cols])
+    s = scenes.select("scene_id", "rank", *[F.col(c).alias(f"s_{c}") for c in cols], *[F.col(c).alias(f"r_{c}") for c in cols])
     w = F.least("maxx", "s_maxx") - F.greatest("minx", "s_minx")
     h = F.least("maxy", "s_maxy") - F.greatest("miny", "s_miny")
     overlap = F.try_divide(w * h, (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")))
-    cand = b.join(s, ["_cx", "_cy"]).where((w > 0) & (h > 0)).withColumn("overlap", overlap)
+    cand = meeting(b, s, cell).where((w > 0) & (h > 0)).withColumn("overlap", overlap)
     best = cand.groupBy(key).agg(F.max_by(
         F.struct("scene_id", "overlap"), F.struct(F.least(F.col("overlap"), F.lit(0.999)), -F.col("rank"))).alias("_b"))
     return boxes.select(key).join(best, key, "left").select(key, "_b.scene_id", "_b.overlap")

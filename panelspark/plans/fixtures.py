@@ -40,9 +40,10 @@ FROM lineitem WHERE l_discount < 0.09""",
   CAST(l_partkey % 600 AS DOUBLE) + l_tax * 200 + 10 + l_quantity AS x2,
   CAST(l_suppkey * 6 % 600 AS DOUBLE) + l_tax * 100 + 10 + l_quantity AS y2
 FROM lineitem WHERE l_discount > 0.01""",
-    "f_rect": """SELECT c_custkey AS array_id, CAST((c_custkey * c_custkey * 31 + c_custkey * 17) % 3001 AS DOUBLE) AS minx,
+    # Squares of 3 km side by side with 2,000 arrays each: the extent grows with the table, the density does not.
+    "f_rect": """SELECT c_custkey AS array_id, CAST((c_custkey * c_custkey * 31 + c_custkey * 17) % 3001 AS DOUBLE) + FLOOR(c_custkey / 2000) * 3000 AS minx,
   CAST((c_custkey * c_custkey * 57 + c_custkey * 11) % 2999 AS DOUBLE) AS miny,
-  CAST((c_custkey * c_custkey * 31 + c_custkey * 17) % 3001 AS DOUBLE) + 5 + c_custkey % 23 AS maxx,
+  CAST((c_custkey * c_custkey * 31 + c_custkey * 17) % 3001 AS DOUBLE) + FLOOR(c_custkey / 2000) * 3000 + 5 + c_custkey % 23 AS maxx,
   CAST((c_custkey * c_custkey * 57 + c_custkey * 11) % 2999 AS DOUBLE) + 4 + c_custkey % 17 AS maxy FROM customer""",
     "f_risk": """SELECT c_custkey AS array_id, c_nationkey AS aoi_id,
   CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE CAST(c_custkey * (c_nationkey + 3) % 1000 AS DOUBLE) / CASE WHEN c_nationkey % 4 = 0 THEN 2000 ELSE 1000 END END AS risk_score FROM customer""",

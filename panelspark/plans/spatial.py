@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import geo as G
 from panelspark.operators import components as C
+from panelspark.operators import polygons as P
 from panelspark.operators import spatial as S
 from panelspark.plans.registry import query
 
@@ -245,8 +246,10 @@ def j15(t):
     return t.f_station.select("station_id", row.alias("grid_row"), col.alias("grid_col"))
 
 
-SCENES = """SELECT s_suppkey AS scene_id, s_suppkey AS rank, CAST(s_suppkey * 131 % 2900 AS DOUBLE) - 50 AS minx, CAST(s_suppkey * 197 % 2900 AS DOUBLE) - 50 AS miny,
-    CAST(s_suppkey * 131 % 2900 AS DOUBLE) + 350 AS maxx, CAST(s_suppkey * 197 % 2900 AS DOUBLE) + 350 AS maxy FROM supplier"""
+#: Scenes cover the squares that arrays stand in, about as many to a square at any size.
+SCENES = """SELECT s_suppkey AS scene_id, s_suppkey AS rank, CAST(s_suppkey * 131 % 2900 AS DOUBLE) - 50 + FLOOR(s_suppkey / 133) * 3000 AS minx,
+    CAST(s_suppkey * 197 % 2900 AS DOUBLE) - 50 AS miny, CAST(s_suppkey * 131 % 2900 AS DOUBLE) + 350 + FLOOR(s_suppkey / 133) * 3000 AS maxx,
+    CAST(s_suppkey * 197 % 2900 AS DOUBLE) + 350 AS maxy FROM supplier"""
 
 
 @query("j16_best_scene", f"""
@@ -282,20 +285,40 @@ COMP = """WITH RECURSIVE r AS (SELECT * FROM f_rect WHERE (maxx - minx) * (maxy
 
 @query("a29_dissolve_components", COMP + " SELECT array_id, component FROM comp")
 def a29(t):
-    return C.dissolve(t.f_rect).select("array_id", "component")
+    return P.dissolve(t.f_rect).select("array_id", "component")
 
 
-@query("a29_dissolve_union_area", COMP + """, m AS (SELECT c.component, r.* FROM comp c JOIN r USING (array_id)),
+UNION_AREA = COMP + """, m AS (SELECT c.component, r.* FROM comp c JOIN r USING (array_id)),
     x AS (SELECT component, minx AS s0 FROM m UNION SELECT component, maxx FROM m),
     s AS (SELECT component, s0, LEAD(s0) OVER (PARTITION BY component ORDER BY s0) AS s1 FROM x),
     i AS (SELECT s.component, s0, s1, miny, maxy, MAX(maxy) OVER (PARTITION BY s.component, s0 ORDER BY miny, maxy ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
       FROM s JOIN m ON m.component = s.component AND minx <= s0 AND maxx >= s1),
     u AS (SELECT component, SUM((s1 - s0) * GREATEST(0e0, maxy - GREATEST(miny, COALESCE(seen, miny)))) AS union_area FROM i GROUP BY 1),
     n AS (SELECT component, COUNT(*) AS n_members FROM comp GROUP BY 1)
-    SELECT * FROM u JOIN n USING (component)""", "union_area")
+    SELECT * FROM u JOIN n USING (component)"""
+
+
+@query("a29_dissolve_union_area", UNION_AREA, "union_area")
 def a29_area(t):
-    parts = C.dissolve(t.f_rect)
-    return C.union_area(parts, ["component"]).join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_members")), "component")
+    parts = P.dissolve(t.f_rect)
+    return P.union_area(parts, ["component"]).join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_members")), "component")
+
+
+def turned_rings(t):
+    # Turned boxes overlap as the boxes do, while the boxes around them overlap far more often.
+    return rings(t).select("array_id", P.turned(F.col("ring")).alias("ring"))
+
+
+@query("a29_dissolve_polygons", COMP + " SELECT array_id, component FROM comp")
+def a29_polygons(t):
+    return P.dissolve_polygons(turned_rings(t), min_area=25.0).select("array_id", "component")
+
+
+@query("a29_polygon_union_area", UNION_AREA, "union_area")
+def a29_polygon_area(t):
+    parts = P.dissolve_polygons(turned_rings(t), min_area=25.0)
+    areas = P.polygon_union_area(parts, ["component"], 500.0).withColumn("union_area", F.col("union_area") / 25)
+    return areas.join(parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_members")), "component")
 
 
 CLUSTERS = """WITH RECURSIVE c AS (SELECT tile_id, gt_idx, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM f_gt),

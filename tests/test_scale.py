@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import components as C
 from panelspark.operators import detect as M
 from panelspark.operators import labels as L
+from panelspark.operators import polygons as P
 from panelspark.operators import quality as Q
 from panelspark.operators import scale as SC
 from panelspark.operators import spatial as S
@@ -132,7 +133,7 @@ def test_union_area(spark):
     for x, y, w, h in boxes:
         grid[x:x + w, y:y + h] = True
     df = spark.createDataFrame([(1, float(x), float(y), float(x + w), float(y + h)) for x, y, w, h in boxes * 2], "k INT, minx DOUBLE, miny DOUBLE, maxx DOUBLE, maxy DOUBLE")
-    assert C.union_area(df, ["k"]).first()["union_area"] == float(grid.sum())
+    assert P.union_area(df, ["k"]).first()["union_area"] == float(grid.sum())
 
 
 def random_rings(n, seed):
