@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.session import cut_lineage
+from panelspark.session import stored
 
 HULL_BATCH = 50_000
 
@@ -19,18 +19,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(id, component) for every id on an edge; the component is its smallest id.
 
     Every round takes the smallest neighbour label (combined map side, so a hub costs one row per task) and then
-    jumps to the label of that label, which halves the remaining distance. State is checkpointed each round.
+    jumps to the label of that label, which halves the remaining distance. State is written each round.
     """
-    both = cut_lineage(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(
+    both = stored(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).unionByName(
         edges.select(F.col(b).alias("a"), F.col(a).alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("a").agg(F.min("b").alias("m")).select(
+    labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("id"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(
             F.min("label").alias("m"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         roots = step.select(F.col("id").alias("label"), F.col("label").alias("root"))
-        moved = cut_lineage(step.join(roots, "label", "left").select(
+        moved = stored(step.join(roots, "label", "left").select(
             "id", "old", F.least("label", F.coalesce("root", "label")).alias("label")))
         labels = moved.select("id", "label")
         if moved.where(F.col("label") != F.col("old")).isEmpty():

@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from panelspark.functions import geo as G
 from panelspark.operators.cells import BOX, assigned
 from panelspark.operators.components import connected_components
+from panelspark.session import cut_lineage
 
 #: Rings in a cell up to which its area is swept at once, and how often a cell is cut in four before that.
-FEW, DEEP = 6, 24
+FEW, DEEP = 32, 24
+#: Fields of the sweep's table at a time; boxes in a window up to which they are laid on a grid.
+SLABS, MANY = 1 << 20, 1000
 
 
 def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,13 +81,14 @@ class Forest:
 
 
 def links(boxes: np.ndarray, joined: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
-    """Pairs that join exactly the boxes (n x 4) that overlap or share a side, directly or over others: n - 1 at most.
+    """Pairs that join exactly the boxes (n x 4) that overlap or share a side, directly or over others: a star for each of
+    their components, n - 1 pairs at most.
 
     A sweep from the left compares a box with those that reach its left side, and asks each component among them only
     until one of its members says yes. ``joined`` refines what overlaps (polygons in the boxes); without it a box that
     another one reaches around is left out of what follows, so a pile of near copies keeps few boxes in view.
     """
-    forest, found, view = Forest(len(boxes)), [], np.zeros(0, dtype=np.int64)
+    forest, view = Forest(len(boxes)), np.zeros(0, dtype=np.int64)
     for i in np.argsort(boxes[:, 0], kind="stable").tolist():
         x0, y0, x1, y1 = boxes[i]
         seen = boxes[view]
@@ -93,20 +97,18 @@ def links(boxes: np.ndarray, joined: Callable[[int, int], bool] | None = None) -
         near = view[(wide >= 0) & (high >= 0) & ((wide > 0) | (high > 0))]
         if len(view) and (wide < 0).sum() * 2 > len(view):
             view = view[wide >= 0]
-        linked: set[int] = set()
-        for j in near[::-1].tolist():
+        for j in near.tolist():
             at = forest.root(j)
-            if at not in linked and (joined is None or joined(i, j)):
-                found.append((j, i))
-                forest.up[at] = forest.root(i)
-                linked = {forest.root(i)}
+            if at != forest.root(i) and (joined is None or joined(i, j)):
+                forest.up[forest.root(i)] = at
         if joined is None and len(near):
             own = boxes[near]
             if ((own[:, 1] <= y0) & (own[:, 3] >= y1) & (own[:, 2] >= x1)).any():
                 continue
             view = view[~np.isin(view, near[(own[:, 1] >= y0) & (own[:, 3] <= y1) & (own[:, 2] <= x1)])]
         view = np.append(view, i)
-    return found
+    roots = [(forest.root(i), i) for i in range(len(boxes))]
+    return [(a, b) for a, b in roots if a != b]
 
 
 def _rings(column: pa.ChunkedArray) -> list[np.ndarray]:
@@ -139,7 +141,8 @@ def overlap_links(shapes: DataFrame, key: str, cell: float, polygons: bool) -> D
     kind = dict(shapes.dtypes)[key]
     columns = [key, *BOX, *(["ring"] if polygons else [])]
     placed = assigned(shapes.select(*columns), cell)
-    return placed.groupBy("_level", "_cx", "_cy").applyInArrow(_link_cell(key, polygons), f"a {kind}, b {kind}").distinct()
+    # Stored: which of several possible forests a cell gives depends on the order of its rows.
+    return cut_lineage(placed.groupBy("_level", "_cx", "_cy").applyInArrow(_link_cell(key, polygons), f"a {kind}, b {kind}").distinct())
 
 
 def dissolve_polygons(polygons: DataFrame, key: str = "array_id", cell: float = 200.0, min_area: float = 1.0) -> DataFrame:
@@ -161,11 +164,10 @@ def dissolve(boxes: DataFrame, key: str = "array_id", cell: float = 200.0, min_a
     return kept.join(heads, list(BOX)).join(found, "_head", "left").select(key, F.coalesce("component", "_head").alias("component"), *BOX)
 
 
-def _swept(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
-    """Area that rings cover together in a window. Between neighbouring breaks (vertices, crossings, where edges leave the
+def _swept(p: np.ndarray, q: np.ndarray, owner: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Area that rings (edges p to q) cover together in a window. Between neighbouring breaks (vertices, crossings, where edges leave the
     window) outlines don't meet, so what is covered at the middle stands for the slab."""
-    p = np.concatenate(rings)
-    q = np.concatenate([np.roll(r, -1, axis=0) for r in rings])
+    ends = np.flatnonzero(np.diff(owner)) + 1
     at = [p[:, 0]]
     dx, dy = q[:, 0] - p[:, 0], q[:, 1] - p[:, 1]
     slope = np.divide(dx, dy, out=np.zeros_like(dx), where=dy != 0)
@@ -179,75 +181,111 @@ def _swept(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float)
     at.append((p[:, None, 0] + t * dx[:, None])[hit])
     breaks = np.concatenate(at)
     breaks = np.unique(np.concatenate([[x0, x1], breaks[(breaks > x0) & (breaks < x1)]]))
-    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
-    total = 0.0
-    for a, b in zip(breaks[:-1], breaks[1:]):
-        x = (a + b) / 2
-        crossed = np.flatnonzero((p[:, 0] > x) != (q[:, 0] > x))
-        if not len(crossed):
-            continue
-        y = p[crossed, 1] + (x - p[crossed, 0]) / dx[crossed] * dy[crossed]
-        order = np.lexsort((y, owner[crossed]))
+    total, step = 0.0, max(1, SLABS // len(p))
+    for i in range(0, len(breaks) - 1, step):
+        part = breaks[i : i + step + 1]
+        x = ((part[1:] + part[:-1]) / 2)[:, None]
+        crossed = (p[:, 0] > x) != (q[:, 0] > x)
+        y = np.where(crossed, p[:, 1] + (x - p[:, 0]) / np.where(dx == 0, 1.0, dx) * dy, np.inf)
         # Of each ring's crossings in order, every two enclose a covered stretch.
-        low, high = np.clip(y[order][::2], y0, y1), np.clip(y[order][1::2], y0, y1)
-        rank = np.argsort(low, kind="stable")
-        low, high = low[rank], np.maximum.accumulate(high[rank])
-        total += (b - a) * float(np.maximum(0.0, high - np.maximum(low, np.concatenate([[y0], high[:-1]]))).sum())
+        sides = [np.sort(own, axis=1) for own in np.split(y, ends, axis=1)]
+        low = np.clip(np.concatenate([own[:, 0 : own.shape[1] // 2 * 2 : 2] for own in sides], axis=1), y0, y1)
+        high = np.clip(np.concatenate([own[:, 1::2] for own in sides], axis=1), y0, y1)
+        rank = np.argsort(low, axis=1, kind="stable")
+        low, high = np.take_along_axis(low, rank, 1), np.maximum.accumulate(np.take_along_axis(high, rank, 1), axis=1)
+        before = np.concatenate([np.full((len(x), 1), y0), high[:, :-1]], axis=1)
+        total += float(np.maximum(0.0, high - np.maximum(low, before)).sum(axis=1) @ np.diff(part))
     return total
 
 
-def covered(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float, depth: int = 0) -> float:
+def covered(rings: list[np.ndarray], x0: float, y0: float, x1: float, y1: float) -> float:
     """Area that rings cover together in a window. A window that one ring covers is done; one with many outlines in it is
     cut in four, so that only what lies along the outer outline of a pile is swept."""
-    p = np.concatenate(rings)
-    d = np.concatenate([np.roll(r, -1, axis=0) for r in rings]) - p
-    first, last = np.zeros(len(p)), np.ones(len(p))
+    owner = np.repeat(np.arange(len(rings)), [len(r) for r in rings])
+    return _covered(np.concatenate(rings), np.concatenate([np.roll(r, -1, axis=0) for r in rings]), owner, x0, y0, x1, y1, 0)
+
+
+def _covered(p: np.ndarray, q: np.ndarray, owner: np.ndarray, x0: float, y0: float, x1: float, y1: float, depth: int) -> float:
+    """``covered`` for the edges p to q of rings, which stand together."""
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))
+    first, last, still_out = np.zeros(len(p)), np.ones(len(p)), np.zeros(len(p), dtype=bool)
     for axis, lo, hi in ((0, x0, x1), (1, y0, y1)):
-        still = d[:, axis] == 0
-        step = np.where(still, 1.0, d[:, axis])
+        d = q[:, axis] - p[:, axis]
+        still = d == 0
+        step = np.where(still, 1.0, d)
         a, b = (lo - p[:, axis]) / step, (hi - p[:, axis]) / step
-        out = still & ((p[:, axis] <= lo) | (p[:, axis] >= hi))
+        still_out |= still & ((p[:, axis] <= lo) | (p[:, axis] >= hi))
         first = np.where(still, first, np.maximum(first, np.minimum(a, b)))
-        last = np.where(out, -1.0, np.where(still, last, np.minimum(last, np.maximum(a, b))))
-    starts = np.cumsum([0, *[len(r) for r in rings[:-1]]])
-    cuts = np.add.reduceat(last > first, starts) > 0
-    centre = np.array([[(x0 + x1) / 2, (y0 + y1) / 2]])
-    if any(inside(centre, r)[0] for r, c in zip(rings, cuts) if not c):
+        last = np.where(still, last, np.minimum(last, np.maximum(a, b)))
+    cuts = np.add.reduceat((last > first) & ~still_out, starts) > 0
+    x, y = (x0 + x1) / 2, (y0 + y1) / 2
+    # A ring whose outline stays outside covers the window if it covers its centre.
+    rise = np.where(q[:, 1] == p[:, 1], 1.0, q[:, 1] - p[:, 1])
+    ray = ((p[:, 1] > y) != (q[:, 1] > y)) & (x < p[:, 0] + (q[:, 0] - p[:, 0]) * (y - p[:, 1]) / rise)
+    if (~cuts & (np.add.reduceat(ray, starts, dtype=np.int64) % 2 == 1)).any():
         return (x1 - x0) * (y1 - y0)
-    rest = [r for r, c in zip(rings, cuts) if c]
-    if not rest:
+    if not cuts.any():
         return 0.0
-    if len(rest) <= FEW or depth == DEEP:
-        return _swept(rest, x0, y0, x1, y1)
-    x, y = centre[0]
-    return sum(covered(rest, *window, depth + 1) for window in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1)))
-
-
-def _cell_area(keys: Sequence[str], cell: float):
+    kept = np.repeat(cuts, np.diff(np.append(starts, len(p))))
+    p, q, owner = p[kept], q[kept], owner[kept]
+    if cuts.sum() <= FEW or depth == DEEP:
+        return _swept(p, q, owner, x0, y0, x1, y1)
+    return sum(_covered(p, q, owner, *window, depth + 1) for window in ((x0, y0, x, y), (x, y0, x1, y), (x0, y, x, y1), (x, y, x1, y1)))
+
+
+def covered_boxes(boxes: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> float:
+    """Area that boxes (n x 4) cover together in a window. Up to MANY are laid on the grid of their own sides, whose fields
+    are counted by running sums; of more, the window is cut at the middle of its boxes' sides."""
+    boxes = np.clip(boxes, [x0, y0, x0, y0], [x1, y1, x1, y1])
+    boxes = boxes[(boxes[:, 0] < boxes[:, 2]) & (boxes[:, 1] < boxes[:, 3])]
+    if not len(boxes):
+        return 0.0
+    if ((boxes == [x0, y0, x1, y1]).all(axis=1)).any():
+        return (x1 - x0) * (y1 - y0)
+    xs, ys = np.unique(boxes[:, [0, 2]]), np.unique(boxes[:, [1, 3]])
+    if len(boxes) <= MANY:
+        counts = np.zeros((len(xs), len(ys)), dtype=np.int32)
+        left, right, low, high = (np.searchsorted(v, boxes[:, i]) for v, i in ((xs, 0), (xs, 2), (ys, 1), (ys, 3)))
+        for i, j, step in ((left, low, 1), (right, high, 1), (left, high, -1), (right, low, -1)):
+            np.add.at(counts, (i, j), step)
+        open_ = counts.cumsum(axis=0).cumsum(axis=1)[:-1, :-1] > 0
+        return float(np.diff(xs) @ open_ @ np.diff(ys))
+    if len(xs) >= len(ys):
+        at = float(xs[len(xs) // 2])
+        return covered_boxes(boxes, x0, y0, at, y1) + covered_boxes(boxes, at, y0, x1, y1)
+    at = float(ys[len(ys) // 2])
+    return covered_boxes(boxes, x0, y0, x1, at) + covered_boxes(boxes, x0, at, x1, y1)
+
+
+def _cell_area(keys: Sequence[str], cell: float, polygons: bool):
     def run(rows: pa.Table) -> pa.Table:
         cx, cy = rows["_cx"][0].as_py(), rows["_cy"][0].as_py()
-        area = covered(_rings(rows["ring"]), cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
+        window = (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
+        area = covered(_rings(rows["ring"]), *window) if polygons else covered_boxes(np.stack([rows[c].to_numpy() for c in BOX], axis=1), *window)
         return rows.select(list(keys)).slice(0, 1).append_column("area", pa.array([area]))
 
     return run
 
 
+def _in_cells(shapes: DataFrame, keys: list[str], cell: float, polygons: bool) -> DataFrame:
+    """Areas of shapes with a box, summed over the cells of each group."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    spread = shapes.distinct().withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
+    kinds = dict(shapes.dtypes)
+    areas = spread.groupBy(*keys, "_cx", "_cy").applyInArrow(_cell_area(keys, cell, polygons), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["area double"]))
+    return areas.groupBy(*keys).agg(F.sum("area").alias("union_area"))
+
+
 def polygon_union_area(polygons: DataFrame, keys: Sequence[str], cell: float = 200.0) -> DataFrame:
     """(keys, union_area): the area that the rings of each group cover together. Groups are cut at grid cells, so a large
     one is spread over many tasks."""
-    keys = list(keys)
-    minx, miny, maxx, maxy = G.bounds(F.col("ring"))
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(lo / cell), F.floor(hi / cell)))
-    spread = polygons.select(*keys, "ring").distinct().withColumn("_cx", span(minx, maxx)).withColumn("_cy", span(miny, maxy))
-    kinds = dict(polygons.dtypes)
-    areas = spread.groupBy(*keys, "_cx", "_cy").applyInArrow(_cell_area(keys, cell), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["area double"]))
-    return areas.groupBy(*keys).agg(F.sum("area").alias("union_area"))
+    box = [v.alias(c) for v, c in zip(G.bounds(F.col("ring")), BOX)]
+    return _in_cells(polygons.select(*keys, "ring", *box), list(keys), cell, True)
 
 
 def union_area(boxes: DataFrame, keys: Sequence[str], cell: float = 200.0) -> DataFrame:
     """(keys, union_area): the area that the boxes of each group cover together."""
-    ring = G.box_ring(*map(F.col, BOX))
-    return polygon_union_area(boxes.select(*keys, ring.alias("ring")), keys, cell)
+    return _in_cells(boxes.select(*keys, *[F.col(c).cast("double").alias(c) for c in BOX]), list(keys), cell, False)
 
 
 def turned(ring: Column) -> Column:
