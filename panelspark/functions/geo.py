@@ -135,12 +135,12 @@ def tile_footprint(bounds_: Column, transform: Column, width: Column, height: Co
                   box_ring(bounds_["minx"], bounds_["miny"], bounds_["maxx"], bounds_["maxy"])).otherwise(computed)
 
 
-# WGS84 ellipsoid, transverse Mercator scale and false easting, Web Mercator radius.
+# WGS84 ellipsoid, transverse Mercator scale, false easting and (south of the equator) false northing.
 WGS84_A = 6378137.0
 WGS84_F = 1 / 298.257223563
 UTM_SCALE = 0.9996
 UTM_FALSE_EASTING = 500_000.0
-SUPPORTED_SRIDS = (4326, 3857, 32610)
+UTM_FALSE_NORTHING = 10_000_000.0
 
 
 def _krueger() -> tuple[float, list[float], list[float]]:
@@ -162,11 +162,31 @@ def _krueger() -> tuple[float, list[float], list[float]]:
     return radius, forward, inverse
 
 
-def to_utm(lon: Column, lat: Column, zone: int = 10) -> tuple[Column, Column]:
-    """WGS84 degrees to UTM north metres by the Krueger series."""
+def utm_zone(lon: Column) -> Column:
+    """The zone of a longitude in degrees."""
+    return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
+
+
+def utm_srid(lon: Column, lat: Column) -> Column:
+    """The code of the zone that a position in degrees lies in: 326xx north of the equator, 327xx south of it."""
+    return F.when(lat < 0, F.lit(32700)).otherwise(F.lit(32600)) + utm_zone(lon)
+
+
+def _meridian(zone: Column | int) -> Column:
+    return zone * 6.0 - 183.0 if isinstance(zone, Column) else F.lit(zone * 6.0 - 183.0)
+
+
+def _northing(south: Column | bool) -> Column:
+    return F.when(south, F.lit(UTM_FALSE_NORTHING)).otherwise(F.lit(0.0)) if isinstance(south, Column) else F.lit(UTM_FALSE_NORTHING if south else 0.0)
+
+
+def to_utm(lon: Column, lat: Column, zone: Column | int = 10, south: Column | bool = False) -> tuple[Column, Column]:
+    """WGS84 degrees to UTM metres by the Krueger series; zone and hemisphere may differ from row to row."""
     radius, forward, _ = _krueger()
     e = math.sqrt(WGS84_F * (2 - WGS84_F))
-    lam = F.radians(lon - F.lit(zone * 6.0 - 183.0))
+    east = lon - _meridian(zone)
+    # Over the date line the short way round.
+    lam = F.radians(F.when(F.abs(east) > 180, east - 360 * F.signum(east)).otherwise(east))
     s = F.sin(F.radians(lat))
     t = F.sinh(F.atanh(s) - e * F.atanh(e * s))
     xi0 = F.atan2(t, F.cos(lam))
@@ -175,15 +195,15 @@ def to_utm(lon: Column, lat: Column, zone: int = 10) -> tuple[Column, Column]:
     for j, c in enumerate(forward, start=1):
         x = x + c * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
         y = y + c * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
-    return UTM_FALSE_EASTING + UTM_SCALE * radius * x, UTM_SCALE * radius * y
+    return UTM_FALSE_EASTING + UTM_SCALE * radius * x, UTM_SCALE * radius * y + _northing(south)
 
 
-def from_utm(east: Column, north: Column, zone: int = 10) -> tuple[Column, Column]:
-    """UTM north metres to WGS84 (lon, lat)."""
+def from_utm(east: Column, north: Column, zone: Column | int = 10, south: Column | bool = False) -> tuple[Column, Column]:
+    """UTM metres to WGS84 (lon, lat)."""
     radius, _, inverse = _krueger()
     e2 = WGS84_F * (2 - WGS84_F)
     e = math.sqrt(e2)
-    xi = north / (UTM_SCALE * radius)
+    xi = (north - _northing(south)) / (UTM_SCALE * radius)
     eta = (east - UTM_FALSE_EASTING) / (UTM_SCALE * radius)
     xi1, eta1 = xi, eta
     for j, c in enumerate(inverse, start=1):
@@ -195,7 +215,8 @@ def from_utm(east: Column, north: Column, zone: int = 10) -> tuple[Column, Colum
     s = F.sin(chi)
     for _ in range(5):
         s = F.tanh(psi + e * F.atanh(e * s))
-    return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + F.lit(zone * 6.0 - 183.0), F.degrees(F.asin(s))
+    lon = F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + _meridian(zone)
+    return F.when(F.abs(lon) > 180, lon - 360 * F.signum(lon)).otherwise(lon), F.degrees(F.asin(s))
 
 
 def to_web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -207,15 +228,36 @@ def from_web_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / WGS84_A), F.degrees(2 * F.atan(F.exp(y / WGS84_A)) - F.lit(math.pi / 2))
 
 
+def _zone_of(srid: int) -> tuple[int, bool] | None:
+    """Zone and hemisphere of a UTM code on WGS84."""
+    zone = srid % 100
+    return (zone, srid // 100 == 327) if srid // 100 in (326, 327) and 1 <= zone <= 60 else None
+
+
 def reproject(x: Column, y: Column, source: int, target: int) -> tuple[Column, Column]:
-    """between the supported reference systems, through degrees."""
+    """between degrees (4326), Web Mercator (3857) and any UTM zone on WGS84 (326xx, 327xx), through degrees."""
     for srid in (source, target):
-        if srid not in SUPPORTED_SRIDS:
-            raise ValueError(f"EPSG:{srid} is not supported; use one of {SUPPORTED_SRIDS}")
+        if srid not in (4326, 3857) and _zone_of(srid) is None:
+            raise ValueError(f"EPSG:{srid} is not supported; use 4326, 3857 or a UTM zone on WGS84")
     if source == target:
         return x, y
-    lon, lat = {4326: lambda a, b: (a, b), 3857: from_web_mercator, 32610: from_utm}[source](x, y)
-    return {4326: lambda a, b: (a, b), 3857: to_web_mercator, 32610: to_utm}[target](lon, lat)
+    lon, lat = (x, y) if source == 4326 else from_web_mercator(x, y) if source == 3857 else from_utm(x, y, *_zone_of(source))
+    return (lon, lat) if target == 4326 else to_web_mercator(lon, lat) if target == 3857 else to_utm(lon, lat, *_zone_of(target))
+
+
+def reproject_rows(x: Column, y: Column, source: Column, target: Column) -> Column:
+    """F12 where the codes are columns: a point struct. A code that is not supported raises, a null code gives null."""
+    zoned = lambda srid: F.floor(srid / 100).isin(326, 327) & (F.pmod(srid, F.lit(100)).between(1, 60))
+    known = lambda srid: srid.isin(4326, 3857) | zoned(srid)
+    zone, south = (lambda srid: F.pmod(srid, F.lit(100))), (lambda srid: F.floor(srid / 100) == 327)
+    unknown = lambda srid: F.raise_error(F.concat(F.lit("EPSG:"), srid.cast("string"), F.lit(" is not supported"))).cast("struct<x: double, y: double>")
+    checked = lambda srid, p: F.when(known(srid), p).when(srid.isNotNull(), unknown(srid))
+    degrees = checked(source, F.when(source == 4326, point(x, y)).when(source == 3857, point(*from_web_mercator(x, y))).otherwise(
+        point(*from_utm(x, y, zone(source), south(source)))))
+    # Through a lambda, so that the degrees are worked out once and not wherever they are used.
+    moved = F.get(F.transform(F.array(degrees), lambda d: F.when(target == 4326, d).when(target == 3857, point(*to_web_mercator(d["x"], d["y"]))).otherwise(
+        point(*to_utm(d["x"], d["y"], zone(target), south(target))))), 0)
+    return F.when(source == target, point(x, y)).otherwise(checked(target, moved))
 
 
 def reproject_ring(ring: Column, source: int, target: int) -> Column:

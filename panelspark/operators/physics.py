@@ -55,6 +55,10 @@ def _daily_factor(df: DataFrame, keys: Sequence[str], p: EquivalentDay) -> DataF
     return df.withColumn("_f", factor).drop("_pm")
 
 
+#: Days of a dry segment that are folded together.
+STRETCH = 64
+
+
 def soiling_loss(eqd, p: EquivalentDay):
     return F.lit(p.sl_sat) * (F.lit(1.0) - F.exp(-eqd / F.lit(p.k)))
 
@@ -67,15 +71,18 @@ def equivalent_days(df: DataFrame, keys: Sequence[str], params: EquivalentDay =
     """
     day = W.partitionBy(*keys).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
     marked = _daily_factor(df, keys, params).withColumn("_seg", F.count_if(F.col("_f") == 0).over(day))
+    # Stretches of STRETCH days: a day is copied inside its stretch only, a stretch among the stretches only by reference,
+    # so that a dry segment of decades costs as much a day as one of a month.
     folded = marked.groupBy(*keys, "_seg").agg(
         F.array_sort(F.collect_list(F.struct("dt", F.col("_f").alias("f")))).alias("_days")
-    ).select(*keys, F.expr("""
-        aggregate(_days,
-            named_struct('eq', 0D, 'path', CAST(array() AS ARRAY<STRUCT<dt: DATE, eqd: DOUBLE>>)),
-            (s, x) -> named_struct(
-                'eq', x.f * (s.eq + 1D),
-                'path', concat(s.path, array(named_struct('dt', x.dt, 'eqd', x.f * (s.eq + 1D))))),
-            s -> s.path)
+    ).select(*keys, F.expr(f"""
+        flatten(aggregate(sequence(0, cast((size(_days) - 1) div {STRETCH} as int)), CAST(array() AS ARRAY<ARRAY<STRUCT<dt: DATE, eqd: DOUBLE>>>),
+            (done, k) -> concat(done, array(aggregate(slice(_days, k * {STRETCH} + 1, {STRETCH}),
+                named_struct('eq', coalesce(try_element_at(try_element_at(done, -1), -1).eqd, 0D), 'path', CAST(array() AS ARRAY<STRUCT<dt: DATE, eqd: DOUBLE>>)),
+                (s, x) -> named_struct(
+                    'eq', x.f * (s.eq + 1D),
+                    'path', concat(s.path, array(named_struct('dt', x.dt, 'eqd', x.f * (s.eq + 1D))))),
+                s -> s.path)))))
     """).alias("_path"))
     return folded.select(*keys, F.inline("_path")).withColumn("soiling_loss", soiling_loss(F.col("eqd"), params))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import geo as G
+from panelspark.functions import multi as M
 from panelspark.functions import names as N
 from panelspark.functions import numeric as X
 from panelspark.operators import daily as D
@@ -138,6 +139,29 @@ def s10(t):
                                              minx.alias("minx"), miny.alias("miny"), maxx.alias("maxx"), maxy.alias("maxy"))
 
 
+@query("s10_f10_f13_multipolygons", """WITH b AS (SELECT *, maxx - minx AS w, maxy - miny AS h, (minx + maxx) / 2 AS mx, (miny + maxy) / 2 AS my FROM f_rect)
+    SELECT array_id, 2 AS n_parts, 175e-2 * w * h AS area_m2, 5 * (w + h) AS perimeter_m, (75e-2 * mx + mx + w + 10) / 175e-2 AS centroid_x, my AS centroid_y,
+      minx, maxx + w + 10 AS maxx, FALSE AS in_hole, TRUE AS in_part FROM b""", "area_m2, perimeter_m, centroid_x, centroid_y, minx, maxx")
+def s10_multi(t):
+    # A box with a hole of half its sides in the middle, and a second box beside it; every other one turns the other way.
+    at = lambda x, y: f"concat('[', {x}, ',', {y}, ']')"
+    ring = lambda x0, y0, x1, y1: "concat('[', array_join(" + f"CASE WHEN array_id % 2 = 0 THEN {{0}} ELSE reverse({{0}}) END".format(
+        f"array({at(x0, y0)}, {at(x1, y0)}, {at(x1, y1)}, {at(x0, y1)}, {at(x0, y0)})") + ", ','), ']')"
+    w, h = "(maxx - minx)", "(maxy - miny)"
+    outline, hole = ring("minx", "miny", "maxx", "maxy"), ring(f"minx + {w} / 4", f"miny + {h} / 4", f"maxx - {w} / 4", f"maxy - {h} / 4")
+    beside = ring(f"minx + {w} + 10", "miny", f"maxx + {w} + 10", "maxy")
+    feature = f"""concat('{{"type": "Feature", "properties": {{"id": "', array_id, '"}}, "geometry": {{"type": "MultiPolygon", "coordinates": [[', {outline}, ',', {hole}, '],[', {beside}, ']]}}}}')"""
+    docs = t.f_rect.selectExpr(f"""concat('{{"type": "FeatureCollection", "features": [', {feature}, ']}}') as value""", "minx as west", "miny as south", "maxx as east", "maxy as north")
+    rows, g = S.geojson_collection(docs), F.col("polygons")
+    cx, cy = M.centroid(g)
+    minx, _, maxx, _ = M.bounds(g)
+    mx, my = (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
+    return rows.select(
+        F.col("properties")["id"].cast("bigint").alias("array_id"), F.size(g).alias("n_parts"), M.area(g).alias("area_m2"), M.perimeter(g).alias("perimeter_m"),
+        cx.alias("centroid_x"), cy.alias("centroid_y"), minx.alias("minx"), maxx.alias("maxx"), M.contains(g, mx, my).alias("in_hole"),
+        M.contains(g, mx + (F.col("east") - F.col("west")) + 10, my).alias("in_part"))
+
+
 @query("s11_geojson_features", """SELECT array_id, risk_score, maxx FROM f_rect JOIN f_risk USING (array_id)""", "risk_score, maxx")
 def s11(t):
     ring = G.box_ring(F.col("minx"), F.col("miny"), F.col("maxx"), F.col("maxy"))

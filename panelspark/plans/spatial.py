@@ -109,19 +109,20 @@ def f11(t):
         "tile_id", "gt_idx", F.col("w.x").alias("wx"), F.col("w.y").alias("wy"), F.col("p.x").alias("px"), F.col("p.y").alias("py"))
 
 
-def _utm_sql():
+def _utm_sql(stations="f_station", meridian="-123", south="0", extra=""):
+    """UTM of ``stations`` in SQL; ``meridian`` and the ``south`` offset may be columns."""
     radius, forward, _ = G._krueger()
     e = math.sqrt(G.WGS84_F * (2 - G.WGS84_F))
     x = " + ".join(["eta"] + [f"({c!r}) * COS({2 * j} * xi) * (EXP({2 * j} * eta) - EXP(-{2 * j} * eta)) / 2" for j, c in enumerate(forward, 1)])
     y = " + ".join(["xi"] + [f"({c!r}) * SIN({2 * j} * xi) * (EXP({2 * j} * eta) + EXP(-{2 * j} * eta)) / 2" for j, c in enumerate(forward, 1)])
     at = lambda v: f"(5e-1 * LN((1 + {v}) / (1 - {v})))"
-    return f"""WITH a AS (SELECT station_id, latitude, longitude, RADIANS(longitude + 123) AS lam, SIN(RADIANS(latitude)) AS s FROM f_station),
+    return f"""WITH a AS (SELECT station_id, latitude, longitude, RADIANS(longitude - ({meridian})) AS lam, SIN(RADIANS(latitude)) AS s{extra} FROM {stations}),
       b AS (SELECT *, {at('s')} - ({e!r}) * {at(f'({e!r} * s)')} AS q FROM a),
       c AS (SELECT *, (EXP(q) - EXP(-q)) / 2 AS t FROM b),
       d AS (SELECT *, ATAN2(t, COS(lam)) AS xi, {at('(SIN(lam) / SQRT(1 + t * t))')} AS eta FROM c)
-    SELECT station_id, 500000 + 9996e-4 * {radius!r} * ({x}) AS east, 9996e-4 * {radius!r} * ({y}) AS north,
+    SELECT station_id, 500000 + 9996e-4 * {radius!r} * ({x}) AS east, 9996e-4 * {radius!r} * ({y}) + {south} AS north,
       6378137e0 * RADIANS(longitude) AS merc_x, 6378137e0 * LN(TAN(PI() / 4 + RADIANS(latitude) / 2)) AS merc_y,
-      latitude AS back_lat, longitude AS back_lon FROM d"""
+      latitude AS back_lat, longitude AS back_lon{extra} FROM d"""
 
 
 @query("f12_reproject", _utm_sql(), "east, north, merc_x, merc_y, back_lat, back_lon", digits=4)
@@ -134,6 +135,21 @@ def f12(t):
     return df.withColumn("back_lat", back_lat).withColumn("back_lon", back_lon)
 
 
+#: Positions all around the globe, every other one south of the equator.
+GLOBE = """SELECT station_id, CASE WHEN station_id % 2 = 0 THEN latitude ELSE -latitude END AS latitude, (longitude + 124) * 36 - 180 AS longitude,
+    CASE WHEN station_id % 2 = 0 THEN 32601 ELSE 32701 END + CAST(FLOOR((longitude + 124) * 6) AS INT) AS srid FROM f_station"""
+
+
+@query("f12_any_zone", "SELECT station_id, srid, east, north, back_lat, back_lon FROM (" + _utm_sql(
+    f"({GLOBE}) st", "(srid % 100) * 6 - 183", "CASE WHEN srid >= 32700 THEN 10000000 ELSE 0 END", ", srid") + ") u", "east, north, back_lat, back_lon")
+def f12_zones(t):
+    df = t.sql(GLOBE)
+    own = G.utm_srid(F.col("longitude"), F.col("latitude"))
+    moved = df.select("station_id", own.alias("srid"), G.reproject_rows(F.col("longitude"), F.col("latitude"), F.lit(4326), own).alias("p"))
+    back = moved.withColumn("b", G.reproject_rows(F.col("p.x"), F.col("p.y"), F.col("srid"), F.lit(4326)))
+    return back.select("station_id", "srid", F.col("p.x").alias("east"), F.col("p.y").alias("north"), F.col("b.y").alias("back_lat"), F.col("b.x").alias("back_lon"))
+
+
 @query("f13_area_centroid", """SELECT array_id, (minx + (maxx - minx) * 7 / 18) AS cx, (miny + (maxy - miny) * 7 / 18) AS cy FROM f_rect""", "cx, cy")
 def f13(t):
     # The quad (0,0), (1,0), (2/3,2/3), (0,1) scaled to the box: two equal triangles, centroid at 7/18 of each side.

@@ -94,11 +94,14 @@ def s28(t):
     return rows.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s13_label_files", "SELECT tile_id % 50 AS tile, COUNT(*) AS n_lines FROM f_gt GROUP BY 1")
+@query("s13_label_files", "SELECT tile_id, COUNT(*) AS n_lines, MAX(x2) AS last_x FROM f_gt GROUP BY 1", "last_x", digits=3)
 def s13_files(t):
     from panelspark.functions import geo as G
+    from panelspark.sources import label_files as L
     from panelspark.sources import sinks as K
     path = f"{scratch(t.spark)}/labels"
     line = K.label_line(G.box_ring(F.col("x1") / 1000, F.col("y1") / 1000, F.col("x2") / 1000, F.col("y2") / 1000))
-    K.write_label_text(t.f_gt.select((F.col("tile_id") % 50).alias("tile"), "gt_idx", line.alias("line")), path, order="gt_idx")
-    return t.spark.read.schema("value STRING, tile BIGINT").text(path).groupBy("tile").agg(F.count(F.lit(1)).alias("n_lines"))
+    L.write_label_files(t.f_gt.select("tile_id", "gt_idx", line.alias("line")), path, "tile_id", "gt_idx")
+    lines = t.spark.read.option("recursiveFileLookup", "true").text(path).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)\.txt$", 1).cast("bigint").alias("tile_id"), F.split("value", " ")[3].cast("double").alias("x"))
+    return lines.groupBy("tile_id").agg(F.count(F.lit(1)).alias("n_lines"), (F.max("x") * 1000).alias("last_x"))
