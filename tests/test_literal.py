@@ -38,37 +38,37 @@ KEYS = ["station_id", "as_of"]
 
 
 def test_window_sum(spark):
-    rows = series(spark, [float(i) for i in range(10)])
-    assert D.window_stats(rows, KEYS, [("precipitation_sum", 3, "sum", "s")]).first()["s"] == 24
+    rows = series(spark, [2.5 * i for i in range(12)])
+    assert D.window_stats(rows, KEYS, [("precipitation_sum", 4, "sum", "s")]).first()["s"] == 95
     with pytest.raises(ValueError):
-        D.window_stats(rows, KEYS, [("precipitation_sum", 3, "median", "s")])
+        D.window_stats(rows, KEYS, [("precipitation_sum", 4, "median", "s")])
 
 
-@pytest.mark.parametrize("rain, want", [([5.0, 0, 0, 0, 0, 0], 5), ([0.0, 0, 2, 0], 1), ([0.0, 0, 0], 3)])
+@pytest.mark.parametrize("rain, want", [([7.5, 0.2, 0, 0.9], 3), ([0.4, 0, 1.0, 6, 0, 0.3], 2), ([0.9, 0], 2)])
 def test_dry_streak(spark, rain, want):
     rows = series(spark, [float(v) for v in rain])
     assert D.streaks(rows, KEYS).first()["dry_day_streak"] == want
 
 
 def test_streak_counts_observations(spark):
-    rows = series(spark, [5.0, None, 0.0, None, 0.0])
+    rows = series(spark, [8.2, None, 0.4, None, None, 0.0, 0.1])
     got = D.streaks(rows, KEYS).first()
-    assert (got["dry_day_streak"], got["days_since_rain_5mm"]) == (2, 2)
+    assert (got["dry_day_streak"], got["days_since_rain_5mm"]) == (3, 3)
 
 
 def test_rain_recency(spark):
-    assert D.streaks(series(spark, [10.0, 0.0, 0.0, 0.0, 0.0]), KEYS).first()["days_since_rain_5mm"] == 4
+    assert D.streaks(series(spark, [1.0, 6.5, 4.9, 0.0]), KEYS).first()["days_since_rain_5mm"] == 2
 
 
 def test_kimber_reset(spark):
-    rows = series(spark, [0.0, 0.0, 0.0, 10.0, 0.0], pm2_5=[50.0] * 5)
+    rows = series(spark, [0.2, 0.0, 4.2, 0.0, 0.9, 0.0], pm2_5=[33.0] * 6)
     got = [r["soiling_ratio"] for r in P.kimber_ratio(rows, KEYS, Kimber(deposition_per_pm25=0.01)).orderBy("dt").collect()]
-    assert got[3] == 1.0 and got[4] > got[2]
+    assert got[2] == 1.0 and got[3] == pytest.approx(0.67) and got[3] > got[1]
 
 
 def test_kimber_floor(spark):
-    rows = series(spark, [0.0] * 50, pm2_5=[100.0] * 50)
-    got = [r["soiling_ratio"] for r in P.kimber_ratio(rows, KEYS, Kimber(deposition_per_pm25=0.05)).orderBy("dt").collect()]
+    rows = series(spark, [0.5] * 40, pm2_5=[80.0] * 40)
+    got = [r["soiling_ratio"] for r in P.kimber_ratio(rows, KEYS, Kimber(deposition_per_pm25=0.004)).orderBy("dt").collect()]
     assert got[-1] == 0.0 and min(got) >= 0.0
 
 
@@ -85,9 +85,9 @@ def test_kimber_negative_readings_follow_the_loop(spark):
 
 
 def test_missing_pollutant_takes_defaults(spark):
-    rows = series(spark, [0.0] * 3, pm2_5=[None] * 3)
-    got = [r["soiling_ratio"] for r in P.kimber_ratio(rows, KEYS, Kimber(deposition_per_pm25=0.01)).orderBy("dt").collect()]
-    assert got == pytest.approx([0.9, 0.8, 0.7])
+    rows = series(spark, [0.3] * 4, pm2_5=[None] * 4)
+    got = [r["soiling_ratio"] for r in P.kimber_ratio(rows, KEYS, Kimber(deposition_per_pm25=0.02)).orderBy("dt").collect()]
+    assert got == pytest.approx([0.8, 0.6, 0.4, 0.2])
 
 
 def test_equivalent_days_follow_the_loop(spark):
@@ -121,10 +121,10 @@ def decision(spark, scores, last, rain):
 
 
 @pytest.mark.parametrize("scores, last, rain, rule", [
-    ([0.1, 0.2, 0.3], dt.date(2026, 1, 1), [0.0] * 7, "below_risk_threshold"),
-    ([0.8, 0.9], dt.date(2026, 4, 25), [0.0] * 7, "below_age_threshold"),
-    ([0.8, 0.9], dt.date(2026, 1, 1), [0.0, 3, 3, 0, 0, 0, 0], "deferred_due_to_rain"),
-    ([0.8, 0.9], dt.date(2026, 1, 1), [0.0] * 7, "weather_window_open"),
+    ([0.15, 0.41, 0.33, 0.58], dt.date(2025, 11, 3), [0.0] * 7, "below_risk_threshold"),
+    ([0.72, 0.95], dt.date(2026, 4, 20), [0.0] * 7, "below_age_threshold"),
+    ([0.72, 0.95], dt.date(2025, 12, 20), [0.4, 0, 2.6, 0, 2.2, 0, 0], "deferred_due_to_rain"),
+    ([0.72, 0.95], dt.date(2025, 12, 20), [0.0] * 7, "weather_window_open"),
 ])
 def test_rules(spark, scores, last, rain, rule):
     got, s = decision(spark, scores, last, [float(v) for v in rain])

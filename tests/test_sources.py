@@ -44,20 +44,20 @@ def test_station_json(spark):
 
 
 def test_weather_payload_and_quarantine(spark):
-    good = {"daily": {"time": [f"2026-01-0{i}" for i in range(1, 8)], "precipitation_sum": [0, 2.1, 0, None, 0.5, 0, 10.3]}}
+    good = {"daily": {"time": [f"2025-03-1{i}" for i in range(5)], "precipitation_sum": [1.3, 0, None, 0.4, 7.7]}}
     df = spark.createDataFrame([(1, json.dumps(good)), (2, '{"error": true}'), (3, "not json")], "station_id INT, value STRING")
     rows, bad = S.weather_payload(df, ["precipitation_sum"])
-    assert rows.count() == 7 and rows.where("precipitation_sum IS NULL").count() == 1
+    assert rows.count() == 5 and rows.where("precipitation_sum IS NULL").count() == 1
     assert sorted(r["station_id"] for r in bad.collect()) == [2, 3]
 
 
 def test_hourly_payload_to_days(spark):
     from panelspark.operators.daily import daily_means
-    hours = [f"2026-01-0{1 + h // 24}T{h % 24:02d}:00" for h in range(48)]
-    doc = {"hourly": {"time": hours, "pm2_5": [12.0] * 48, "pm10": [25.0] * 48}}
+    hours = [f"2025-03-1{h // 24}T{h % 24:02d}:00" for h in range(72)]
+    doc = {"hourly": {"time": hours, "pm2_5": [4.0 + h % 24 for h in range(72)], "pm10": [31.5 + h // 24 for h in range(72)]}}
     rows, _ = S.air_quality_payload(spark.createDataFrame([(1, json.dumps(doc))], "station_id INT, value STRING"))
     got = daily_means(rows, ["pm2_5", "pm10"]).collect()
-    assert len(got) == 2 and all((r["pm2_5"], r["pm10"]) == (12.0, 25.0) for r in got)
+    assert sorted((r["pm2_5"], r["pm10"]) for r in got) == [(15.5, 31.5), (15.5, 32.5), (15.5, 33.5)]
 
 
 def test_reanalysis_text(spark):
@@ -215,3 +215,21 @@ def test_stream_state_over_several_batches(spark, tmp_path):
     assert len(got) == len({(r["station_id"], r["dt"]) for r in got}) == 2 * 38
     assert all(r["eqd"] == pytest.approx(batch[r["station_id"], r["dt"]], abs=1e-9) for r in got)
     assert {r["last_rain_date"] for r in got if r["dt"] < days[5]} == {None}
+
+
+def test_large_files_and_many_inputs(spark, tmp_path):
+    import hashlib
+
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    bodies = {f"f%{i} é.bin": bytes([i]) * (3_000_001 if i == 7 else i) for i in range(1, 61)}
+    for name, body in bodies.items():
+        (folder / name).write_bytes(body)
+    files = LN.file_hashes(spark, str(folder))
+    assert {r["name"]: r["sha256"] for r in files.collect()} == {n: hashlib.sha256(b).hexdigest() for n, b in bodies.items()}
+    rows = [(k, n, hashlib.sha256(b).hexdigest()) for k in ("a", "b", None) for n, b in bodies.items() if k != "b" or len(n) % 2]
+    df = spark.createDataFrame(rows, "k STRING, name STRING, sha256 STRING").repartition(5)
+    want = {k: hashlib.sha256("".join(f"{n}\0{h}\n" for kk, n, h in sorted(rows, key=lambda r: r[1].encode()) if kk == k).encode()).hexdigest() for k in ("a", "b", None)}
+    assert {r["k"]: r["inputs_hash"] for r in LN.inputs_hash(df, ["k"], order="name").collect()} == want
+    row = LN.manifest(spark, "tile", "v1", "r1", inputs=files).first()
+    assert len(row["inputs"]) == 60 and row["inputs"] == sorted(row["inputs"]) and row["inputs_hash"] == LN.inputs_hash(files).first()["inputs_hash"]
