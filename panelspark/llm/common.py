@@ -78,7 +78,7 @@ def flagged(rows: DataFrame, keys: DataFrame, key: str, flag: str = "_may") -> D
 
 
 def sifted(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The rows that ``flagged`` flags."""
+    """The rows that ``flagged`` flags; for an inner join, as the optimizer moves semi and anti joins in front of the filter."""
     return flagged(rows, keys, key).where("_may").drop("_may")
 
 

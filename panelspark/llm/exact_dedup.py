@@ -107,10 +107,11 @@ def exact_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     # Only the suspects' texts move, picked out where they lie. The smallest id stays; ids that are null come last.
     suspects = marked.where("suspect").select("row").distinct()
     equal = (
-        sifted(named, suspects, "row").join(suspects, "row", "left_semi")
+        sifted(named, suspects, "row").join(suspects, "row")
         .select("id", "row", F.regexp_replace("text", SPACE, " ").alias("plain"))
         .groupBy("plain").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
-        .select(F.unhex(F.sha2("plain", 256)).alias("sha"), "keep", "group_size")
+        # Never null, and said so: else the optimizer hashes every text once more, to filter nulls out before the exchange.
+        .select(F.coalesce(F.unhex(F.sha2("plain", 256)), F.lit(bytearray())).alias("sha"), "keep", "group_size")
         .groupBy("sha").agg(F.min("keep").alias("keep"), F.sum("group_size").alias("group_size"), F.count(F.lit(1)).alias("texts"))
         .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts share a SHA-256")).cast("long")))
     )
