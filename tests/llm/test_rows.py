@@ -195,3 +195,21 @@ def test_pipeline(spark):
     assert once.columns == docs.columns
     out = pipeline.run(spark, SF)
     assert out.where("not round_trip").count() == 0 and out.select("doc_id").distinct().count() <= once.count()
+
+
+def test_pipeline_of_odd_tables(spark, none, clashing, tmp_path):
+    """Null, empty, very long, repeated texts and clashing columns: what each stage must leave follows from the texts."""
+    import corpus_pipeline as pipeline
+
+    clashing.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    got = pipeline.run(spark, str(tmp_path / "odd")).collect()
+    rows = {}
+    for i, t, *_ in odd_rows():
+        rows.setdefault(i, set()).add(t)
+    assert got and all(r.round_trip and r.n_tokens == len(r.ids) for r in got)
+    texts = [t for r in got for t in rows[r.doc_id]]
+    assert all(t is not None and measures(t)[0] >= 10 for t in texts)
+    # Copies of one text stand under ids 100 to 111 and null: the smallest stays.
+    assert {r.doc_id for r in got} & {None, *range(100, 112)} == {100} and 203 not in {r.doc_id for r in got}
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
