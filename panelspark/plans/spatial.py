@@ -91,7 +91,9 @@ def f06(t):
     return S.geometry_features(rings(t)).drop("orientation_deg")
 
 
-@query("f09_orientation")
+@query("f09_orientation", """WITH b AS (SELECT array_id, maxx - minx AS w, maxy - miny AS h FROM f_rect), m AS (SELECT *, 2 * (w + h) / 5 AS mx, 2 * w / 5 AS my FROM b),
+    s AS (SELECT array_id, w * w + (w + h) * (w + h) + h * h - 5 * mx * mx AS sxx, (w + h) * w + h * w - 5 * mx * my AS sxy, 2 * w * w - 5 * my * my AS syy FROM m)
+    SELECT array_id, DEGREES(ATAN2(2 * sxy, sxx - syy) / 2) AS orientation_deg FROM s""", "orientation_deg")
 def f09(t):
     # A sheared parallelogram per array, so the principal axis is not trivial.
     w, h = F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")
