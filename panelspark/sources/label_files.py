@@ -31,7 +31,10 @@ class LabelFileWriter(DataSourceWriter):
     def write(self, rows: Iterator) -> Written:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
+        if self.path.startswith("file:"):
+            store, root = fs.LocalFileSystem(), "/" + self.path[5:].lstrip("/")
+        else:
+            store, root = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
         made: set[str] = set()
         open_name, out, draft, final, files = None, None, "", "", 0
 

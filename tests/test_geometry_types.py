@@ -63,7 +63,7 @@ def test_one_file_a_tile(spark, tmp_path):
     rows = [(f"tile_{t}", i, f"0 {t} {i}", "train" if t % 2 else "val") for t in range(40) for i in range(t % 5 + 1)]
     df = spark.createDataFrame(rows, "tile STRING, line_no INT, line STRING, split STRING").repartition(7)
     label_files.write_label_files(df, str(tmp_path), split="split")
-    label_files.write_label_files(df, str(tmp_path), split="split")  # again: the same files
+    label_files.write_label_files(df, f"file:{tmp_path}", split="split")  # again: the same files
     found = {}
     for folder, _, names in os.walk(tmp_path):
         for name in names:
