@@ -12,7 +12,7 @@ from panelspark.config import AuditRules
 from panelspark.functions import geo as G
 from panelspark.functions import names as N
 from panelspark.operators.scale import pick_at, value_positions
-from panelspark.session import cut_lineage
+from panelspark.session import stored
 
 
 def _numbers(line: Column) -> Column:
@@ -222,94 +222,129 @@ def triage(tiles: DataFrame, preds: DataFrame, accept: float = 0.75) -> DataFram
         "tile_id", F.coalesce("_n", F.lit(0)).alias("n_predictions"), "mean_conf", "max_conf", action.alias("recommended_action"))
 
 
-def mask_runs(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
-    """Pixel runs (keys, y, x0, x1) of filled polygons: pixels whose centre is inside, as half-open x ranges.
+def mask_blocks(ring: Column) -> Column:
+    """Pixels of a filled polygon (those whose centre is inside) as an array of blocks (y0, y1, x0, x1), half open.
 
-    A run per image row replaces a row per pixel, and overlaps become interval arithmetic.
+    A block covers all image rows in which the same upright sides lie left and right, so a box is one block whatever its
+    height; where a slanted side is cut each image row has blocks of its own.
     """
-    r = F.col(ring)
-    nxt = F.concat(F.slice(r, 2, F.size(r)), F.slice(r, 1, 1))
-    sides = F.filter(F.zip_with(r, nxt, lambda p, q: F.struct(
+    nxt = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    sides = F.filter(F.zip_with(ring, nxt, lambda p, q: F.struct(
         F.least(p["y"], q["y"]).alias("lo"), F.greatest(p["y"], q["y"]).alias("hi"),
         F.when(p["y"] < q["y"], p["x"]).otherwise(q["x"]).alias("x"), F.try_divide(q["x"] - p["x"], q["y"] - p["y"]).alias("slope"))),
         lambda e: e["hi"] > e["lo"])
-    # The slanted sides are prepared once per polygon; an image row only picks the ones it cuts.
-    first = F.ceil(F.array_min(F.transform("_sides", lambda e: e["lo"])) - 0.5)
-    last = F.ceil(F.array_max(F.transform("_sides", lambda e: e["hi"])) - 0.5) - 1
-    lines = polygons.select(*keys, sides.alias("_sides")).select(
-        *keys, "_sides", F.explode(F.when(last >= first, F.sequence(first, last))).alias("y"))
-    level = F.col("y") + 0.5
-    cuts = F.sort_array(F.transform(
-        F.filter("_sides", lambda e: (e["lo"] <= level) & (level < e["hi"])), lambda e: e["x"] + (level - e["lo"]) * e["slope"]))
-
-    def to_runs(c: Column) -> Column:
+    # Between neighbouring breaks the image rows cut the same sides.
+    breaks = F.array_sort(F.array_distinct(F.transform(ring, lambda p: F.ceil(p["y"] - 0.5))))
+
+    def blocks(e: Column) -> Column:
+        level = lambda y: y + 0.5
+        cut = lambda y: F.filter(e["sides"], lambda s: (s["lo"] <= level(y)) & (level(y) < s["hi"]))
+        strip = lambda y0, y1: F.struct(y0.alias("y0"), y1.alias("y1"))
+        bands = F.zip_with(F.slice(e["breaks"], F.lit(1), F.size(e["breaks"]) - 1), F.slice(e["breaks"], 2, F.size(e["breaks"])), strip)
+        strips = F.flatten(F.transform(bands, lambda b: F.when(F.forall(cut(b["y0"]), lambda s: s["slope"] == 0), F.array(b)).otherwise(
+            F.transform(F.sequence(b["y0"], b["y1"] - 1), lambda y: strip(y, y + 1)))))
         # An even number of cuts, sorted: inside between the 1st and 2nd, 3rd and 4th, …
-        return F.transform(F.sequence(F.lit(0), F.size(c) - 2, F.lit(2)), lambda i: F.struct(
-            F.ceil(F.get(c, i) - 0.5).alias("x0"), F.ceil(F.get(c, i + 1) - 0.5).alias("x1")))
+        cuts = F.transform(strips, lambda b: F.struct(b["y0"].alias("y0"), b["y1"].alias("y1"), F.sort_array(
+            F.transform(cut(b["y0"]), lambda s: s["x"] + (level(b["y0"]) - s["lo"]) * s["slope"])).alias("at")))
+        return F.flatten(F.transform(F.filter(cuts, lambda c: F.size(c["at"]) >= 2), lambda c: F.transform(
+            F.sequence(F.lit(0), F.size(c["at"]) - 2, F.lit(2)), lambda i: F.struct(
+                c["y0"].alias("y0"), c["y1"].alias("y1"), F.ceil(F.get(c["at"], i) - 0.5).alias("x0"), F.ceil(F.get(c["at"], i + 1) - 0.5).alias("x1")))))
+
+    # Wrapping in a one-element array binds sides and breaks once per polygon instead of once per use.
+    bound = F.transform(F.array(F.struct(sides.alias("sides"), breaks.alias("breaks"))), blocks)
+    # A box needs no sweep over its sides.
+    x, y = ([F.get(ring, i)[axis] for i in range(4)] for axis in ("x", "y"))
+    upright = lambda u, v: (u[0] == u[1]) & (u[2] == u[3]) & (v[1] == v[2]) & (v[3] == v[0])
+    first, last = (lambda c: F.ceil(F.least(c[0], c[2]) - 0.5)), (lambda c: F.ceil(F.greatest(c[0], c[2]) - 0.5))
+    box = F.struct(first(y).alias("y0"), last(y).alias("y1"), first(x).alias("x0"), last(x).alias("x1"))
+    pixels = F.when((F.size(ring) == 4) & (upright(x, y) | upright(y, x)), F.array(box)).when(F.size(ring) > 0, F.get(bound, 0))
+    return F.filter(pixels, lambda r: (r["x1"] > r["x0"]) & (r["y1"] > r["y0"]))
+
 
-    # Wrapping in a one-element array binds the cuts once per image row instead of once per use.
-    runs = F.when(F.size(F.filter("_sides", lambda e: (e["lo"] <= level) & (level < e["hi"]))) >= 2,
-                  F.get(F.transform(F.array(cuts), to_runs), 0))
-    return lines.select(*keys, "y", F.inline(runs)).where("x1 > x0")
+def mask_runs(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
+    """Pixel runs (keys, y, x0, x1) of filled polygons: half-open x ranges, one or more for each image row."""
+    blocks = polygons.select(*keys, F.inline(mask_blocks(F.col(ring))))
+    return blocks.select(*keys, F.explode(F.sequence("y0", F.col("y1") - 1)).alias("y"), "x0", "x1")
 
 
-#: Pixels of an image row in which runs meet.
-STRETCH = 64
+#: Side, in pixels, of the cells of a tile in which blocks meet.
+CELL = 128
 
 
-def _overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Shared pixels of two run tables, summed by ``by``. Runs meet in stretches of their row, not in the whole row."""
-    cut = lambda df, lo, hi: df.withColumn("_at", F.explode(F.sequence(F.floor(F.col(lo) / STRETCH), F.floor((F.col(hi) - 1) / STRETCH))))
-    right = b.withColumnRenamed("x0", "_b0").withColumnRenamed("x1", "_b1")
-    both = cut(a.where("x0 < x1"), "x0", "x1").join(cut(right.where("_b0 < _b1"), "_b0", "_b1"), [*keys, "y", "_at"])
-    first = F.greatest("x0", "_b0")
-    both = both.where((first < F.least("x1", "_b1")) & (F.floor(first / STRETCH) == F.col("_at")))
-    return both.groupBy(*by).agg(F.sum(F.least("x1", "_b1") - first).alias("shared"))
+def block_pairs(blocks: DataFrame, key: str, shape: str) -> DataFrame:
+    """(key, a, b, shared): pixels that two shapes of a ``key`` share, ``a`` the smaller; pairs without any are left out.
 
+    ``blocks`` is (key, shape, y0, y1, x0, x1), the blocks of a shape apart from each other. They meet in cells, and two
+    blocks count in the cell with the first corner of what they share.
+    """
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / CELL), F.floor((F.col(hi) - 1) / CELL))
+    cut = blocks.where("x0 < x1 AND y0 < y1").withColumn("_cx", F.explode(cells("x0", "x1"))).withColumn("_cy", F.explode(cells("y0", "y1")))
+    other = cut.select(key, "_cx", "_cy", F.col(shape).alias("b"), *[F.col(c).alias(f"_{c}") for c in ("y0", "y1", "x0", "x1")])
+    both = cut.withColumnRenamed(shape, "a").join(other, [key, "_cx", "_cy"]).where("a < b")
+    x, y = F.greatest("x0", "_x0"), F.greatest("y0", "_y0")
+    w, h = F.least("x1", "_x1") - x, F.least("y1", "_y1") - y
+    both = both.where((w > 0) & (h > 0) & (F.floor(x / CELL) == F.col("_cx")) & (F.floor(y / CELL) == F.col("_cy")))
+    return both.groupBy(key, "a", "b").agg(F.sum(w * h).alias("shared"))
 
-def mask_sums(runs: DataFrame, key: str, side: str) -> DataFrame:
+
+def mask_sums(runs: DataFrame, key: str, side: str, height: str | None = None) -> DataFrame:
     """(key, left, both, either): pixels under the runs whose ``side`` is true, under runs of both sides, under any.
 
     An ordered sweep of run starts and ends along each image row keeps two running counts of open runs; between
-    neighbouring ends they don't change. Linear in the runs, one shuffle.
+    neighbouring ends they don't change. Linear in the runs, one shuffle. With ``height`` a run stands for so many rows.
     """
-    ends = runs.select(key, "y", side, F.inline(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step")))))
+    rows = F.lit(1) if height is None else F.col(height)
+    ends = runs.select(key, "y", side, rows.alias("_rows"), F.inline(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("step")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("step")))))
     row = W.partitionBy(key, "y").orderBy("x")
     upto = row.rowsBetween(W.unboundedPreceding, 0)
     opened = lambda own: F.sum(F.when(own, F.col("step")).otherwise(F.lit(0))).over(upto)
-    swept = ends.select(key, (F.lead("x").over(row) - F.col("x")).alias("w"), opened(F.col(side)).alias("l"), opened(~F.col(side)).alias("p")).where("w > 0")
+    swept = ends.select(key, ((F.lead("x").over(row) - F.col("x")) * F.col("_rows")).alias("w"), opened(F.col(side)).alias("l"), opened(~F.col(side)).alias("p")).where("w > 0")
     under = lambda c: F.coalesce(F.sum(F.when(c, F.col("w"))), F.lit(0))
     l, p = F.col("l") > 0, F.col("p") > 0
     return swept.groupBy(key).agg(under(l).alias("left"), under(l & p).alias("both"), under(l | p).alias("either"))
 
 
+def block_sums(blocks: DataFrame, key: str, side: str) -> DataFrame:
+    """``mask_sums`` of blocks, cut at all block starts and ends of their ``key``: never more pieces than image rows."""
+    at = blocks.select(key, F.explode(F.array("y0", "y1")).alias("at")).groupBy(key).agg(F.array_sort(F.collect_set("at")).alias("_at"))
+    bands = F.arrays_zip(F.slice("_at", F.lit(1), F.size("_at") - 1).alias("y"), F.slice("_at", 2, F.size("_at")).alias("end"))
+    inside = F.filter(bands, lambda b: (b["y"] >= F.col("y0")) & (b["end"] <= F.col("y1")))
+    cut = blocks.join(at, key).select(key, side, "x0", "x1", F.inline(inside)).withColumn("_h", F.col("end") - F.col("y"))
+    return mask_sums(cut, key, side, "_h")
+
+
 def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0.5, min_iou: float = 0.3,
                        agree_iou: float = 0.5, tile: str = "tile_id") -> DataFrame:
     """J21 + A27: per tile, labels no prediction covers, confident predictions that touch no label, the overall mask
     IoU, and the bucket they imply. ``labels`` is (tile, gt_idx, ring), ``preds`` is (tile, pred_idx, conf, ring)."""
-    # The runs feed the branches below (areas, pairs, sums); they are rasterised once and stored.
-    own = lambda df, key, is_label: mask_runs(df.select(tile, F.col(key).alias("_i"), "ring").repartition(tile, "_i"), [tile, "_i"]).withColumn("_label", F.lit(is_label))
-    runs = cut_lineage(own(labels, "gt_idx", True).unionByName(own(preds, "pred_idx", False)))
-    lr, pr = runs.where("_label").withColumnRenamed("_i", "gt_idx").drop("_label"), runs.where("not _label").withColumnRenamed("_i", "pred_idx").drop("_label")
-    width = F.sum(F.col("x1") - F.col("x0"))
-    l_area = lr.groupBy(tile, "gt_idx").agg(width.alias("la"))
-    p_area = pr.groupBy(tile, "pred_idx").agg(width.alias("pa"))
-    shared = cut_lineage(_overlap(lr, pr, [tile], [tile, "gt_idx", "pred_idx"]).join(l_area, [tile, "gt_idx"]).join(p_area, [tile, "pred_idx"]))
-    best = shared.groupBy(tile, "gt_idx").agg(F.max(F.col("shared") / (F.col("la") + F.col("pa") - F.col("shared"))).alias("best"))
-    uncovered = labels.join(best, [tile, "gt_idx"], "left").groupBy(tile).agg(
-        F.count(F.lit(1)).alias("n_label_polys"),
-        F.count_if(F.coalesce("best", F.lit(0.0)) < min_iou).alias("label_polys_uncovered"))
-    touched = shared.select(tile, "pred_idx").distinct().withColumn("_t", F.lit(True))
-    alone = preds.join(touched, [tile, "pred_idx"], "left").groupBy(tile).agg(
-        F.count(F.lit(1)).alias("n_pred"), F.max("conf").alias("max_pred_conf"),
-        F.count_if((F.col("conf") >= high_conf) & F.col("_t").isNull()).alias("confident_fps"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    whole = mask_sums(runs, tile, "_label").select(tile, F.when(F.col("either") > 0, F.col("both") / F.col("either")).otherwise(F.lit(0.0)).alias("overall_iou"), (F.col("left") > 0).alias("_label"))
-    out = uncovered.join(alone, tile, "full_outer").join(whole, tile, "left").select(
-        tile, F.coalesce("overall_iou", F.lit(0.0)).alias("overall_iou"), zero("n_label_polys").alias("n_label_polys"),
-        zero("n_pred").alias("n_pred"), zero("confident_fps").alias("confident_fps"),
-        zero("label_polys_uncovered").alias("label_polys_uncovered"), F.coalesce("max_pred_conf", F.lit(0.0)).alias("max_pred_conf"),
-        F.coalesce("_label", F.lit(False)).alias("_label"))
+    def own(df: DataFrame, index: str, is_label: bool, conf: Column) -> DataFrame:
+        shape = F.struct(F.lit(is_label).alias("label"), F.col(index).cast("long").alias("i"))
+        return df.select(F.col(tile), shape.alias("_s"), conf.alias("_conf"), mask_blocks(F.col("ring")).alias("_blocks"))
+
+    # Rasterised once; pairs, areas and sums read what is stored.
+    shapes = stored(own(labels, "gt_idx", True, F.lit(None).cast("double")).unionByName(own(preds, "pred_idx", False, F.col("conf"))).withColumn(
+        "_area", F.aggregate("_blocks", F.lit(0).cast("long"), lambda n, b: n + (b["y1"] - b["y0"]) * (b["x1"] - b["x0"]))))
+    blocks = shapes.select(tile, "_s", "_area", F.inline("_blocks"))
+    met = block_pairs(blocks.withColumn("_s", F.struct("_s", "_area")).drop("_area"), tile, "_s")
+    # A prediction comes before a label. Two shapes of one side that share pixels make the sums of their tile more than areas.
+    same = F.col("a._s.label") == F.col("b._s.label")
+    iou = F.when(~same, F.col("shared") / (F.col("a._area") + F.col("b._area") - F.col("shared")))
+    per_shape = met.select(tile, F.inline(F.array(
+        F.struct(F.col("a._s").alias("_s"), iou.alias("_iou"), F.lit(None).cast("long").alias("_shared"), same.alias("_same")),
+        F.struct(F.col("b._s").alias("_s"), iou.alias("_iou"), F.when(~same, F.col("shared")).alias("_shared"), same.alias("_same"))))).groupBy(tile, "_s").agg(
+        F.max("_iou").alias("best"), F.sum("_shared").alias("_shared"), F.max("_same").alias("_same"))
+    is_label = F.col("_s.label")
+    per_tile = stored(shapes.select(tile, "_s", "_conf", "_area").join(per_shape, [tile, "_s"], "left").groupBy(tile).agg(
+        F.count_if(is_label).alias("n_label_polys"), F.count_if(is_label & (F.coalesce("best", F.lit(0.0)) < min_iou)).alias("label_polys_uncovered"),
+        F.count_if(~is_label).alias("n_pred"), F.max("_conf").alias("max_pred_conf"),
+        F.count_if(~is_label & (F.col("_conf") >= high_conf) & F.col("best").isNull()).alias("confident_fps"),
+        F.coalesce(F.sum(F.when(is_label, F.col("_area"))), F.lit(0)).alias("_left"), F.coalesce(F.sum("_area"), F.lit(0)).alias("_all"),
+        F.coalesce(F.sum("_shared"), F.lit(0)).alias("_both"), F.coalesce(F.max("_same"), F.lit(False)).alias("_piled")))
+    piled = blocks.select(tile, is_label.alias("_label"), "y0", "y1", "x0", "x1").join(per_tile.where("_piled").select(tile), tile, "left_semi")
+    out = per_tile.join(block_sums(piled, tile, "_label"), tile, "left").withColumn("_either", F.coalesce("either", F.col("_all") - F.col("_both"))).select(
+        tile, F.when(F.col("_either") > 0, F.coalesce("both", "_both") / F.col("_either")).otherwise(F.lit(0.0)).alias("overall_iou"),
+        "n_label_polys", "n_pred", "confident_fps", "label_polys_uncovered", F.coalesce("max_pred_conf", F.lit(0.0)).alias("max_pred_conf"),
+        (F.col("_left") > 0).alias("_label"))
     fps, miss = F.col("confident_fps"), F.col("label_polys_uncovered")
     bucket = (
         F.when((F.col("overall_iou") >= agree_iou) & (fps == 0) & (miss == 0), "agree")

@@ -205,3 +205,31 @@ def test_mask_sums(spark):
         masks.setdefault((tile, label), np.zeros((12, 130), bool))[y, x : x + w] = True
     got = quality.mask_sums(spark.createDataFrame(runs, "tile_id INT, y INT, x0 INT, x1 INT, label BOOLEAN"), "tile_id", "label").collect()
     assert {tuple(r) for r in got} == {(t, int(masks[t, True].sum()), int((masks[t, True] & masks[t, False]).sum()), int((masks[t, True] | masks[t, False]).sum())) for t in range(3)}
+
+
+def test_boxes_are_one_block_and_piles_count_once(spark):
+    rng = random.Random(12)
+    box = lambda x, y, w, h: [(float(a), float(b)) for a, b in ((x, y), (x + w, y), (x + w, y + h), (x, y + h))]
+    tall = spark.createDataFrame([(1, box(3, 2, 5, 600))], f"id INT, ring {RING}")
+    assert [tuple(b) for b in tall.select(quality.mask_blocks(F.col("ring"))).first()[0]] == [(2, 602, 3, 8)]
+    sides = {True: [], False: []}
+    for tile in range(6):
+        for i in range(2 + tile * 3):
+            for label in sides:
+                x, y, w, h = rng.randrange(200), rng.randrange(200), rng.randrange(1, 90), rng.randrange(1, 90)
+                sides[label].append((tile, i, 0.9 if i % 2 else 0.2, [*box(x, y, w, h)[: 3 if i % 4 == 3 else 4]]))
+    schema = f"tile_id INT, {{}} INT, conf DOUBLE, ring {RING}"
+    labels, preds = spark.createDataFrame(sides[True], schema.format("gt_idx")), spark.createDataFrame(sides[False], schema.format("pred_idx"))
+    masks = {}
+    for label, df, index in ((True, labels, "gt_idx"), (False, preds, "pred_idx")):
+        for r in quality.mask_runs(df, ["tile_id", index]).collect():
+            masks.setdefault((r.tile_id, label, r[index]), np.zeros((300, 300), bool))[r.y, r.x0 : r.x1] = True
+    got = {r.tile_id: r for r in quality.label_disagreement(labels.drop("conf"), preds).collect()}
+    for tile in range(6):
+        own = {label: {i: m for (t, side, i), m in masks.items() if (t, side) == (tile, label)} for label in sides}
+        iou = {(i, j): (a & b).sum() / (a | b).sum() for i, a in own[True].items() for j, b in own[False].items()}
+        l, p = (np.any(list(own[label].values()), axis=0) for label in (True, False))
+        n = 2 + tile * 3
+        assert got[tile].overall_iou == pytest.approx((l & p).sum() / (l | p).sum(), abs=1e-12)
+        assert got[tile].label_polys_uncovered == sum(max((iou.get((i, j), 0) for j in range(n)), default=0) < 0.3 for i in range(n))
+        assert got[tile].confident_fps == sum(j % 2 == 1 and not any(iou.get((i, j), 0) for i in range(n)) for j in range(n))
