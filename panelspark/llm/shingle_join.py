@@ -1,6 +1,6 @@
 """Texts whose sets of word shingles have a Jaccard similarity of NUM / DEN or more.
 
-Bands of min-hashes propose candidates: BANDS short rows a text, so that two texts at the limit miss each other about once
+Fingerprints propose candidates, and so do bands of min-hashes: BANDS short rows a text, so that two texts at the limit miss each other about once
 in 2,800 cases. Every candidate is verified on the whole sets. Before that a sketch of both sets, the parity of how many
 shingles fall into each of SKETCH places, rules out pairs that differ in too much; it never rules out a near pair.
 
@@ -10,6 +10,7 @@ that the links found so far leave in different components are compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -88,9 +89,8 @@ def _prints(text: str, words: int) -> Column:
 
     @F.pandas_udf("sig binary, n int, sketch array<long>, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words) for t in texts]
-        return pd.DataFrame({"sig": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "n": np.array([len(s) for s in sets], dtype=np.int32),
-                             "sketch": [sketch(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+        rows = [(xxhash.xxh3_128_digest(s.tobytes()), len(s), sketch(s), band_keys(s)) for s in (shingle_set(t, words) for t in texts)]
+        return pd.DataFrame(rows, columns=["sig", "n", "sketch", "bands"]).astype({"n": np.int32})
 
     return run(text)
 
@@ -122,18 +122,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int) -
     return found
 
 
-def near_components(docs: DataFrame, words: int = 5) -> DataFrame:
+def near_components(docs: DataFrame, words: int, fingerprint: Callable[[str, int], Column], candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """From ``docs`` (id, row, text), id a struct that holds row: (id, ``component_id``), the smallest id reachable over
-    near pairs. Texts of the same set, also those without words, are one node. An empty table gives no rows."""
-    prints = shared_table(docs.withColumn("p", _prints("text", words)).select("id", "p.*"))
-    nodes = shared_table(prints.groupBy("sig").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+    near pairs. Texts of the same set, also those without words, are one node. An empty table gives no rows.
+
+    ``candidates`` makes pairs (a, b) out of (sig, fp), the nodes and their ``fingerprint``; the bands add those that
+    fingerprints lie too far apart for. All are verified on the whole sets.
+    """
+    prints = shared_table(docs.withColumn("p", _prints("text", words)).withColumn("fp", fingerprint("text", words)).select("id", "p.*", "fp"))
+    nodes = shared_table(prints.groupBy("sig").agg(F.min("id").alias("first"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"), F.min("fp").alias("fp")))
     postings = nodes.select("sig", F.explode("bands").alias("key"))
     crowds = postings.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = shared_table(postings.join(crowds, "key"))
     meets = met.groupBy("sig").agg(F.sum("c").alias("meets")).join(nodes.select("sig", "n", "sketch"), "sig")
     met = met.join(meets, "sig").select("key", F.struct("sig", "n", "sketch").alias("x"), "meets")
     centres = met.groupBy("key").agg(F.max_by("x", F.struct("meets", F.col("x.sig"))).alias("y"))
-    pairs = shared_table(_pairs(met.join(centres, "key").where(_may_be_near("x", "y"))))
+    close = candidates(nodes.select("sig", "fp"))
+    pairs = shared_table(_pairs(met.join(centres, "key").where(_may_be_near("x", "y"))).unionByName(close).distinct())
     links = _verified(pairs, nodes, docs, words)
     found = shared_table(connected_components(links).withColumnRenamed("id", "sig"))
     labelled = met.join(found, F.col("x.sig") == F.col("sig"), "left").select("key", "x", F.coalesce("component", "x.sig").alias("component"), "meets")

@@ -103,17 +103,28 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     return near_groups(prints).select(F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def candidates(prints: DataFrame) -> DataFrame:
+    """(a, b), a the smaller, from ``prints`` (sig, fp): each sig with the first of its fingerprint, and the first ones of
+    fingerprints that ``links`` joins. Linear in the rows."""
+    firsts = shared_table(prints.groupBy("fp").agg(F.min("sig").alias("first")))
+    same = prints.join(firsts, "fp").select(F.col("first").alias("a"), F.col("sig").alias("b"))
+    first = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}"))
+    close = links(firsts).join(first("a"), "a").join(first("b"), "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return same.unionByName(close).where("a <> b").distinct()
+
+
 def drop_near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their component, with all their columns.
 
-    Texts are near when their shingle sets have a Jaccard similarity of 0.8 or more, all such pairs by ``shingle_join``;
-    fingerprints take no part. A null id counts as the largest; rows that repeat an id and a text stay or go together.
+    Texts are near when their shingle sets have a Jaccard similarity of 0.8 or more. Candidates are texts whose
+    fingerprints covering masks bring within RADIUS bits, and those of ``shingle_join`` for near texts whose fingerprints
+    differ in more; the whole sets decide. A null id counts as the largest; rows that repeat an id and a text stay or go together.
     Texts without words are near copies of each other; an empty table gives no rows.
     """
     row = row_key(id, text)
     ordered = F.struct(F.col(id).isNull().alias("last"), F.col(id).alias("id"), row.alias("row"))
     rows = docs.select(ordered.alias("id"), row.alias("row"), text_of(text).alias("text"))
-    gone = shared_table(near_components(rows, words).where("id <> component_id").select(F.col("id.row").alias("row")).distinct())
+    gone = shared_table(near_components(rows, words, fingerprint, candidates).where("id <> component_id").select(F.col("id.row").alias("row")).distinct())
     told = flagged(docs.select(F.struct("*").alias("doc"), row.alias("row")), gone, "row")
     # A left join: an anti join would be moved in front of the filter.
     left = told.where("_may").join(gone.withColumn("_gone", F.lit(True)), "row", "left").where("_gone is null")

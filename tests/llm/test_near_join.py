@@ -84,3 +84,27 @@ def test_bands_and_sketches():
             n += 1
             hits += bool((shingle_join.band_keys(x) == shingle_join.band_keys(y)).any())
     assert n > 100 and hits / n > 0.98
+
+
+def test_fingerprints_propose_candidates(spark, monkeypatch):
+    """Pairs within RADIUS bits are joined; near copies are found by their fingerprints alone where no band is shared."""
+    rng = random.Random(13)
+    prints = [rng.getrandbits(63) for _ in range(60)]
+    prints += [p ^ 1 << rng.randrange(63) ^ 1 << rng.randrange(63) for p in prints for _ in range(2)] + prints[:20]
+    df = spark.createDataFrame([(bytes([i // 256, i % 256]), p) for i, p in enumerate(prints)], "sig binary, fp long")
+    root = list(range(len(prints)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in ((int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in simhash_dedup.candidates(df).collect()):
+        assert a < b
+        root[find(b)] = find(a)
+    assert all(find(a) == find(b) for a, b in itertools.combinations(range(len(prints)), 2) if (prints[a] ^ prints[b]).bit_count() <= simhash_dedup.RADIUS)
+    monkeypatch.setattr(shingle_join, "band_keys", lambda s: np.array([int(s.sum(dtype=np.uint64)) >> 1], dtype=np.int64))
+    base = " ".join(f"w{rng.randrange(3000)}" for _ in range(2000))
+    rows = [(1, base), (2, base + " end"), (3, "other words of another text")]
+    got = {r.doc_id for r in simhash_dedup.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1, 3}
