@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 #: The tokenizer's pre-tokenisation pattern (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words or chunks, and characters in chunks, that a worker process remembers, over tasks, before it starts over.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 8_000_000
+REMEMBERED, REMEMBERED_CHARS = 150_000, 3_000_000
 #: Characters of text that are encoded together, and ids that are decoded together; a longer text goes alone.
 BATCH, DECODED = 1_000_000, 500_000
 
@@ -281,5 +281,6 @@ def round_trip(docs: DataFrame, path: str, *keep: str, text: str = "text") -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(ids, pa.int32()))
                 columns = [batch.column(i).slice(row, len(texts)) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*columns, lists, pa.array(vocab.texts(ids, sizes), pa.string())], [*keep, "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, out)
