@@ -74,3 +74,23 @@ def test_one_file_a_tile(spark, tmp_path):
     for t in range(40):
         (split, digits), lines = found[f"tile_{t}.txt"]
         assert split == ("train" if t % 2 else "val") and len(digits) == 2 and lines == [f"0 {t} {i}" for i in range(t % 5 + 1)]
+
+
+def test_label_archives_hold_the_same_files(spark, tmp_path):
+    import zipfile
+
+    rows = [(f"tile_{t}", i, f"0 {t} {i}", "train" if t % 2 else "val") for t in range(40) for i in range(t % 5 + 1)]
+    df = spark.createDataFrame(rows, "tile STRING, line_no INT, line STRING, split STRING").repartition(7)
+    label_files.write_label_files(df, f"{tmp_path}/files", split="split")
+    label_files.write_label_archives(df, f"file:{tmp_path}/zips", split="split")
+    want = {str(f.relative_to(tmp_path / "files")): f.read_bytes() for f in (tmp_path / "files").rglob("*.txt")}
+    got = {}
+    for path in (tmp_path / "zips").iterdir():
+        assert path.suffix == ".zip"
+        with zipfile.ZipFile(path) as archive:
+            for name in archive.namelist():
+                assert name not in got
+                got[name] = archive.read(name)
+    assert got == want and len(want) == 40
+    lines = {(r.name, r.line) for r in label_files.read_label_archives(spark, f"{tmp_path}/zips").collect()}
+    assert lines == {(name, line) for name, text in want.items() for line in text.decode().splitlines()}
