@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +51,10 @@ def overlap_pairs(preds: DataFrame, gts: DataFrame, iou_min: float = 0.5, keys:
         *keys, "pred_idx", "gt_idx", "conf", "iou")
 
 
-#: Candidate pairs that one task matches together, about; rounds that take fewer than one pair in so many go pair by pair.
+#: Boxes that one task matches together, about; rounds that take fewer than one pair in so many go pair by pair.
 TOGETHER, SPARSE = 200_000, 200
+#: Pairs of boxes of a tile up to which all of them are tried; tiles with more use cells. Pairs that are tried at a time.
+PAIRWISE, AT_ONCE = 2_500, 1 << 20
 
 
 def first_rows(run: np.ndarray) -> np.ndarray:
@@ -88,43 +90,162 @@ def greedy(pred: np.ndarray, truth: np.ndarray) -> np.ndarray:
     return np.concatenate(taken) if taken else np.zeros(0, dtype=np.int64)
 
 
+def _tile_numbers(keys: Sequence[str], preds: pa.Table, gts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each row's tile, the same on both sides; -1 where a key is null, which meets nothing."""
+    tile = np.zeros(len(preds) + len(gts), dtype=np.int64)
+    missing = np.zeros(len(tile), dtype=bool)
+    for k in keys:
+        codes = pc.dictionary_encode(pa.chunked_array([*preds[k].chunks, *gts[k].chunks], preds[k].type).combine_chunks())
+        own = codes.indices.fill_null(len(codes.dictionary)).to_numpy().astype(np.int64)
+        missing |= own == len(codes.dictionary)
+        tile = np.unique(tile * (len(codes.dictionary) + 1) + own, return_inverse=True)[1]
+    tile[missing] = -1
+    return tile[: len(preds)], tile[len(preds) :]
+
+
+def _corners(rows: pa.Table, side: str) -> np.ndarray:
+    return np.stack([pc.fill_null(rows[side + c].cast(pa.float64()), float("nan")).to_numpy() for c in BOX], axis=1)
+
+
+def _spread(rows: np.ndarray, first: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each of ``rows`` with the ``count`` places from ``first`` on, about AT_ONCE pairs at a time."""
+    cuts = np.searchsorted(np.cumsum(count), np.arange(AT_ONCE, count.sum() + 1, AT_ONCE), side="left") + 1
+    for part in np.split(np.arange(len(rows)), np.unique(cuts)):
+        n = count[part]
+        if n.sum():
+            yield np.repeat(rows[part], n), np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _in_cells(rows: np.ndarray, boxes: np.ndarray, tile: np.ndarray, cell: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows once for every cell (tile, column, row of the grid) that their boxes cover."""
+    rows = rows[np.isfinite(boxes[rows]).all(axis=1)]
+    low, high = np.floor(boxes[rows, :2] / cell).astype(np.int64), np.floor(boxes[rows, 2:] / cell).astype(np.int64)
+    wide, tall = np.maximum(high - low + 1, 0).T
+    n = wide * tall
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    across = np.repeat(wide, n)
+    at = np.repeat(low, n, axis=0) + np.stack([k % np.maximum(across, 1), k // np.maximum(across, 1)], axis=1)
+    return np.repeat(rows, n), np.concatenate([np.repeat(tile[rows], n)[:, None], at], axis=1)
+
+
+def box_candidates(p: np.ndarray, tile_p: np.ndarray, g: np.ndarray, tile_g: np.ndarray, cell: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of p and g (boxes, n x 4; tiles ascending) of the same tile that may overlap, each pair once.
+
+    All pairs of a tile with few; of others those that share a grid cell, kept in the cell with the corner of what they share.
+    """
+    n = int(max(tile_p.max(initial=-1), tile_g.max(initial=-1))) + 1
+    known = lambda tile: np.bincount(tile[tile >= 0], minlength=n)
+    count = known(tile_g)
+    first = np.cumsum(count) - count + (tile_g < 0).sum()
+    crowded = known(tile_p) * count > PAIRWISE
+    few = np.flatnonzero((tile_p >= 0) & ~crowded[tile_p]) if n else np.zeros(0, dtype=np.int64)
+    yield from _spread(few, first[tile_p[few]], count[tile_p[few]])
+    if crowded.any():
+        i, at_p = _in_cells(np.flatnonzero((tile_p >= 0) & crowded[tile_p]), p, tile_p, cell)
+        j, at_g = _in_cells(np.flatnonzero((tile_g >= 0) & crowded[tile_g]), g, tile_g, cell)
+        code = np.unique(np.concatenate([at_p, at_g]), axis=0, return_inverse=True)[1].ravel()
+        code_p, code_g = code[: len(i)], code[len(i) :]
+        order = np.argsort(code_g, kind="stable")
+        held = np.bincount(code_g, minlength=int(code.max(initial=-1)) + 1)
+        start = np.cumsum(held) - held
+        for a, b in _spread(np.arange(len(i)), start[code_p], held[code_p]):
+            left, right = i[a], j[order[b]]
+            home = (np.floor(np.maximum(p[left, :2], g[right, :2]) / cell) == at_p[a, 1:]).all(axis=1)
+            yield left[home], right[home]
+
+
+def _ious(p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """``box_iou`` of rows of boxes."""
+    sides = np.maximum(0.0, np.minimum(p[:, 2:], g[:, 2:]) - np.maximum(p[:, :2], g[:, :2]))
+    inter = sides[:, 0] * sides[:, 1]
+    area = lambda b: np.maximum(0.0, b[:, 2] - b[:, 0]) * np.maximum(0.0, b[:, 3] - b[:, 1])
+    union = area(p) + area(g) - inter
+    return np.divide(inter, union, out=np.zeros(len(p)), where=union > 0)
+
+
+def _solved(keys: Sequence[str], preds: pa.Table, gts: pa.Table, thresholds: Sequence[float]):
+    """Both tables by tile and number, their tiles, and the (prediction, truth, IoU) rows taken at each threshold."""
+    tile_p, tile_g = _tile_numbers(keys, preds, gts)
+    by_p = np.lexsort((preds["p_pred_idx"].to_numpy(), tile_p))
+    by_g = np.lexsort((gts["g_gt_idx"].to_numpy(), tile_g))
+    preds, gts, tile_p, tile_g = preds.take(pa.array(by_p)), gts.take(pa.array(by_g)), tile_p[by_p], tile_g[by_g]
+    p, g, lowest = _corners(preds, "p_"), _corners(gts, "g_"), min(thresholds)
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+    for i, j in box_candidates(p, tile_p, g, tile_g, CELL_PX):
+        iou = _ious(p[i], g[j])
+        kept = (iou >= lowest) & (iou > 0)
+        found.append((i[kept], j[kept], iou[kept]))
+    i, j, iou = (np.concatenate(v) for v in zip(*found))
+    order = np.lexsort((j, -iou, i))
+    i, j, iou = i[order], j[order], iou[order]
+    taken = []
+    for t in thresholds:
+        kept = np.flatnonzero(iou >= t)
+        hit = kept[greedy(i[kept], j[kept])]
+        taken.append((i[hit], j[hit], iou[hit]))
+    return preds, gts, tile_p, tile_g, taken
+
+
 def _matched(keys: Sequence[str], thresholds: Sequence[float]):
-    """Pairs of many tiles to those taken at each threshold."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([*[(k, "ascending") for k in keys], ("pred_idx", "ascending"), ("iou", "descending"), ("gt_idx", "ascending")])
-        new = np.zeros(len(rows), dtype=bool)
-        for k in keys:
-            codes = pc.dictionary_encode(rows[k].combine_chunks(), null_encoding="encode").indices.to_numpy()
-            new |= first_rows(codes)
-        tile = np.cumsum(new)
-        numbered_ = lambda c: np.unique(np.stack([tile, rows[c].to_numpy()]), axis=1, return_inverse=True)[1].ravel()
-        pred, truth, iou = numbered_("pred_idx"), numbered_("gt_idx"), rows["iou"].to_numpy()
+    """Boxes of many tiles to the pairs taken at each threshold."""
+
+    def run(preds: pa.Table, gts: pa.Table) -> pa.Table:
+        preds, gts, _, _, taken = _solved(keys, preds, gts, thresholds)
         out = []
-        for t in thresholds:
-            kept = np.flatnonzero(iou >= t)
-            found = rows.take(pa.array(kept[greedy(pred[kept], truth[kept])]))
-            out.append(found.drop_columns(["unit"]).append_column("iou_threshold", pa.array(np.full(len(found), float(t)))))
+        for t, (i, j, iou) in zip(thresholds, taken):
+            rows = preds.select([*keys, "p_pred_idx", "p_conf"]).take(pa.array(i))
+            out.append(pa.table([*[rows[k] for k in keys], pa.array(np.full(len(i), float(t))), rows["p_pred_idx"].cast(pa.int64()),
+                                 gts["g_gt_idx"].take(pa.array(j)).cast(pa.int64()), rows["p_conf"], pa.array(iou)],
+                                names=[*keys, "iou_threshold", "pred_idx", "gt_idx", "conf", "iou"]))
         return pa.concat_tables(out)
 
     return run
 
 
+def _described(keys: Sequence[str], threshold: float):
+    """Boxes of many tiles to one row per match, per prediction without and per truth without; a missing side is null."""
+
+    def run(preds: pa.Table, gts: pa.Table) -> pa.Table:
+        preds, gts, tile_p, tile_g, [(i, j, iou)] = _solved(keys, preds, gts, [threshold])
+        count = np.bincount(tile_g[tile_g >= 0], minlength=int(tile_p.max(initial=0)) + 1)
+        fp, fn = np.delete(np.arange(len(preds)), i), np.delete(np.arange(len(gts)), j)
+        none = lambda n: np.full(len(n), -1, dtype=np.int64)
+        of = lambda rows: pa.array(rows, mask=rows < 0)
+        at_p, at_g = np.concatenate([i, fp, none(fn)]), np.concatenate([j, none(fp), fn])
+        own, other = preds.take(of(at_p)), gts.take(of(at_g))
+        tile = np.concatenate([tile_p[i], tile_p[fp], tile_g[fn]])
+        truths = np.where(tile >= 0, count[tile], 0)
+        return pa.table([
+            *[pc.if_else(pa.array(at_p >= 0), own[k], other[k]) for k in keys], *[own[c] for c in own.column_names if c.startswith("p_")],
+            *[other[c] for c in other.column_names if c.startswith("g_")], pa.array(np.concatenate([iou, np.zeros(len(fp) + len(fn))]), mask=(at_p < 0) | (at_g < 0)),
+            pa.array(truths),
+        ], names=[*keys, *[c for c in own.column_names if c.startswith("p_")], *[c for c in other.column_names if c.startswith("g_")], "iou", "_n"])
+
+    return run
+
+
+def _together(preds: DataFrame, gts: DataFrame, keys: Sequence[str], extra: Sequence[str] = ()):
+    """Both sides, whole tiles dealt to groups by their hash: about TOGETHER boxes a group. One shuffle of each side is all
+    that matching moves; pairs are made inside a group and never written."""
+    side = lambda df, s, own: df.select(*keys, *[F.col(c).alias(f"{s}_{c}") for c in (*own, *BOX, *[c for c in extra if c in df.columns])])
+    p, g = side(preds, "p", ["pred_idx", "conf"]), side(gts, "g", ["gt_idx"])
+    units = -(-(preds.count() + gts.count()) // TOGETHER) or 1
+    unit = F.pmod(F.xxhash64(*keys), F.lit(units))
+    return p, g, p.groupBy(unit).cogroup(g.groupBy(unit))
+
+
 def match_many(preds: DataFrame, gts: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """J11 for several IoU thresholds at once: (keys, iou_threshold, pred_idx, gt_idx, conf, iou).
 
-    Pairs are built once, at the lowest threshold, and stored; tiles are dealt to tasks by the number of pairs, and a task
-    matches all its tiles together, prediction by prediction in the order (prediction, higher IoU, lower truth).
+    Tiles are dealt to tasks by their hash; a task makes the pairs of all its tiles, at the lowest threshold, and
+    matches them together, prediction by prediction in the order (prediction, higher IoU, lower truth).
     """
     keys = list(keys)
-    pairs = cut_lineage(overlap_pairs(preds, gts, min(thresholds), keys))
-    units = -(-pairs.count() // TOGETHER) or 1
-    unit = F.pmod(F.xxhash64(*keys), F.lit(units)).alias("unit")
-    kinds = dict(pairs.dtypes)
-    layout = ", ".join([f"{c} {kinds[c]}" for c in pairs.columns] + ["iou_threshold double"])
-    found = pairs.select("*", unit).groupBy("unit").applyInArrow(_matched(keys, thresholds), layout)
+    p, _, both = _together(preds, gts, keys)
+    kinds = dict(p.dtypes)
+    layout = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "iou_threshold double, pred_idx bigint, gt_idx bigint", f"conf {kinds['p_conf']}", "iou double"])
     # Stored: what follows joins the matches several times.
-    return cut_lineage(found.select(*keys, "iou_threshold", F.col("pred_idx").cast("bigint").alias("pred_idx"), F.col("gt_idx").cast("bigint").alias("gt_idx"), "conf", "iou"))
+    return cut_lineage(both.applyInArrow(_matched(keys, thresholds), layout))
 
 
 def match(preds: DataFrame, gts: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
@@ -151,14 +272,19 @@ def match_outcomes(preds: DataFrame, gts: DataFrame, matches: DataFrame,
     return tp.unionByName(fp).unionByName(fn)
 
 
-def _measures(df: DataFrame, prefix: str) -> list[Column]:
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+#: Measures that a side may bring along.
+MEASURED = ("area_px", "cx", "cy", "aspect")
+
+
+def _measures(columns: Sequence[str], prefix: str, side: str = "") -> list[Column]:
+    c = lambda name: F.col(f"{side}{name}")
+    w, h = c("x2") - c("x1"), c("y2") - c("y1")
     short, long = F.least(w, h), F.greatest(w, h)
-    own = lambda c, d: F.col(c) if c in df.columns else d
+    own = lambda name, d: c(name) if f"{side}{name}" in columns else d
     return [
         own("area_px", w * h).alias(f"{prefix}_area_px"),
-        own("cx", (F.col("x1") + F.col("x2")) / 2).alias(f"{prefix}_centroid_x"),
-        own("cy", (F.col("y1") + F.col("y2")) / 2).alias(f"{prefix}_centroid_y"),
+        own("cx", (c("x1") + c("x2")) / 2).alias(f"{prefix}_centroid_x"),
+        own("cy", (c("y1") + c("y2")) / 2).alias(f"{prefix}_centroid_y"),
         own("aspect", F.when(short > 0, long / short)).alias(f"{prefix}_aspect"),
     ]
 
@@ -168,28 +294,45 @@ def edge_distance(cx: Column, cy: Column, w: Column, h: Column) -> Column:
     return F.least(cx, cy, w - cx, h - cy)
 
 
+def _detection_columns(rows: DataFrame, keys: Sequence[str], width: float, height: float) -> DataFrame:
+    """The columns of J23 from class, both sides' measures and ``_n``, the truths of the tile."""
+    n = F.coalesce("_n", F.lit(0))
+    at = lambda c: F.when(F.col("class") == "fp", F.col(f"pred_centroid_{c}")).otherwise(F.col(f"gt_centroid_{c}"))
+    return rows.select(
+        *keys, "class", "pred_idx", "gt_idx", "iou", "conf", "pred_area_px", "gt_area_px",
+        "pred_centroid_x", "pred_centroid_y", "gt_centroid_x", "gt_centroid_y",
+        edge_distance(at("x"), at("y"), F.lit(width), F.lit(height)).alias("distance_to_image_edge_px"),
+        F.when(F.col("class") == "fp", n).otherwise(F.greatest(F.lit(0), n - 1)).alias("num_other_panels_in_tile"),
+        "pred_aspect", "gt_aspect",
+    )
+
+
 def detection_rows(preds: DataFrame, gts: DataFrame, matches: DataFrame, width: float = 640.0,
                    height: float = 640.0, keys: Sequence[str] = ("tile_id",)) -> DataFrame:
     """The per-detection table. Missing sides are null; positions come from the truth except for false positives."""
     keys = list(keys)
-    p = preds.select(*keys, "pred_idx", "conf", *_measures(preds, "pred"))
-    g = gts.select(*keys, "gt_idx", *_measures(gts, "gt"))
+    p = preds.select(*keys, "pred_idx", "conf", *_measures(preds.columns, "pred"))
+    g = gts.select(*keys, "gt_idx", *_measures(gts.columns, "gt"))
     taken = matches.select(*keys, "pred_idx", "gt_idx", "iou")
     # Predictions with their truth, if any; then the truths that none took.
     found = p.join(taken, [*keys, "pred_idx"], "left").join(g, [*keys, "gt_idx"], "left").withColumn(
         "class", F.when(F.col("gt_idx").isNotNull(), "tp").otherwise("fp"))
     missed = g.join(taken, [*keys, "gt_idx"], "left_anti").withColumn("class", F.lit("fn"))
     n_gt = gts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    out = found.unionByName(missed, allowMissingColumns=True).join(n_gt, keys, "left")
-    n = F.coalesce("_n", F.lit(0))
-    at = lambda c: F.when(F.col("class") == "fp", F.col(f"pred_centroid_{c}")).otherwise(F.col(f"gt_centroid_{c}"))
-    return out.select(
-        *keys, "class", "pred_idx", "gt_idx", "iou", "conf", "pred_area_px", "gt_area_px",
-        "pred_centroid_x", "pred_centroid_y", "gt_centroid_x", "gt_centroid_y",
-        edge_distance(at("x"), at("y"), F.lit(width), F.lit(height)).alias("distance_to_image_edge_px"),
-        F.when(F.col("class") == "fp", n).otherwise(F.greatest(F.lit(0), n - 1)).alias("num_other_panels_in_tile"),
-        "pred_aspect", "gt_aspect",
-    )
+    return _detection_columns(found.unionByName(missed, allowMissingColumns=True).join(n_gt, keys, "left"), keys, width, height)
+
+
+def matched_rows(preds: DataFrame, gts: DataFrame, iou_threshold: float = 0.5, width: float = 640.0, height: float = 640.0,
+                 keys: Sequence[str] = ("tile_id",)) -> DataFrame:
+    """J11 and J23 in one pass: the per-detection table of greedy matches, each side shuffled once and nothing joined."""
+    keys = list(keys)
+    p, g, both = _together(preds, gts, keys, MEASURED)
+    layout = ", ".join([f"{c} {k}" for c, k in p.dtypes] + [f"{c} {k}" for c, k in g.dtypes if c not in keys] + ["iou double", "_n bigint"])
+    rows = both.applyInArrow(_described(keys, iou_threshold), layout)
+    kind = F.when(F.col("iou").isNotNull(), "tp").when(F.col("p_pred_idx").isNotNull(), "fp").otherwise("fn")
+    return _detection_columns(rows.select(
+        *keys, kind.alias("class"), F.col("p_pred_idx").alias("pred_idx"), F.col("g_gt_idx").cast("bigint").alias("gt_idx"), "iou",
+        F.col("p_conf").alias("conf"), *_measures(p.columns, "pred", "p_"), *_measures(g.columns, "gt", "g_"), "_n"), keys, width, height)
 
 
 def safe_ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:

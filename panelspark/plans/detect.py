@@ -71,7 +71,7 @@ def matches(t):
 
 
 def detections(t):
-    return M.detection_rows(t.f_pred, t.f_gt, matches(t))
+    return M.matched_rows(t.f_pred, t.f_gt)
 
 
 @query("j10_overlap_pairs", PAIRS.format(thr="0.3"), "conf, iou")
@@ -237,4 +237,4 @@ def p25(t):
                                  (F.col("tile_id") % 3 + 1).cast("int")), F.col("tile_id"))
     keep = name.rlike("^test/sc_")
     preds, gts = t.f_pred.where(keep), t.f_gt.where(keep)
-    return M.detection_metrics(M.detection_rows(preds, gts, M.match(preds, gts)))
+    return M.detection_metrics(M.matched_rows(preds, gts))
