@@ -358,8 +358,7 @@ def a30(t):
 @query("a30_merged_hulls", CLUSTERS + """ SELECT cl.tile_id, cl.cluster, MIN(x1) AS minx, MIN(y1) AS miny, MAX(x2) AS maxx, MAX(y2) AS maxy
     FROM cl JOIN f_gt g ON g.tile_id = cl.tile_id AND g.gt_idx = cl.gt_idx GROUP BY 1, 2""", "minx, miny, maxx, maxy")
 def a30_hulls(t):
-    p = panels(t)
-    joined = p.join(C.merge_panels(p), ["tile_id", "gt_idx"])
+    joined = C.merge_panels(panels(t), keep=["x1", "y1", "x2", "y2"])
     corner = F.explode(G.box_ring(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")))
     points = joined.select("tile_id", "cluster", corner.alias("p")).select("tile_id", "cluster", "p.x", "p.y")
     minx, miny, maxx, maxy = G.bounds(F.col("hull"))
