@@ -44,6 +44,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as a shuffle has, in turn: for costly columns of rows that lie in few files."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read again.
 
