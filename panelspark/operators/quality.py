@@ -12,7 +12,7 @@ from panelspark.config import AuditRules
 from panelspark.functions import geo as G
 from panelspark.functions import names as N
 from panelspark.operators.scale import pick_at, value_positions
-from panelspark.session import stored
+from panelspark.session import cut_lineage, stored
 
 
 def _numbers(line: Column) -> Column:
@@ -149,12 +149,14 @@ def audit_status(warnings: DataFrame) -> DataFrame:
 
 def size_stats(lines: DataFrame) -> DataFrame:
     """Per split: objects, median and index-based p95 of width and height, violations, oversize objects."""
-    per_line = range_violations(lines)
-    base = per_line.groupBy("split").agg(
-        F.count(F.lit(1)).alias("total_objects"), F.sum("n_violations").alias("violations"),
-        F.count_if("oversize").alias("large_objects"))
+    # Lines are parsed once; everything else reads the counts of the distinct sizes.
+    sizes = cut_lineage(range_violations(lines).groupBy("split", "w", "h").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_violations").alias("violations"), F.count_if("oversize").alias("large")))
+    base = sizes.groupBy("split").agg(
+        F.sum("n").alias("total_objects"), F.sum("violations").alias("violations"), F.sum("large").alias("large_objects"))
     # Both axes and both picks come from one placement of the distinct sizes.
-    placed = value_positions(per_line.select("split", "w", "h").unpivot("split", ["w", "h"], "axis", "size"), "size", ["split", "axis"])
+    long = sizes.select("split", "n", "w", "h").unpivot(["split", "n"], ["w", "h"], "axis", "size")
+    placed = value_positions(long, "size", ["split", "axis"], "n").drop("n")
     middle = F.lit(0.5) * (F.col("total") - 1)
     tail = F.least(F.floor(F.lit(0.95) * F.col("total")), F.col("total") - 1)
     picks = placed.groupBy("split", "axis").agg(

@@ -73,10 +73,15 @@ def cumulative(distinct: DataFrame, key: str, sums: dict[str, str], part: Sequen
     )
 
 
-def value_positions(df: DataFrame, value: str, part: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct value: ``n`` copies occupying sorted positions ``[lo, hi)`` of ``total``."""
+def value_positions(df: DataFrame, value: str, part: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """One row per distinct value: ``n`` copies occupying sorted positions ``[lo, hi)`` of ``total``. A row stands for
+    ``times`` copies if that is given.
+
+    Counts are written once: limits, range totals, positions and the total all read them.
+    """
     part = list(part)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(F.count(F.lit(1)).alias("n"))
+    n = F.sum(times) if times else F.count(F.lit(1))
+    counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(*part, value).agg(n.alias("n")))
     placed = cumulative(counts, value, {"hi": "n"}, part).withColumn("lo", F.col("hi") - F.col("n"))
     totals = counts.groupBy(*part).agg(F.sum("n").alias("total"))
     return _same_keys(placed, totals, part)
@@ -103,9 +108,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], part: Se
     return got.select(*part, "n", *out_cols)
 
 
-def average_ranks(df: DataFrame, value: str, rank: str, part: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, value: str, rank: str, part: Sequence[str] = (), times: str | None = None) -> DataFrame:
     """One row per distinct value with its tie-averaged one-based rank."""
-    return value_positions(df, value, part).select(
+    return value_positions(df, value, part, times).select(
         *part, value, (F.col("lo") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
     )
 

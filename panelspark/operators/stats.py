@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.operators.scale import average_ranks, cumulative, exact_quantiles, pick_at, value_positions
+from panelspark.session import cut_lineage
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), name: str = "feature",
@@ -35,8 +36,8 @@ def summarize(df: DataFrame, features: Sequence[str], part: Sequence[str] = ())
 def ks_test(df: DataFrame, value: str, group: str, a: str, b: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance and asymptotic p-value (100 terms, clipped)."""
     both = df.where(F.col(value).isNotNull() & ~F.isnan(value) & F.col(group).isin(a, b))
-    counts = both.groupBy(value).agg(
-        F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb"))
+    counts = cut_lineage(both.groupBy(value).agg(
+        F.count_if(F.col(group) == a).alias("na"), F.count_if(F.col(group) == b).alias("nb")))
     run = cumulative(counts, value, {"ca": "na", "cb": "nb"})
     sizes = counts.agg(F.sum("na").alias("n_a"), F.sum("nb").alias("n_b"))
     d = run.crossJoin(F.broadcast(sizes)).agg(
@@ -69,8 +70,8 @@ def histograms(df: DataFrame, value: str, group: str, log: bool = False, edges:
 
 
 def _score_counts(df: DataFrame, score: str, y: str, part: Sequence[str]) -> DataFrame:
-    return df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*part, score).agg(
-        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
+    return cut_lineage(df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(*part, score).agg(
+        F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg")))
 
 
 def roc_auc(df: DataFrame, score: str, y: str, part: Sequence[str] = ()) -> DataFrame:
@@ -96,15 +97,13 @@ def average_precision(df: DataFrame, score: str, y: str, part: Sequence[str] = (
 def spearman(df: DataFrame, x: str, y: str, part: Sequence[str] = (), min_rows: int = 3) -> DataFrame:
     """Rank correlation with averaged ties (p-value not computed); null below ``min_rows``.
 
-    Works on counts per distinct (x, y), so repeated pairs cost one row.
+    Works on counts per distinct (x, y), so repeated pairs cost one row; they are written once, and both ranks read them.
     """
     part = list(part)
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*part, x, y).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
-    valid = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.join(average_ranks(valid, x, "_rx", part), [*part, x]).join(
-        average_ranks(valid, y, "_ry", part), [*part, y])
-    w, rx, ry = F.col("w"), F.col("_rx"), F.col("_ry")
+    pairs = cut_lineage(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*part, x, y).agg(F.count(F.lit(1)).alias("w")))
+    ranked = pairs.join(average_ranks(pairs, x, "_rx", part, "w"), [*part, x]).join(
+        average_ranks(pairs, y, "_ry", part, "w"), [*part, y])
+    w, rx, ry = F.col("w").cast("double"), F.col("_rx"), F.col("_ry")
     sums = ranked.groupBy(*part).agg(
         F.sum(w).alias("_n"), F.sum(w * rx).alias("_x"), F.sum(w * ry).alias("_y"),
         F.sum(w * rx * ry).alias("_xy"), F.sum(w * rx * rx).alias("_xx"), F.sum(w * ry * ry).alias("_yy"))

@@ -78,3 +78,25 @@ def test_panels_merge_alike_in_one_task_and_by_joins(spark, monkeypatch, togethe
             assert {got[t, k] for k in seen} == {min(seen)}
             left -= seen
     assert len(got) == len(rows) - 1
+
+
+def test_tables_are_read_once_for_ranks_and_sizes(spark, tables):
+    from panelspark.operators import quality as Q
+    from panelspark.operators import stats as S
+    from panelspark.plans.quality import LINES
+
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(S.spearman(tables.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"])) == 0
+    assert scans(Q.size_stats(tables.sql(LINES))) == 0
+    # Means and deviations take one more pass.
+    assert scans(S.summarize(tables.lineitem, ["l_quantity"], ["l_returnflag"])) == 1
+
+
+def test_rounding_of_whole_columns_equals_the_expression(spark):
+    from panelspark.functions import numeric as X
+
+    values = [None, float("nan"), float("inf"), 0.5, 2.675, 1.005, -1.005, 0.125, 0.375, -0.125, 1e15 + 0.5, 12.34565, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (2, 3, 4):
+        row = df.select(X.blank_rounds(digits)("v").alias("a"), X.blank_round(F.col("v"), digits).alias("b"))
+        assert row.where("not a <=> b").isEmpty()
