@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import geo as G
 from panelspark.operators.cells import BOX, assigned
-from panelspark.operators.components import connected_components
+from panelspark.operators.components import connected_components, numbered
 from panelspark.session import cut_lineage
 
 #: Rings in a cell up to which its area is swept at once, and how often a cell is cut in four before that.
 FEW, DEEP = 32, 24
 #: Fields of the sweep's table at a time; boxes in a window up to which they are laid on a grid.
 SLABS, MANY = 1 << 20, 1000
+#: Shapes in cells that one call of Python takes, about.
+TOGETHER = 10_000
 
 
 def _cross(o: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -118,20 +120,46 @@ def _rings(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(xy, np.cumsum(lists.value_lengths().to_numpy())[:-1])
 
 
-def _link_cell(key: str, polygons: bool):
+def _by_cell(rows: pa.Table, at: Sequence[str]) -> list[pa.Table]:
+    """The rows of each cell."""
+    group = numbered(rows, at)
+    order = np.argsort(group, kind="stable")
+    rows, cuts = rows.take(pa.array(order)).combine_chunks(), np.flatnonzero(np.diff(group[order], prepend=-1))
+    return [rows.slice(i, n) for i, n in zip(cuts.tolist(), np.diff(np.append(cuts, len(rows))).tolist())]
+
+
+def _link_cells(key: str, polygons: bool):
     def run(rows: pa.Table) -> pa.Table:
-        boxes = np.stack([rows[c].to_numpy() for c in BOX], axis=1)
-        joined = None
-        if polygons:
-            rings = _rings(rows["ring"])
-            joined = lambda i, j: rings_overlap(rings[i], rings[j])
-        pairs = np.array(links(boxes, joined), dtype=np.int64).reshape(-1, 2)
-        ids = rows[key]
-        return pa.table({"a": ids.take(pa.array(pairs[:, 0])), "b": ids.take(pa.array(pairs[:, 1]))})
+        # A cell with one shape gives no link.
+        group = numbered(rows, ["_level", "_cx", "_cy"])
+        rows = rows.filter(pa.array(np.bincount(group)[group] > 1))
+        a, b = [], []
+        start = 0
+        cells = _by_cell(rows, ["_level", "_cx", "_cy"]) if len(rows) else []
+        for cell in cells:
+            boxes = np.stack([cell[c].to_numpy() for c in BOX], axis=1)
+            joined = None
+            if polygons:
+                lists = cell["ring"]
+                known: dict[int, np.ndarray] = {}
+                ring = lambda i: known[i] if i in known else known.setdefault(i, _rings(lists.slice(i, 1))[0])  # noqa: B023, E731
+                joined = lambda i, j: rings_overlap(ring(i), ring(j))  # noqa: B023, E731
+            for i, j in links(boxes, joined):
+                a.append(start + i)
+                b.append(start + j)
+            start += len(cell)
+        ids = pa.concat_arrays([c for cell in cells for c in cell[key].chunks]) if cells else rows[key].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
     return run
 
 
+def _dealt(placed: DataFrame, at: Sequence[str]) -> DataFrame:
+    """With ``_unit``: whole cells dealt to groups of about TOGETHER shapes by their hash; a group is one call of Python."""
+    units = -(-placed.count() // TOGETHER) or 1
+    return placed.withColumn("_unit", F.pmod(F.xxhash64(*at), F.lit(units)))
+
+
 def overlap_links(shapes: DataFrame, key: str, cell: float, polygons: bool) -> DataFrame:
     """(a, b): links that join exactly the shapes that overlap or share a piece of outline, directly or over others.
 
@@ -140,9 +168,9 @@ def overlap_links(shapes: DataFrame, key: str, cell: float, polygons: bool) -> D
     """
     kind = dict(shapes.dtypes)[key]
     columns = [key, *BOX, *(["ring"] if polygons else [])]
-    placed = assigned(shapes.select(*columns), cell)
+    placed = _dealt(assigned(shapes.select(*columns), cell), ["_level", "_cx", "_cy"])
     # Stored: which of several possible forests a cell gives depends on the order of its rows.
-    return cut_lineage(placed.groupBy("_level", "_cx", "_cy").applyInArrow(_link_cell(key, polygons), f"a {kind}, b {kind}").distinct())
+    return cut_lineage(placed.groupBy("_unit").applyInArrow(_link_cells(key, polygons), f"a {kind}, b {kind}").distinct())
 
 
 def dissolve_polygons(polygons: DataFrame, key: str = "array_id", cell: float = 200.0, min_area: float = 1.0) -> DataFrame:
@@ -257,12 +285,32 @@ def covered_boxes(boxes: np.ndarray, x0: float, y0: float, x1: float, y1: float)
     return covered_boxes(boxes, x0, y0, x1, at) + covered_boxes(boxes, x0, at, x1, y1)
 
 
-def _cell_area(keys: Sequence[str], cell: float, polygons: bool):
+def _convex_area(ring: np.ndarray) -> float | None:
+    """The area of a ring of three or four points that turns one way only; of others none is given."""
+    if len(ring) > 4:
+        return None
+    turns = _cross(np.roll(ring, 1, axis=0), ring, np.roll(ring, -1, axis=0))
+    if not ((turns > 0).all() or (turns < 0).all()):
+        return None
+    x, y = (ring - ring[0]).T
+    return abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) / 2
+
+
+def _cell_areas(keys: Sequence[str], cell: float, polygons: bool):
     def run(rows: pa.Table) -> pa.Table:
-        cx, cy = rows["_cx"][0].as_py(), rows["_cy"][0].as_py()
-        window = (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
-        area = covered(_rings(rows["ring"]), *window) if polygons else covered_boxes(np.stack([rows[c].to_numpy() for c in BOX], axis=1), *window)
-        return rows.select(list(keys)).slice(0, 1).append_column("area", pa.array([area]))
+        areas, firsts = [], []
+        for own in _by_cell(rows, [*keys, "_cx", "_cy"]):
+            cx, cy = own["_cx"][0].as_py(), own["_cy"][0].as_py()
+            window = (cx * cell, cy * cell, (cx + 1) * cell, (cy + 1) * cell)
+            if polygons:
+                rings = _rings(own["ring"])
+                alone = len(rings) == 1 and (rings[0] >= window[:2]).all() and (rings[0] <= window[2:]).all()
+                area = _convex_area(rings[0]) if alone else None
+                areas.append(covered(rings, *window) if area is None else area)
+            else:
+                areas.append(covered_boxes(np.stack([own[c].to_numpy() for c in BOX], axis=1), *window))
+            firsts.append(own.select(list(keys)).slice(0, 1))
+        return pa.concat_tables(firsts).append_column("area", pa.array(areas))
 
     return run
 
@@ -272,7 +320,8 @@ def _in_cells(shapes: DataFrame, keys: list[str], cell: float, polygons: bool) -
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     spread = shapes.distinct().withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
     kinds = dict(shapes.dtypes)
-    areas = spread.groupBy(*keys, "_cx", "_cy").applyInArrow(_cell_area(keys, cell, polygons), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["area double"]))
+    areas = _dealt(spread, [*keys, "_cx", "_cy"]).groupBy("_unit").applyInArrow(
+        _cell_areas(keys, cell, polygons), ", ".join([f"{k} {kinds[k]}" for k in keys] + ["area double"]))
     return areas.groupBy(*keys).agg(F.sum("area").alias("union_area"))
 
 

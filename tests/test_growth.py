@@ -95,8 +95,32 @@ def test_tables_are_read_once_for_ranks_and_sizes(spark, tables):
 def test_rounding_of_whole_columns_equals_the_expression(spark):
     from panelspark.functions import numeric as X
 
-    values = [None, float("nan"), float("inf"), 0.5, 2.675, 1.005, -1.005, 0.125, 0.375, -0.125, 1e15 + 0.5, 12.34565, 3.0]
+    values = [None, float("nan"), float("inf"), 0.5, 2.675, 1.005, -1.005, 0.125, 0.375, -0.125, 1e11 + 0.5, 12.34565, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for digits in (2, 3, 4):
         row = df.select(X.blank_rounds(digits)("v").alias("a"), X.blank_round(F.col("v"), digits).alias("b"))
         assert row.where("not a <=> b").isEmpty()
+
+
+def test_many_cells_share_a_call(spark, monkeypatch):
+    from panelspark.operators import polygons as P
+
+    calls = spark.sparkContext.accumulator(0)
+    link_cells = P._link_cells
+
+    def counting(*args):
+        run = link_cells(*args)
+
+        def counted(rows):
+            calls.add(1)
+            return run(rows)
+
+        return counted
+
+    monkeypatch.setattr(P, "_link_cells", counting)
+    # Pairs of overlapping boxes, each pair far from the others and so in cells of its own.
+    rows = [(2 * k + i, 1000.0 * k + 5 * i, 0.0, 1000.0 * k + 5 * i + 10, 10.0) for k in range(100) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "array_id bigint, minx double, miny double, maxx double, maxy double")
+    got = {r.array_id: r.component for r in P.dissolve(df).collect()}
+    assert got == {k: k // 2 * 2 for k in range(200)}
+    assert calls.value == 1
