@@ -18,24 +18,37 @@ def fill_from_median(df: DataFrame, keys: Sequence[str], column: str, out: str,
     return df.withColumn(out, F.coalesce(F.col(column), median, F.lit(default)))
 
 
+#: Days of a series that are folded together.
+STRETCH = 64
+
+
+def _kimber_days(df: DataFrame, keys: Sequence[str], params: Kimber, rest: Sequence[str] = ()) -> DataFrame:
+    """Per series its days in order (``_days``, with the columns ``rest``) and the ratio of each (``_ratios``)."""
+    rain = F.coalesce(F.col("precipitation_sum"), F.lit(0.0)) >= params.rain_clean_mm
+    df = fill_from_median(df, keys, "pm2_5", "_pm", params.empty_series_pm25)
+    loss = F.when(~rain, F.lit(params.deposition_per_pm25) * F.col("_pm"))
+    # In stretches, as in ``equivalent_days``.
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dt", loss.alias("_loss"), *rest))).alias("_days")).withColumn(
+        "_ratios", F.expr(f"""
+        flatten(aggregate(sequence(0, cast((size(_days) - 1) div {STRETCH} as int)), CAST(array() AS ARRAY<ARRAY<DOUBLE>>),
+            (done, k) -> concat(done, array(aggregate(slice(_days, k * {STRETCH} + 1, {STRETCH}),
+                named_struct('now', coalesce(try_element_at(try_element_at(done, -1), -1), 1D), 'path', CAST(array() AS ARRAY<DOUBLE>)),
+                (s, x) -> named_struct(
+                    'now', if(x._loss IS NULL, 1D, greatest(0D, s.now - x._loss)),
+                    'path', concat(s.path, array(if(x._loss IS NULL, 1D, greatest(0D, s.now - x._loss))))),
+                s -> s.path)))))
+    """))
+
+
 def kimber_ratio(df: DataFrame, keys: Sequence[str], params: Kimber = Kimber(), out: str = "soiling_ratio") -> DataFrame:
     """Clean at rain, otherwise lose deposition x PM2.5 per day, never below zero.
 
-    Between rains the floored walk has a closed form: with S the unfloored walk, the floored one is
-    S - min(0, running minimum of S). It needs two windows over one ordering and holds for negative readings too.
+    Folded day by day, not in the closed form of running sums: that rounds otherwise, and a label whose mean lies
+    exactly on its threshold then falls on the other side.
     """
-    day = W.partitionBy(*keys).orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    seg = W.partitionBy(*keys, "_seg").orderBy("dt").rowsBetween(W.unboundedPreceding, 0)
-    rain = F.coalesce(F.col("precipitation_sum"), F.lit(0.0)) >= params.rain_clean_mm
-    df = fill_from_median(df, keys, "pm2_5", "_pm", params.empty_series_pm25)
-    df = df.withColumn("_rain", rain).withColumn("_seg", F.count_if("_rain").over(day))
-    df = df.withColumn(
-        "_walk",
-        F.lit(1.0) - F.lit(params.deposition_per_pm25)
-        * F.sum(F.when(F.col("_rain"), F.lit(0.0)).otherwise(F.col("_pm"))).over(seg),
-    )
-    ratio = F.col("_walk") - F.least(F.lit(0.0), F.min("_walk").over(seg))
-    return df.withColumn(out, F.when(F.col("_rain"), F.lit(1.0)).otherwise(ratio)).drop("_pm", "_rain", "_seg", "_walk")
+    rest = [c for c in df.columns if c not in {*keys, "dt", out}]
+    days = _kimber_days(df, keys, params, rest).select(*keys, F.inline(F.arrays_zip("_days", "_ratios")))
+    return days.select(*[F.col(c) if c in keys else F.col("_days")[c].alias(c) for c in df.columns if c != out], F.col("_ratios").alias(out))
 
 
 def _daily_factor(df: DataFrame, keys: Sequence[str], p: EquivalentDay) -> DataFrame:
@@ -55,10 +68,6 @@ def _daily_factor(df: DataFrame, keys: Sequence[str], p: EquivalentDay) -> DataF
     return df.withColumn("_f", factor).drop("_pm")
 
 
-#: Days of a dry segment that are folded together.
-STRETCH = 64
-
-
 def soiling_loss(eqd, p: EquivalentDay):
     return F.lit(p.sl_sat) * (F.lit(1.0) - F.exp(-eqd / F.lit(p.k)))
 
@@ -100,9 +109,9 @@ def terminal_equivalent_days(df: DataFrame, keys: Sequence[str], params: Equival
 
 
 def kimber_labels(rows: DataFrame, keys: Sequence[str], threshold: float = 0.97, params: Kimber = Kimber()) -> DataFrame:
-    """Label from the mean of the trajectory; ``rows`` are label rows joined with their days."""
-    ratio = kimber_ratio(rows, keys, params)
-    return ratio.groupBy(*keys).agg(F.avg("soiling_ratio").alias("iwsr")).withColumn(
+    """Label from the mean of the trajectory, added up in the order of days; ``rows`` are label rows joined with their days."""
+    mean = F.expr("aggregate(_ratios, 0D, (s, v) -> s + v) / size(_ratios)")
+    return _kimber_days(rows, keys, params).select(*keys, mean.alias("iwsr")).withColumn(
         "label", (F.col("iwsr") < threshold).cast("int")
     )
 

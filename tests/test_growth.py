@@ -124,3 +124,26 @@ def test_many_cells_share_a_call(spark, monkeypatch):
     got = {r.array_id: r.component for r in P.dissolve(df).collect()}
     assert got == {k: k // 2 * 2 for k in range(200)}
     assert calls.value == 1
+
+
+def test_a_mean_on_the_threshold_is_rounded_as_the_loop_rounds_it(spark):
+    import datetime as dt
+
+    from panelspark.operators import physics as P
+
+    kind = "station_id bigint, as_of date, dt date, precipitation_sum double, pm2_5 double"
+    day, rng = dt.date(2026, 1, 1), np.random.default_rng(4)
+    # Losses that add up to three times 0.03; then series of several stretches with rain among them.
+    series = {k: ([0.0] * 3, list(pm)) for k, pm in enumerate([(11.0, 57.0, 3.0), (23.0, 40.0, 1.0), (22.0, 28.0, 28.0), (6.0, 47.0, 38.0)])}
+    series |= {k: ([float(v) for v in rng.random(150) > 0.97], [float(v) / 2 for v in rng.integers(2, 100, 150)]) for k in (4, 5)}
+    rows = [(k, day, day + dt.timedelta(days=i), r, p) for k, (rain, pm) in series.items() for i, (r, p) in enumerate(zip(rain, pm))]
+    df = spark.createDataFrame(rows, kind).repartition(3)
+    got = {r.station_id: r for r in P.kimber_labels(df, ["station_id", "as_of"]).collect()}
+    path = {(r.station_id, r.dt): r.soiling_ratio for r in P.kimber_ratio(df, ["station_id", "as_of"]).collect()}
+    for k, (rain, pm) in series.items():
+        now, total = 1.0, 0.0
+        for i, (r, p) in enumerate(zip(rain, pm)):
+            now = 1.0 if r >= 1 else max(0.0, now - 0.0006 * p)
+            total += now
+            assert path[k, day + dt.timedelta(days=i)] == now
+        assert (got[k].iwsr, got[k].label) == (total / len(pm), int(total / len(pm) < 0.97))
