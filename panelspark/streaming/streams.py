@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import datetime
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +17,6 @@ from panelspark.sources.sinks import feedback_record
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
-EPOCH = datetime.date(1970, 1, 1)
 
 
 def daily_means_stream(hourly: DataFrame, values: Sequence[str], delay: str = "1 day", station: str = "station_id",
@@ -44,11 +43,22 @@ def dry_spells_stream(daily: DataFrame, threshold_mm: float = 1.0, delay: str =
     )
 
 
+#: A state holds the locations whose ids differ in their last bits only, 64 at most; neighbouring ids share one.
+GROUP_BITS = 6
+#: Days before all days; also a heavy rain that was never seen.
+NEVER = -(2**40)
+#: The group of rows without a location; no id is in it.
+NOWHERE = -(2**63)
+DAYS = np.dtype([("station", "i8"), ("day", "i8"), ("rain", "f8"), ("fine", "f8"), ("coarse", "f8")])
+SITES = np.dtype([("station", "i8"), ("day", "i8"), ("eqd", "f8"), ("ratio", "f8"), ("last_rain", "i8"), ("dropped", "i8")])
+
+
 class RunningSoiling(StatefulProcessor):
     """Per location: days wait until the watermark passes them, then advance the state in date order.
 
-    One timer per location, at the end of its earliest waiting day; when it fires, every day the watermark has
-    passed is applied, so the work per batch does not grow with the number of waiting days times timers.
+    A state holds a few neighbouring locations, their days as packed rows, since a call and a value of a state cost far
+    more than a day. One timer per group, at the end of its earliest waiting day; when it fires, every day the watermark
+    has passed is applied, so the work per batch does not grow with the number of waiting days times timers.
     """
 
     def __init__(self, eqd: EquivalentDay, kimber: Kimber):
@@ -56,15 +66,18 @@ class RunningSoiling(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", "day BIGINT, rain DOUBLE, pm2_5 DOUBLE, pm10 DOUBLE")
-        self.state = handle.getValueState(
-            "state", "day BIGINT, eqd DOUBLE, ratio DOUBLE, last_rain BIGINT, dropped BIGINT, timer BIGINT")
+        self.pending = handle.getListState("pending", "days BINARY")
+        self.state = handle.getValueState("state", "sites BINARY, timer BIGINT")
 
-    def _current(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else (-(2**40), 0.0, 1.0, None, 0, None)
+    def _current(self) -> tuple[np.ndarray, int | None]:
+        """Locations in the order of their ids, and the timer."""
+        if not self.state.exists():
+            return np.empty(0, SITES), None
+        sites, timer = self.state.get()
+        return np.frombuffer(bytes(sites), SITES).copy(), timer
 
     def _schedule(self, timer: int | None, earliest: int | None) -> int | None:
-        """Move the location's timer to the end of the earliest waiting day."""
+        """Move the group's timer to the end of the earliest waiting day."""
         wanted = None if earliest is None else (earliest + 1) * DAY_MS
         if wanted is not None and (timer is None or wanted < timer):
             if timer is not None:
@@ -74,49 +87,66 @@ class RunningSoiling(StatefulProcessor):
         return timer
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, eqd, ratio, last_rain, dropped, timer = self._current()
-        fresh = []
+        sites, timer = self._current()
+        earliest = None
         for pdf in rows:
-            day = pd.to_datetime(pdf["dt"]).astype("datetime64[ms]").astype("int64") // DAY_MS
-            frame = pd.DataFrame({
-                "day": day, "rain": pdf["precipitation_sum"].fillna(0.0),
-                "fine": pdf["pm2_5"].fillna(self.kimber.empty_series_pm25), "coarse": pdf["pm10"].fillna(0.0)})
-            late = frame["day"] <= done
-            dropped += int(late.sum())
-            fresh += [(int(d), *v) for d, *v in frame[~late].itertuples(index=False, name=None)]
-        if fresh:
-            self.pending.appendList(fresh)
-            timer = self._schedule(timer, min(r[0] for r in fresh))
-        self.state.update((done, eqd, ratio, last_rain, dropped, timer))
+            days = np.empty(len(pdf), DAYS)
+            for name in DAYS.names:
+                days[name] = pdf[name].to_numpy()
+            new = np.setdiff1d(days["station"], sites["station"])
+            if len(new):
+                more = np.zeros(len(new), SITES)
+                more["station"], more["day"], more["ratio"], more["last_rain"] = new, NEVER, 1.0, NEVER
+                sites = np.concatenate([sites, more])
+                sites = sites[np.argsort(sites["station"])]
+            at = np.searchsorted(sites["station"], days["station"])
+            late = days["day"] <= sites["day"][at]
+            sites["dropped"] += np.bincount(at[late], minlength=len(sites))
+            fresh = days[~late]
+            if len(fresh):
+                self.pending.appendValue((fresh.tobytes(),))
+                first = int(fresh["day"].min())
+                earliest = first if earliest is None else min(earliest, first)
+        self.state.update((sites.tobytes(), self._schedule(timer, earliest)))
         yield pd.DataFrame()
 
+    def _factors(self, days: np.ndarray) -> np.ndarray:
+        p, rain = self.eqd, days["rain"]
+        dusty = 1.0 + p.pm10_dust_scale * np.maximum(0.0, days["coarse"] - p.pm10_dust_threshold)
+        damp = 1.0 - (rain - p.rain_min_mm) / (p.heavy_rain_mm - p.rain_min_mm)
+        return np.where(rain >= p.heavy_rain_mm, 0.0, np.where(rain >= p.rain_min_mm, damp, dusty))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() // DAY_MS
-        waiting = sorted(tuple(r) for r in self.pending.get())
-        ready = [r for r in waiting if r[0] < limit]
-        kept = [r for r in waiting if r[0] >= limit]
-        done, eqd, ratio, last_rain, dropped, _ = self._current()
-        out = []
-        p = self.eqd
-        for day, rain, fine, coarse in ready:
-            if rain >= p.heavy_rain_mm:
-                factor, last_rain = 0.0, day
-            elif rain >= p.rain_min_mm:
-                factor = 1.0 - (rain - p.rain_min_mm) / (p.heavy_rain_mm - p.rain_min_mm)
-            else:
-                factor = 1.0 + p.pm10_dust_scale * max(0.0, coarse - p.pm10_dust_threshold)
-            eqd = factor * (eqd + 1.0)
-            ratio = 1.0 if rain >= self.kimber.rain_clean_mm else max(0.0, ratio - self.kimber.deposition_per_pm25 * fine)
-            out.append((key[0], day, eqd, ratio, last_rain))
+        waiting = np.concatenate([np.empty(0, DAYS), *[np.frombuffer(bytes(r[0]), DAYS) for r in self.pending.get()]])
+        passed = waiting["day"] < limit
+        ready, kept = waiting[passed], waiting[~passed]
+        ready = ready[np.lexsort([ready[name] for name in reversed(DAYS.names)])]
+        sites, _ = self._current()
+        heavy = ready["rain"] >= self.eqd.heavy_rain_mm
+        washed = ready["rain"] >= self.kimber.rain_clean_mm
+        factors, losses = self._factors(ready), self.kimber.deposition_per_pm25 * ready["fine"]
+        eqds, ratios, last = np.empty(len(ready)), np.empty(len(ready)), np.where(heavy, ready["day"], NEVER)
+        names, starts = np.unique(ready["station"], return_index=True)
+        for name, start, end in zip(names, starts, [*starts[1:], len(ready)]):
+            site, own = sites[np.searchsorted(sites["station"], name)], slice(start, end)
+            eqd, ratio, path, clean = float(site["eqd"]), float(site["ratio"]), [], []
+            for factor, wash, loss in zip(factors[own].tolist(), washed[own].tolist(), losses[own].tolist()):
+                eqd = factor * (eqd + 1.0)
+                ratio = 1.0 if wash else max(0.0, ratio - loss)
+                path.append(eqd)
+                clean.append(ratio)
+            eqds[own], ratios[own] = path, clean
+            last[own] = np.maximum.accumulate(np.maximum(last[own], site["last_rain"]))
+            site["day"], site["eqd"], site["ratio"], site["last_rain"] = ready["day"][end - 1], eqd, ratio, last[end - 1]
         self.pending.clear()
-        if kept:
-            self.pending.put(kept)
-        timer = self._schedule(None, kept[0][0] if kept else None)
-        self.state.update((ready[-1][0] if ready else done, eqd, ratio, last_rain, dropped, timer))
-        as_date = lambda n: None if n is None else EPOCH + datetime.timedelta(days=n)
-        yield pd.DataFrame({
-            "station_id": [r[0] for r in out], "dt": [as_date(r[1]) for r in out], "eqd": [r[2] for r in out],
-            "soiling_ratio": [r[3] for r in out], "last_rain_date": [as_date(r[4]) for r in out]})
+        if len(kept):
+            self.pending.appendValue((kept.tobytes(),))
+        self.state.update((sites.tobytes(), self._schedule(None, int(kept["day"].min()) if len(kept) else None)))
+        for i in range(0, len(ready), 50_000):
+            own = slice(i, i + 50_000)
+            yield pd.DataFrame({"known": key[0] != NOWHERE, "station": ready["station"][own], "day": ready["day"][own], "eqd": eqds[own],
+                                "soiling_ratio": ratios[own], "last_rain": last[own]})
 
     def close(self) -> None:
         pass
@@ -126,10 +156,19 @@ def soiling_state_stream(daily: DataFrame, delay: str = "1 day", eqd: Equivalent
                          kimber: Kimber = Kimber(), station: str = "station_id") -> DataFrame:
     """Running equivalent days and clean ratio per location. Needs the RocksDB state store."""
     daily.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = daily.withColumn("ts", F.col("dt").cast("timestamp")).withWatermark("ts", delay)
-    return rows.groupBy(station).transformWithStateInPandas(
-        RunningSoiling(eqd, kimber), f"{station} BIGINT, dt DATE, eqd DOUBLE, soiling_ratio DOUBLE, last_rain_date DATE",
+    reading = lambda c, default: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(default)))
+    site = F.col(station).cast("bigint")
+    rows = daily.withColumn("ts", F.col("dt").cast("timestamp")).withWatermark("ts", delay).select(
+        "ts", F.coalesce(F.shiftright(site, GROUP_BITS), F.lit(NOWHERE)).alias("group"), F.coalesce(site, F.lit(0)).alias("station"),
+        F.unix_date("dt").cast("bigint").alias("day"), reading("precipitation_sum", 0.0).alias("rain"),
+        reading("pm2_5", kimber.empty_series_pm25).alias("fine"), reading("pm10", 0.0).alias("coarse"))
+    out = rows.groupBy("group").transformWithStateInPandas(
+        RunningSoiling(eqd, kimber), "known BOOLEAN, station BIGINT, day BIGINT, eqd DOUBLE, soiling_ratio DOUBLE, last_rain BIGINT",
         "append", "eventTime")
+    as_date = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    return out.select(
+        F.when(F.col("known"), F.col("station")).alias(station), as_date("day").alias("dt"), "eqd", "soiling_ratio",
+        F.when(F.col("last_rain") > NEVER, as_date("last_rain")).alias("last_rain_date"))
 
 
 def feedback_stream(events: DataFrame, path: str, checkpoint: str, dedupe: bool = False,

@@ -147,3 +147,39 @@ def test_a_mean_on_the_threshold_is_rounded_as_the_loop_rounds_it(spark):
             total += now
             assert path[k, day + dt.timedelta(days=i)] == now
         assert (got[k].iwsr, got[k].label) == (total / len(pm), int(total / len(pm) < 0.97))
+
+
+def test_neighbouring_locations_share_a_state(spark, tmp_path):
+    import datetime as dt
+
+    from panelspark.streaming import streams as T
+
+    kind = "station_id bigint, dt date, precipitation_sum double, pm2_5 double, pm10 double"
+    first, rng = dt.date(2026, 1, 1), np.random.default_rng(6)
+    day = lambda i: first + dt.timedelta(days=i)
+    # Gaps, missing readings, a location below zero, rows without a location.
+    stations = [-1, *range(100), None, 1 << 40]
+    rows = [(s, i, float(rng.choice([0.0, 0.5, 1.0, 4.0, 12.0], p=[0.6, 0.1, 0.1, 0.15, 0.05])), float(rng.integers(1, 400)), float(rng.integers(1, 120)))
+            for s in stations for i in range(30) if s is None or (s + i) % 5]
+    rows = [(s, i, *[None if rng.random() < 0.05 else v for v in values]) for s, i, *values in rows]
+    for k in range(3):
+        part = [(s, day(i), *values) for s, i, *values in rows if i // 10 == k]
+        # A day the watermark has passed: dropped.
+        part += [(1, day(3), 50.0, 1.0, 1.0)] if k == 2 else []
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = T.run_to_parquet(T.soiling_state_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    want = []
+    for s in stations:
+        eqd, ratio, last = 0.0, 1.0, None
+        for _, i, rain, fine, coarse in sorted((r for r in rows if r[0] == s), key=lambda r: r[1]):
+            rain, fine, coarse = rain or 0.0, 10.0 if fine is None else fine, coarse or 0.0
+            last = day(i) if rain >= 10 else last
+            eqd = (0.0 if rain >= 10 else 1.0 - (rain - 1.0) / 9.0 if rain >= 1 else 1.0 + 0.02 * max(0.0, coarse - 50.0)) * (eqd + 1.0)
+            ratio = 1.0 if rain >= 1 else max(0.0, ratio - 0.0006 * fine)
+            want += [(s, day(i), eqd, ratio, last)] if i < 28 else []
+    order = lambda r: (r[0] is None, r[0], r[1]) if r[0] is not None else (True, 0, r[1])
+    assert sorted((tuple(r) for r in got), key=order) == sorted(want, key=order)
+    state = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "cp"))
+    # -1; 0 to 63; 64 to 99; no location; the far one.
+    assert state.count() == 5
