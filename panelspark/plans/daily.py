@@ -8,7 +8,9 @@ from panelspark.config import SCORING, EquivalentDay, Features
 from panelspark.operators import daily as D
 from panelspark.operators import features as X
 from panelspark.operators import physics as P
+from panelspark.plans.fixtures import FIXTURES
 from panelspark.plans.registry import query
+from panelspark.session import dealt
 
 LABELS_SQL = "SELECT station_id, year, MAKE_DATE(year, 12, 31) AS as_of FROM f_panel"
 # A fixed day inside the data range for single-date look-backs.
@@ -71,8 +73,11 @@ def a36(t):
     FROM f_daily w LEFT JOIN aq USING (station_id, dt)""",
        "precipitation_sum, aq_pm2_5")
 def j01(t):
-    weather = t.f_daily.select("station_id", "dt", "precipitation_sum")
-    air = t.f_daily.where(F.year("dt") >= 1996).select("station_id", "dt", F.col("pm2_5").alias("aq_pm2_5"))
+    # Dealt before the days are made, so that a task makes and joins few of them.
+    lines = dealt(t.lineitem, t.lineitem.count(), "l_suppkey", F.col("l_shipdate").cast("date"))
+    daily = t.sql(FIXTURES["f_daily"], lineitem=lines)
+    weather = daily.select("station_id", "dt", "precipitation_sum")
+    air = daily.where(F.year("dt") >= 1996).select("station_id", "dt", F.col("pm2_5").alias("aq_pm2_5"))
     return D.with_air_quality(weather, air)
 
 

@@ -88,9 +88,9 @@ class Tables:
             return self.sql(FIXTURES[name])
         raise AttributeError(name)
 
-    def sql(self, text: str) -> DataFrame:
-        """Run a derivation; table and fixture names resolve to this folder."""
+    def sql(self, text: str, **given: DataFrame) -> DataFrame:
+        """Run a derivation; table and fixture names resolve to this folder, or to the tables given."""
         inputs = [n for n in (*DRIVER_TABLES, *FIXTURES) if re.search(rf"(FROM|JOIN)\s+{n}\b", text)]
         for name in inputs:
             text = re.sub(rf"((?:FROM|JOIN)\s+){name}\b", rf"\1{{{name}}}", text)
-        return self.spark.sql(text, **{name: getattr(self, name) for name in inputs})
+        return self.spark.sql(text, **{name: given[name] if name in given else getattr(self, name) for name in inputs})

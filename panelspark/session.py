@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def local_session(cpus: str | int = 8, app: str = "panelspark") -> SparkSession:
@@ -49,6 +49,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Rows of a table that one task of ``dealt`` takes.
+ROWS_A_TASK = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """``df`` of about ``rows`` rows by its keys over so many tasks that each takes few, however large the table is.
+
+    Joins and groups by the same keys that follow need no shuffle of their own. Adaptive execution merges its own
+    shuffles up to a size in compressed bytes, and 64 MB may be millions of groups.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-rows // ROWS_A_TASK)), *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read again.
 

@@ -183,3 +183,22 @@ def test_neighbouring_locations_share_a_state(spark, tmp_path):
     state = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / "cp"))
     # -1; 0 to 63; 64 to 99; no location; the far one.
     assert state.count() == 5
+
+
+def test_days_are_made_and_joined_in_tasks_of_few_rows(spark, tables, monkeypatch):
+    from panelspark import session
+    from panelspark.plans import catalog
+    from tests.conftest import SF
+
+    monkeypatch.setattr(session, "ROWS_A_TASK", 300)
+    rows = tables.lineitem.count()
+    df = catalog.QUERIES["j01_weather_with_air_quality"](spark, SF)
+    sizes = [r["n"] for r in df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 0.9 * rows / 300 and max(sizes) < 600
+    # Each side is shuffled once; groups and the join take what the shuffle dealt.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalog.QUERIES["j01_weather_with_air_quality"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")
