@@ -32,11 +32,9 @@ def _kimber_days(df: DataFrame, keys: Sequence[str], params: Kimber, rest: Seque
         "_ratios", F.expr(f"""
         flatten(aggregate(sequence(0, cast((size(_days) - 1) div {STRETCH} as int)), CAST(array() AS ARRAY<ARRAY<DOUBLE>>),
             (done, k) -> concat(done, array(aggregate(slice(_days, k * {STRETCH} + 1, {STRETCH}),
-                named_struct('now', coalesce(try_element_at(try_element_at(done, -1), -1), 1D), 'path', CAST(array() AS ARRAY<DOUBLE>)),
-                (s, x) -> named_struct(
-                    'now', if(x._loss IS NULL, 1D, greatest(0D, s.now - x._loss)),
-                    'path', concat(s.path, array(if(x._loss IS NULL, 1D, greatest(0D, s.now - x._loss))))),
-                s -> s.path)))))
+                array(coalesce(try_element_at(try_element_at(done, -1), -1), 1D)),
+                (path, x) -> concat(path, array(if(x._loss IS NULL, 1D, greatest(0D, path[size(path) - 1] - x._loss)))),
+                path -> slice(path, 2, {STRETCH}))))))
     """))
 
 

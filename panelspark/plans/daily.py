@@ -194,7 +194,8 @@ def look(pm, back, labels_sql=LABELS_SQL):
        kimber_sql(WHOLE.format(pm="pm2_5"), "station_id") + " SELECT station_id, dt, v AS soiling_ratio FROM r",
        "soiling_ratio")
 def w05(t):
-    return P.kimber_ratio(t.f_daily, ["station_id"]).select("station_id", "dt", "soiling_ratio")
+    daily = t.f_daily.select("station_id", "dt", "precipitation_sum", "pm2_5")
+    return P.kimber_ratio(daily, ["station_id"]).select("station_id", "dt", "soiling_ratio")
 
 
 @query("w06_equivalent_day_trajectory",
