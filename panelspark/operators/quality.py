@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,8 +14,10 @@ from pyspark.sql import functions as F
 from panelspark.config import AuditRules
 from panelspark.functions import geo as G
 from panelspark.functions import names as N
+from panelspark.operators.components import numbered
+from panelspark.operators.detect import AT_ONCE, PAIRWISE, _spread, box_candidates
 from panelspark.operators.scale import pick_at, value_positions
-from panelspark.session import cut_lineage, stored
+from panelspark.session import cut_lineage, dealt, stored
 
 
 def _numbers(line: Column) -> Column:
@@ -315,17 +320,164 @@ def block_sums(blocks: DataFrame, key: str, side: str) -> DataFrame:
     return mask_sums(cut, key, side, "_h")
 
 
+#: Blocks of a tile up to which it is compared in one task, together with others.
+LARGE = 5_000
+
+
+def _meeting(boxes: np.ndarray, group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of boxes (n x 4; groups ascending) of the same group that may overlap, each pair once, the smaller row first."""
+    count = np.bincount(group)
+    end = np.cumsum(count)
+    crowded = (count * count > PAIRWISE)[group]
+    few = np.flatnonzero(~crowded)
+    yield from _spread(few, few + 1, end[group[few]] - few - 1)
+    many = np.flatnonzero(crowded)
+    if len(many):
+        own = np.unique(group[many], return_inverse=True)[1]
+        for i, j in box_candidates(boxes[many], own, boxes[many], own, float(CELL)):
+            once = i < j
+            yield many[i[once]], many[j[once]]
+
+
+def _shared_pixels(shape: np.ndarray, group: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, shared): shapes of the same group that share pixels, a < b, from their blocks."""
+    n = int(shape.max(initial=-1)) + 1
+    codes, pixels = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for i, j in _meeting(np.stack([x0, y0, x1, y1], axis=1).astype(float), group):
+        w, h = np.minimum(x1[i], x1[j]) - np.maximum(x0[i], x0[j]), np.minimum(y1[i], y1[j]) - np.maximum(y0[i], y0[j])
+        met = (w > 0) & (h > 0) & (shape[i] != shape[j])
+        a, b = shape[i[met]], shape[j[met]]
+        code, own = np.unique(np.minimum(a, b) * n + np.maximum(a, b), return_inverse=True)
+        shared = np.zeros(len(code), dtype=np.int64)
+        np.add.at(shared, own, w[met] * h[met])
+        codes.append(code)
+        pixels.append(shared)
+    code, own = np.unique(np.concatenate(codes), return_inverse=True)
+    shared = np.zeros(len(code), dtype=np.int64)
+    np.add.at(shared, own, np.concatenate(pixels))
+    return code // max(n, 1), code % max(n, 1), shared
+
+
+def _swept(group: np.ndarray, label: np.ndarray, y0: np.ndarray, y1: np.ndarray, x0: np.ndarray, x1: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``block_sums`` of blocks in n groups: pixels of each group under blocks of both sides and under any."""
+    levels, rank = np.unique(np.concatenate([y0, y1]), return_inverse=True)
+    at, place = np.unique(np.tile(group, 2) * len(levels) + rank, return_inverse=True)
+    low, high = place[: len(y0)], place[len(y0) :]
+    level, owner = levels[at % max(len(levels), 1)], at // max(len(levels), 1)
+    both, either = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    held = np.cumsum(np.bincount(low, minlength=len(at)) - np.bincount(high, minlength=len(at)))
+    cuts = np.searchsorted(np.cumsum(held), np.arange(AT_ONCE, held.sum() + 1, AT_ONCE)) + 1
+    for start, stop in zip([0, *cuts], [*cuts, len(at)]):
+        rows = np.flatnonzero((low < stop) & (high > start))
+        first, many = np.maximum(low[rows], start), np.minimum(high[rows], stop) - np.maximum(low[rows], start)
+        band = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        row = np.repeat(rows, many)
+        band, side, x = np.tile(band, 2), np.tile(label[row], 2), np.concatenate([x0[row], x1[row]])
+        step = np.repeat([1, -1], len(row))
+        order = np.lexsort((x, band))
+        band, side, x, step = band[order], side[order], x[order], step[order]
+        # What is open is closed at the end of a band, so counts run on.
+        l, p = np.cumsum(np.where(side, step, 0))[:-1] > 0, np.cumsum(np.where(side, 0, step))[:-1] > 0
+        here = np.flatnonzero((band[1:] == band[:-1]) & (l | p))
+        size = (x[here + 1] - x[here]) * (level[band[here] + 1] - level[band[here]])
+        np.add.at(either, owner[band[here]], size)
+        np.add.at(both, owner[band[here]], size * (l & p)[here])
+    return both, either
+
+
+def _compared(tile: str, high_conf: float, min_iou: float):
+    """Shapes of whole tiles to the counts of each tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts)
+        group = numbered(rows, [tile])
+        order = np.argsort(group, kind="stable")
+        rows, group = rows.take(pa.array(order)), group[order]
+        head, n = np.unique(group, return_index=True)[1], int(group[-1]) + 1
+        label, lists = rows["_label"].to_numpy(), rows["_blocks"].combine_chunks()
+        conf, known = pc.fill_null(rows["_conf"], 0.0).to_numpy(), rows["_conf"].is_valid().to_numpy()
+        shape = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+        blocks = lists.flatten()
+        y0, y1, x0, x1 = (blocks.field(c).to_numpy() for c in ("y0", "y1", "x0", "x1"))
+        area, best = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+        np.add.at(area, shape, (y1 - y0) * (x1 - x0))
+        a, b, shared = _shared_pixels(shape, group[shape], y0, y1, x0, x1)
+        cross = label[a] != label[b]
+        iou = shared[cross] / (area[a] + area[b] - shared)[cross]
+        np.maximum.at(best, a[cross], iou)
+        np.maximum.at(best, b[cross], iou)
+
+        def total(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+            out = np.zeros(n, dtype=np.int64)
+            np.add.at(out, of, values)
+            return out
+
+        both = total(shared[cross], group[a[cross]])
+        either = total(area, group) - both
+        # Two shapes of one side that share pixels make the sums of their tile more than areas.
+        piled = np.zeros(n, dtype=bool)
+        piled[group[a[~cross]]] = True
+        if piled.any():
+            of = np.flatnonzero(piled[group[shape]])
+            swept = _swept(group[shape[of]], label[shape[of]], y0[of], y1[of], x0[of], x1[of], n)
+            both, either = np.where(piled, swept[0], both), np.where(piled, swept[1], either)
+        count = lambda which: np.bincount(group[which], minlength=n)
+        given = ~label & known
+        highest = np.full(n, -np.inf)
+        np.maximum.at(highest, group[given], conf[given])
+        # As in Spark, NaN is above all numbers.
+        sure = given & ~(conf < high_conf)
+        yield pa.RecordBatch.from_arrays([
+            rows[tile].take(pa.array(head)).combine_chunks(), pa.array(count(label)), pa.array(count(label & (best < min_iou))), pa.array(count(~label)),
+            pa.array(highest, mask=count(given) == 0), pa.array(count(sure & (best == 0))), pa.array(total(area[label], group[label])), pa.array(both), pa.array(either),
+        ], names=[tile, "n_label_polys", "label_polys_uncovered", "n_pred", "max_pred_conf", "confident_fps", "_left", "_both", "_either"])
+
+    return run
+
+
 def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0.5, min_iou: float = 0.3,
                        agree_iou: float = 0.5, tile: str = "tile_id") -> DataFrame:
     """J21 + A27: per tile, labels no prediction covers, confident predictions that touch no label, the overall mask
-    IoU, and the bucket they imply. ``labels`` is (tile, gt_idx, ring), ``preds`` is (tile, pred_idx, conf, ring)."""
+    IoU, and the bucket they imply. ``labels`` is (tile, gt_idx, ring), ``preds`` is (tile, pred_idx, conf, ring).
+
+    Whole tiles are dealt to tasks of about ROWS_A_TASK blocks, which is all that is shuffled. A tile of over LARGE
+    blocks, and shapes without a tile, go through joins instead, over as many tasks as they need.
+    """
     def own(df: DataFrame, index: str, is_label: bool, conf: Column) -> DataFrame:
-        shape = F.struct(F.lit(is_label).alias("label"), F.col(index).cast("long").alias("i"))
-        return df.select(F.col(tile), shape.alias("_s"), conf.alias("_conf"), mask_blocks(F.col("ring")).alias("_blocks"))
+        return df.select(F.col(tile), F.lit(is_label).alias("_label"), F.col(index).cast("long").alias("_i"), conf.alias("_conf"), mask_blocks(F.col("ring")).alias("_blocks"))
+
+    shapes = own(labels, "gt_idx", True, F.lit(None).cast("double")).unionByName(own(preds, "pred_idx", False, F.col("conf").cast("double")))
+    sizes = shapes.groupBy(tile).agg(F.sum(F.greatest(F.size("_blocks"), F.lit(1))).alias("_n"))
+    apart = F.col(tile).isNull() | (F.col("_n") > LARGE)
+    seen = sizes.agg(F.sum("_n").alias("n"), F.coalesce(F.bool_or(apart), F.lit(False)).alias("apart")).first()
+    large = stored(sizes.where(apart).select(tile)) if seen["apart"] else None
+    few = shapes if large is None else shapes.where(F.col(tile).isNotNull()).join(large, tile, "left_anti")
+    kind = dict(shapes.dtypes)[tile]
+    layout = f"{tile} {kind}, n_label_polys bigint, label_polys_uncovered bigint, n_pred bigint, max_pred_conf double, confident_fps bigint, _left bigint, _both bigint, _either bigint"
+    per_tile = dealt(few.select(tile, "_label", "_conf", "_blocks"), seen["n"] or 0, tile).mapInArrow(_compared(tile, high_conf, min_iou), layout)
+    if large is not None:
+        crowd = shapes.join(large, shapes[tile].eqNullSafe(large[tile]), "left_semi")
+        per_tile = per_tile.unionByName(_compared_by_joins(crowd, high_conf, min_iou, tile))
+    out = per_tile.select(
+        tile, F.when(F.col("_either") > 0, F.col("_both") / F.col("_either")).otherwise(F.lit(0.0)).alias("overall_iou"),
+        "n_label_polys", "n_pred", "confident_fps", "label_polys_uncovered", F.coalesce("max_pred_conf", F.lit(0.0)).alias("max_pred_conf"),
+        (F.col("_left") > 0).alias("_label"))
+    fps, miss = F.col("confident_fps"), F.col("label_polys_uncovered")
+    bucket = (
+        F.when((F.col("overall_iou") >= agree_iou) & (fps == 0) & (miss == 0), "agree")
+        .when((fps > 0) & (miss == 0) & ~F.col("_label"), "confident_FP").when((miss > 0) & (fps == 0), "confident_FN")
+        .when((fps > 0) & (miss > 0), "both_directions").when((fps > 0) & F.col("_label"), "confident_FP").otherwise("noisy"))
+    return out.withColumn("bucket", bucket).withColumn("disagreement_score", fps + miss).drop("_label")
+
 
+def _compared_by_joins(shapes: DataFrame, high_conf: float, min_iou: float, tile: str) -> DataFrame:
+    """The counts of each tile without a tile in a task: blocks meet in cells by joins."""
     # Rasterised once; pairs, areas and sums read what is stored.
-    shapes = stored(own(labels, "gt_idx", True, F.lit(None).cast("double")).unionByName(own(preds, "pred_idx", False, F.col("conf"))).withColumn(
-        "_area", F.aggregate("_blocks", F.lit(0).cast("long"), lambda n, b: n + (b["y1"] - b["y0"]) * (b["x1"] - b["x0"]))))
+    shapes = stored(shapes.select(tile, F.struct(F.col("_label").alias("label"), F.col("_i").alias("i")).alias("_s"), "_conf", "_blocks", F.aggregate(
+        "_blocks", F.lit(0).cast("long"), lambda n, b: n + (b["y1"] - b["y0"]) * (b["x1"] - b["x0"])).alias("_area")))
     blocks = shapes.select(tile, "_s", "_area", F.inline("_blocks"))
     met = block_pairs(blocks.withColumn("_s", F.struct("_s", "_area")).drop("_area"), tile, "_s")
     # A prediction comes before a label. Two shapes of one side that share pixels make the sums of their tile more than areas.
@@ -341,18 +493,11 @@ def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0
         F.count_if(~is_label).alias("n_pred"), F.max("_conf").alias("max_pred_conf"),
         F.count_if(~is_label & (F.col("_conf") >= high_conf) & F.col("best").isNull()).alias("confident_fps"),
         F.coalesce(F.sum(F.when(is_label, F.col("_area"))), F.lit(0)).alias("_left"), F.coalesce(F.sum("_area"), F.lit(0)).alias("_all"),
-        F.coalesce(F.sum("_shared"), F.lit(0)).alias("_both"), F.coalesce(F.max("_same"), F.lit(False)).alias("_piled")))
+        F.coalesce(F.sum("_shared"), F.lit(0)).alias("_met"), F.coalesce(F.max("_same"), F.lit(False)).alias("_piled")))
     piled = blocks.select(tile, is_label.alias("_label"), "y0", "y1", "x0", "x1").join(per_tile.where("_piled").select(tile), tile, "left_semi")
-    out = per_tile.join(block_sums(piled, tile, "_label"), tile, "left").withColumn("_either", F.coalesce("either", F.col("_all") - F.col("_both"))).select(
-        tile, F.when(F.col("_either") > 0, F.coalesce("both", "_both") / F.col("_either")).otherwise(F.lit(0.0)).alias("overall_iou"),
-        "n_label_polys", "n_pred", "confident_fps", "label_polys_uncovered", F.coalesce("max_pred_conf", F.lit(0.0)).alias("max_pred_conf"),
-        (F.col("_left") > 0).alias("_label"))
-    fps, miss = F.col("confident_fps"), F.col("label_polys_uncovered")
-    bucket = (
-        F.when((F.col("overall_iou") >= agree_iou) & (fps == 0) & (miss == 0), "agree")
-        .when((fps > 0) & (miss == 0) & ~F.col("_label"), "confident_FP").when((miss > 0) & (fps == 0), "confident_FN")
-        .when((fps > 0) & (miss > 0), "both_directions").when((fps > 0) & F.col("_label"), "confident_FP").otherwise("noisy"))
-    return out.withColumn("bucket", bucket).withColumn("disagreement_score", fps + miss).drop("_label")
+    return per_tile.join(block_sums(piled, tile, "_label").drop("left"), tile, "left").select(
+        tile, "n_label_polys", "label_polys_uncovered", "n_pred", "max_pred_conf", "confident_fps", "_left",
+        F.coalesce("both", "_met").alias("_both"), F.coalesce("either", F.col("_all") - F.col("_met")).alias("_either"))
 
 
 def bucket_shares(tiles: DataFrame, bucket: str = "bucket") -> DataFrame:

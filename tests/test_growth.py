@@ -202,3 +202,52 @@ def test_days_are_made_and_joined_in_tasks_of_few_rows(spark, tables, monkeypatc
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2 == plan.count("REPARTITION_BY_NUM")
+
+
+def test_disagreement_shuffles_shapes_once(spark, tables):
+    from panelspark.plans.quality import disagreement
+
+    plan = disagreement(tables)._jdf.queryExecution().executedPlan().toString()
+    # No table is stored or numbered on the way, no side is joined with the other.
+    assert plan.count("Exchange") == 1 and plan.count("Window") == 0 and plan.count("Join") == 0
+
+
+def test_disagreement_of_one_pass_equals_that_of_joins(spark, monkeypatch):
+    from panelspark.functions import geo as G
+    from panelspark.operators import quality as Q
+
+    rng = np.random.default_rng(6)
+    # Tiles of one side only, crowded ones, a null tile; in each tile some shapes of three corners.
+    p, kind = boxes(rng, [(1, 4), (2, 70), (4, 3), (None, 3), (5, 1)], "pred_idx")
+    g, kind_g = boxes(rng, [(1, 3), (2, 80), (3, 2), (None, 2), (5, 1)], "gt_idx")
+
+    def shapes(rows, kind, index):
+        box = G.box_ring(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))
+        ring = F.when(F.col(index) % 5 == 0, F.slice(box, 1, 3)).when(F.col(index) != 61, box)
+        return spark.createDataFrame(rows, kind).withColumn("ring", ring)
+
+    preds = shapes(p, kind, "pred_idx").withColumn("conf", F.when(F.col("pred_idx") == 7, float("nan")).when(F.col("pred_idx") != 8, 1 / F.col("pred_idx")))
+    one = Q.label_disagreement(shapes(g, kind_g, "gt_idx"), preds)
+    got = one.orderBy("tile_id").collect()
+    monkeypatch.setattr(Q, "AT_ONCE", 50)
+    assert [str(r) for r in one.orderBy("tile_id").collect()] == [str(r) for r in got]
+    monkeypatch.setattr(Q, "LARGE", 0)
+    joined = Q.label_disagreement(shapes(g, kind_g, "gt_idx"), preds)
+    assert one.dtypes == joined.dtypes and [str(r) for r in joined.orderBy("tile_id").collect()] == [str(r) for r in got]
+    assert [r.tile_id for r in got] == [None, 1, 2, 3, 4, 5]
+
+
+def test_piled_blocks_are_swept_in_parts(monkeypatch):
+    from panelspark.operators import quality as Q
+
+    rng = np.random.default_rng(7)
+    group, label = np.sort(rng.integers(0, 3, 60)), rng.random(60) < 0.5
+    low = rng.integers(0, 40, (60, 2))
+    high = low + rng.integers(1, 20, (60, 2))
+    masks = np.zeros((3, 2, 70, 70), dtype=bool)
+    for k, side, (x0, y0), (x1, y1) in zip(group, label, low, high):
+        masks[k, int(side), y0:y1, x0:x1] = True
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(Q, "AT_ONCE", at_once)
+        both, either = Q._swept(group, label, low[:, 1], high[:, 1], low[:, 0], high[:, 0], 3)
+        assert both.tolist() == masks.all(axis=1).sum(axis=(1, 2)).tolist() and either.tolist() == masks.any(axis=1).sum(axis=(1, 2)).tolist()
