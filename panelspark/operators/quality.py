@@ -259,13 +259,30 @@ def mask_blocks(ring: Column) -> Column:
 
     # Wrapping in a one-element array binds sides and breaks once per polygon instead of once per use.
     bound = F.transform(F.array(F.struct(sides.alias("sides"), breaks.alias("breaks"))), blocks)
+    held = lambda r: (r["x1"] > r["x0"]) & (r["y1"] > r["y0"])
     # A box needs no sweep over its sides.
-    x, y = ([F.get(ring, i)[axis] for i in range(4)] for axis in ("x", "y"))
-    upright = lambda u, v: (u[0] == u[1]) & (u[2] == u[3]) & (v[1] == v[2]) & (v[3] == v[0])
+    x, y = _corners(ring)
     first, last = (lambda c: F.ceil(F.least(c[0], c[2]) - 0.5)), (lambda c: F.ceil(F.greatest(c[0], c[2]) - 0.5))
     box = F.struct(first(y).alias("y0"), last(y).alias("y1"), first(x).alias("x0"), last(x).alias("x1"))
-    pixels = F.when((F.size(ring) == 4) & (upright(x, y) | upright(y, x)), F.array(box)).when(F.size(ring) > 0, F.get(bound, 0))
-    return F.filter(pixels, lambda r: (r["x1"] > r["x0"]) & (r["y1"] > r["y0"]))
+    empty = (first(x) >= last(x)) | (first(y) >= last(y))
+    return F.when(_is_box(ring), F.when(empty, F.slice(F.array(box), 1, 0)).otherwise(F.array(box))).when(F.size(ring) > 0, F.filter(F.get(bound, 0), held))
+
+
+def _corners(ring: Column) -> tuple[list[Column], list[Column]]:
+    return tuple([F.get(ring, i)[axis] for i in range(4)] for axis in ("x", "y"))
+
+
+def _is_box(ring: Column) -> Column:
+    x, y = _corners(ring)
+    upright = lambda u, v: (u[0] == u[1]) & (u[2] == u[3]) & (v[1] == v[2]) & (v[3] == v[0])
+    return (F.size(ring) == 4) & (upright(x, y) | upright(y, x))
+
+
+def most_blocks(ring: Column) -> Column:
+    """How many blocks ``mask_blocks`` gives at most, 1 at least: two sides bound a block of an image row."""
+    level = lambda pick: pick(F.transform(ring, lambda p: F.ceil(p["y"] - 0.5)))
+    tall = (level(F.array_max) - level(F.array_min)) * F.ceil(F.size(ring) / 2)
+    return F.greatest(F.lit(1).cast("long"), F.when(F.size(ring) > 0, F.when(_is_box(ring), F.lit(1).cast("long")).otherwise(tall)))
 
 
 def mask_runs(polygons: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFrame:
@@ -447,10 +464,11 @@ def label_disagreement(labels: DataFrame, preds: DataFrame, high_conf: float = 0
     blocks, and shapes without a tile, go through joins instead, over as many tasks as they need.
     """
     def own(df: DataFrame, index: str, is_label: bool, conf: Column) -> DataFrame:
-        return df.select(F.col(tile), F.lit(is_label).alias("_label"), F.col(index).cast("long").alias("_i"), conf.alias("_conf"), mask_blocks(F.col("ring")).alias("_blocks"))
+        return df.select(F.col(tile), F.lit(is_label).alias("_label"), F.col(index).cast("long").alias("_i"), conf.alias("_conf"), F.col("ring").alias("_ring"))
 
     shapes = own(labels, "gt_idx", True, F.lit(None).cast("double")).unionByName(own(preds, "pred_idx", False, F.col("conf").cast("double")))
-    sizes = shapes.groupBy(tile).agg(F.sum(F.greatest(F.size("_blocks"), F.lit(1))).alias("_n"))
+    sizes = shapes.groupBy(tile).agg(F.sum(most_blocks(F.col("_ring"))).alias("_n"))
+    shapes = shapes.withColumn("_blocks", mask_blocks(F.col("_ring"))).drop("_ring")
     apart = F.col(tile).isNull() | (F.col("_n") > LARGE)
     seen = sizes.agg(F.sum("_n").alias("n"), F.coalesce(F.bool_or(apart), F.lit(False)).alias("apart")).first()
     large = stored(sizes.where(apart).select(tile)) if seen["apart"] else None
